@@ -1,0 +1,22 @@
+"""Join helpers with an explicit size proof before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A registry of a few million short codes is tens of MB once hashed; above
+# this many rows the join is left to Catalyst/AQE (sort-merge or a runtime
+# broadcast decided from real shuffle statistics).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+
+    The proof is ``limit(max_rows + 1).count()``: it reads no more than
+    ``max_rows + 1`` rows whatever the table size, so the check itself is
+    bounded.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
