@@ -119,8 +119,10 @@ def _header_page() -> str:
 def _body_lines() -> str:
     o = "l.doc_id"
     code = f"CASE WHEN {o} % 13 = 0 THEN 'Advies' ELSE {raw_code(o, 'l.l_partkey')} END"
-    return (f"({code}) || ' ' || strftime(l.l_shipdate, '%d-%m-%Y') || ' ' || "
-            f"{s_('CAST(l.l_quantity AS INTEGER) % 4')} || ' uur € ' || {eu('l.l_extendedprice')}")
+    q = "(CAST(l.l_quantity AS INTEGER) % 4)"
+    qty = f"CASE WHEN {o} % 53 = 1 THEN {s_(f'{q} * 30')} || ' min' ELSE {s_(q)} || ' uur' END"
+    return (f"({code}) || ' ' || strftime(l.l_shipdate, '%d-%m-%Y') || ' ' || ({qty}) "
+            f"|| ' € ' || {eu('l.l_extendedprice')}")
 
 
 def _total_line() -> str:
@@ -372,3 +374,343 @@ p1f AS (
 
 def with_(ctes: str, select: str) -> str:
     return "WITH " + ctes.strip().lstrip(",") + "\n" + select
+
+
+# ---------------------------------------------------------------------------
+# Phase 2 fixtures: model responses, OCR text; ground truth
+# ---------------------------------------------------------------------------
+
+def q_(x: str) -> str:
+    return f"('\"' || {x} || '\"')"
+
+
+def _kvk_value(o: str) -> str:
+    k8 = s_(f"10000000 + ({o} * 7919) % 90000000")
+    k7 = s_(f"1000000 + ({o} * 7919) % 9000000")
+    return f"(CASE WHEN {o} % 5 = 0 THEN NULL WHEN {o} % 5 = 4 THEN {k7} ELSE {k8} END)"
+
+
+def _vat_value(o: str) -> str:
+    v9 = s_(f"100000000 + ({o} * 104729) % 900000000")
+    return (f"(CASE WHEN {o} % 6 = 3 THEN 'DE' || {v9} WHEN {o} % 6 = 5 THEN 'NL' || {v9} || 'B02' "
+            f"WHEN {o} % 6 IN (1, 2) THEN 'NL' || {v9} || 'B01' END)")
+
+
+def _wrap(o: str, body: str) -> str:
+    return (f"(CASE WHEN {o} % 3 = 1 THEN '```json' || {NL} || {body} || {NL} || '```' "
+            f"WHEN {o} % 3 = 2 THEN 'Here is the JSON you asked for:' || {NL} || {body} || {NL} "
+            f"|| 'Let me know if you need more.' ELSE {body} END)")
+
+
+def _tries(x: str) -> str:
+    return f"(CASE WHEN {x} BETWEEN 1 AND 4 THEN {x} ELSE 0 END)"
+
+
+_OVERLOAD = ("(CASE WHEN doc_id % 2 = 0 THEN '503 UNAVAILABLE: The model is overloaded.' "
+             "ELSE '429 RESOURCE_EXHAUSTED: quota exceeded' END)")
+
+
+def _header_json(o: str) -> str:
+    kvk = (f"(CASE WHEN {o} % 5 = 0 AND {o} % 10 = 5 THEN '\"\"' "
+           f"ELSE coalesce({q_(_kvk_value(o))}, 'null') END)")
+    vat = (f"(CASE WHEN {o} % 12 = 6 OR {o} % 6 = 4 THEN '\"\"' "
+           f"ELSE coalesce({q_(_vat_value(o))}, 'null') END)")
+    num = s_(f"{o} + 100000")
+    number = f"(CASE WHEN {o} % 31 = 2 THEN {num} ELSE {q_(num)} END)"
+    obj = (f"(CASE WHEN {o} % 31 = 3 THEN 'null' ELSE '{{\"supplierName\": \"Supplier#' || "
+           f"{pad(f'o.cust % 100', 9)} || '\", \"invoiceNumber\": ' || {number} || "
+           f"', \"invoiceDate\": \"' || strftime(o.odate, '%Y-%m-%d') || '\", \"kvkNumber\": ' || {kvk} "
+           f"|| ', \"vatNumber\": ' || {vat} || '}}' END)")
+    tail = (f"(CASE WHEN {o} % 31 = 1 THEN '}}' ELSE ', \"isCoachingInvoice\": ' || "
+            f"CASE WHEN {o} % 13 = 0 THEN 'false' ELSE 'true' END || '}}' END)")
+    return f"('{{\"invoiceHeader\": ' || {obj} || {tail})"
+
+
+def _item_json() -> str:
+    o = "l.doc_id"
+    code = raw_code(o, "l.l_partkey")
+    ht = hours_text("l.l_quantity")
+    hours = f"(CASE WHEN {o} % 31 = 2 THEN {q_(ht)} ELSE {ht} END)"
+    key = f"(CASE WHEN {o} % 31 = 1 THEN '\"caseNumber\": ' ELSE '\"validatedClientCaseNumber\": ' END)"
+    return (f"'{{' || {key} || {q_(code)} || ', \"rawClientCaseNumber\": ' || {q_(code)} || "
+            f"', \"date\": \"' || strftime(l.l_shipdate, '%Y-%m-%d') || '\", \"durationHours\": ' "
+            f"|| {hours} || '}}'")
+
+
+_EXTRA_ITEM = '{"validatedClientCaseNumber": "DEMO-CASE-999", "date": null, "durationHours": 1}'
+
+
+def _lines_json(o: str) -> str:
+    cases = (f"('[' || concat_ws(', ', CASE WHEN {o} % 13 <> 0 THEN li.items END, "
+             f"CASE WHEN {o} % 37 = 4 THEN {lit(_EXTRA_ITEM)} END) || ']')")
+    cases = f"(CASE WHEN {o} % 31 = 3 THEN 'null' ELSE {cases} END)"
+    no_act = (f"(CASE WHEN {o} % 17 = 3 THEN ', \"clientCasesNoActivity\": [' || {q_('li.first_code')} "
+              f"|| ']' WHEN {o} % 2 = 0 THEN ', \"clientCasesNoActivity\": []' ELSE '' END)")
+    return f"('{{\"clientCases\": ' || {cases} || {no_act} || '}}')"
+
+
+def _rec_json(o: str) -> str:
+    k8 = s_(f"20000000 + ({o} * 7919) % 80000000")
+    v9 = s_(f"100000000 + ({o} * 104729) % 900000000")
+    kvk = f"(CASE WHEN {o} % 5 = 0 OR {o} % 2 = 0 THEN {q_(k8)} ELSE 'null' END)"
+    nl = f"'NL' || {v9} || 'B07'"
+    vat = f"(CASE WHEN {o} % 6 IN (0, 4) OR {o} % 2 = 0 THEN {q_(nl)} ELSE 'null' END)"
+    return (f"('{{\"invoiceHeader\": {{\"kvkNumber\": ' || {kvk} || ', \"vatNumber\": ' || {vat} "
+            f"|| '}}, \"isCoachingInvoice\": true}}')")
+
+
+_NEEDS = "(doc_id % 5 = 0 OR doc_id % 6 IN (0, 4) OR doc_id % 31 = 3)"
+
+FX_RESPONSES = FX_FACTS + f""",
+fx_items AS (
+  SELECT l.doc_id, string_agg({_item_json()}, ', ' ORDER BY l.ln) AS items,
+         max(CASE WHEN l.ln = 1 THEN {raw_code('l.doc_id', 'l.l_partkey')} END) AS first_code
+  FROM fx_li l GROUP BY l.doc_id),
+fx_bodies AS (
+  SELECT o.doc_id, {_wrap('o.doc_id', _header_json('o.doc_id'))} AS hbody,
+         {_wrap('o.doc_id', _lines_json('o.doc_id'))} AS lbody,
+         {_rec_json('o.doc_id')} AS rbody
+  FROM fx_orders o JOIN fx_items li ON li.doc_id = o.doc_id),
+fx_calls AS (
+  SELECT doc_id, 'header' AS agent, hbody AS body,
+         CASE WHEN doc_id % 23 = 1 THEN 0 ELSE {_tries('doc_id % 10')} END AS k,
+         doc_id % 23 = 1 AS other_error, false AS empty FROM fx_bodies
+  UNION ALL
+  SELECT doc_id, 'lines', lbody,
+         CASE WHEN doc_id % 23 = 2 THEN 0 ELSE {_tries('(doc_id // 10) % 10')} END,
+         false, doc_id % 23 = 2 FROM fx_bodies
+  UNION ALL
+  SELECT doc_id, 'header_recovery', rbody, 0, false, false FROM fx_bodies WHERE {_NEEDS}),
+fx_attempts AS (SELECT *, unnest(range(0, least(k, 3) + 1)) AS attempt FROM fx_calls),
+fx_responses AS (
+  SELECT doc_id, agent, CAST(attempt AS INTEGER) AS attempt,
+         CASE WHEN attempt < k THEN NULL WHEN other_error THEN NULL WHEN empty THEN '' ELSE body END
+           AS response_text,
+         CASE WHEN attempt < k THEN {_OVERLOAD}
+              WHEN other_error THEN '400 INVALID_ARGUMENT: bad request' END AS error
+  FROM fx_attempts),
+fx_ocr AS (
+  SELECT doc_id, {filename('doc_id')} AS filename,
+         CASE WHEN doc_id % 3 = 0 THEN 'KvK: ' || {s_('30000000 + (doc_id * 7919) % 70000000')}
+                   || {NL} || 'BTW nr: NL' || {s_('100000000 + (doc_id * 104729) % 900000000')} || 'B03'
+              WHEN doc_id % 3 = 1 THEN 'Kamer van Koophandel' || {NL} || 'KvK: '
+                   || {s_('30000000 + (doc_id * 7919) % 70000000')}
+              ELSE '' END AS text
+  FROM fx_orders WHERE {_NEEDS} AND doc_id % 7 <> 3)"""
+
+FX_TRUTH = f"""
+fx_truth_lines AS (
+  SELECT l.doc_id,
+         list({clean_code('l.l_partkey')} ORDER BY l.ln) FILTER (WHERE CAST(l.l_quantity AS INTEGER) % 4 <> 0)
+           AS codes,
+         list({raw_code('l.doc_id', 'l.l_partkey')} ORDER BY l.ln)
+           FILTER (WHERE CAST(l.l_quantity AS INTEGER) % 4 <> 0) AS raws,
+         list(strftime(l.l_shipdate, '%Y-%m-%d') ORDER BY l.ln)
+           FILTER (WHERE CAST(l.l_quantity AS INTEGER) % 4 <> 0) AS dates,
+         list(CAST({hours_text('l.l_quantity')} AS DOUBLE) ORDER BY l.ln)
+           FILTER (WHERE CAST(l.l_quantity AS INTEGER) % 4 <> 0) AS hours,
+         list({clean_code('l.l_partkey')} ORDER BY l.ln) FILTER (WHERE CAST(l.l_quantity AS INTEGER) % 4 = 0)
+           AS idle
+  FROM fx_li l GROUP BY l.doc_id),
+fx_truth AS (
+  SELECT o.doc_id, 'inv_' || {pad('o.doc_id', 8)} || '.json' AS filename,
+         'Supplier#' || {pad('o.cust % 100', 9)} || CASE WHEN o.doc_id % 41 = 1 THEN ' B.V.' ELSE '' END
+           AS t_supplierName,
+         CASE WHEN o.doc_id % 19 = 4 THEN NULL ELSE {s_('o.doc_id + 100000')} END AS t_invoiceNumber,
+         strftime(o.odate, '%Y-%m-%d') AS t_invoiceDate,
+         {_kvk_value('o.doc_id')} AS t_kvkNumber,
+         CASE WHEN o.doc_id % 6 IN (0, 4) THEN NULL ELSE {_vat_value('o.doc_id')} END AS t_vatNumber,
+         CASE WHEN o.doc_id % 41 = 2 THEN coalesce(t.codes, [])[2:] ELSE coalesce(t.codes, []) END AS t_codes,
+         list_sort(list_distinct(coalesce(t.idle, []) ||
+           CASE WHEN o.doc_id % 41 = 3 THEN ['DEMO-CASE-998'] ELSE [] END)) AS t_na
+  FROM fx_orders o LEFT JOIN fx_truth_lines t ON t.doc_id = o.doc_id
+  WHERE o.doc_id % 13 <> 0)"""
+
+
+# ---------------------------------------------------------------------------
+# Phase 2 operators
+# ---------------------------------------------------------------------------
+
+def carve(s: str) -> str:
+    t = f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    st = f"strpos({t}, '{{')"
+    en = f"(length({t}) - strpos(reverse({t}), '}}') + 1)"
+    rest = f"regexp_replace(regexp_replace({t}, '^[^\\n]*(\\n|$)', ''), '^\\s+|\\s+$', '', 'g')"
+    return (f"(CASE WHEN {s} IS NULL OR {s} = '' THEN {s} "
+            f"WHEN {st} > 0 AND strpos({t}, '}}') > 0 THEN CASE WHEN {en} >= {st} "
+            f"THEN substr({t}, {st}, {en} - {st} + 1) ELSE '' END "
+            f"WHEN starts_with({t}, '```') THEN trim(split_part({rest}, '```', 1)) "
+            f"ELSE {t} END)")
+
+
+def jt(j: str, path: str) -> str:
+    return f"json_type({j}, '{path}')"
+
+
+def opt_str_ok(j: str, path: str) -> str:
+    return f"coalesce({jt(j, path)}, 'NULL') IN ('NULL', 'VARCHAR')"
+
+
+_NUM = "('BIGINT', 'UBIGINT', 'DOUBLE', 'INTEGER')"
+
+
+def bool_val(j: str, path: str) -> str:
+    s = f"lower(trim(json_extract_string({j}, '{path}')))"
+    return (f"(CASE {jt(j, path)} WHEN 'BOOLEAN' THEN json_extract_string({j}, '{path}') = 'true' "
+            f"WHEN 'VARCHAR' THEN CASE WHEN {s} IN ('1','on','t','true','y','yes') THEN true "
+            f"WHEN {s} IN ('0','off','f','false','n','no') THEN false END "
+            f"ELSE CASE WHEN {jt(j, path)} IN {_NUM} THEN CASE "
+            f"WHEN CAST(json_extract_string({j}, '{path}') AS DOUBLE) = 1 THEN true "
+            f"WHEN CAST(json_extract_string({j}, '{path}') AS DOUBLE) = 0 THEN false END END END)")
+
+
+def float_val(j: str, path: str) -> str:
+    return (f"(CASE WHEN {jt(j, path)} IN {_NUM} THEN CAST(json_extract_string({j}, '{path}') AS DOUBLE) "
+            f"WHEN {jt(j, path)} = 'VARCHAR' THEN TRY_CAST(trim(json_extract_string({j}, '{path}')) AS DOUBLE) "
+            f"WHEN {jt(j, path)} = 'BOOLEAN' THEN CASE WHEN json_extract_string({j}, '{path}') = 'true' "
+            f"THEN 1.0 ELSE 0.0 END END)")
+
+
+_HF = ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")
+
+
+def header_ok(j: str) -> str:
+    fields = " AND ".join(opt_str_ok(j, f"$.invoiceHeader.{f}") for f in _HF)
+    return (f"(json_valid({j}) AND {jt(j, '$')} = 'OBJECT' AND {jt(j, '$.invoiceHeader')} = 'OBJECT' "
+            f"AND {fields} AND {bool_val(j, '$.isCoachingInvoice')} IS NOT NULL)")
+
+
+def _item_ok(e: str) -> str:
+    return (f"({jt(e, '$')} = 'OBJECT' AND {jt(e, '$.validatedClientCaseNumber')} = 'VARCHAR' "
+            f"AND {opt_str_ok(e, '$.rawClientCaseNumber')} AND {opt_str_ok(e, '$.date')} "
+            f"AND (coalesce({jt(e, '$.durationHours')}, 'NULL') = 'NULL' "
+            f"OR {float_val(e, '$.durationHours')} IS NOT NULL))")
+
+
+def lines_ok(j: str) -> str:
+    items = f"json_extract({j}, '$.clientCases[*]')"
+    names = f"json_extract({j}, '$.clientCasesNoActivity[*]')"
+    return (f"(json_valid({j}) AND {jt(j, '$')} = 'OBJECT' "
+            f"AND ({jt(j, '$.clientCases')} IS NULL OR ({jt(j, '$.clientCases')} = 'ARRAY' AND "
+            f"coalesce(list_bool_and(list_transform({items}, lambda e: coalesce({_item_ok('e')}, false))), true))) "
+            f"AND ({jt(j, '$.clientCasesNoActivity')} IS NULL OR ({jt(j, '$.clientCasesNoActivity')} = 'ARRAY' "
+            f"AND coalesce(list_bool_and(list_transform({names}, lambda x: coalesce(json_type(x) = 'VARCHAR', false))), true))))")
+
+
+PHASE2 = MATCHES + "," + FX_RESPONSES.replace(FX_FACTS + ",", "") + f""",
+cls00 AS (SELECT *, {carve('response_text')} AS c0 FROM fx_responses WHERE attempt BETWEEN 0 AND 3),
+cls0 AS (SELECT *, CASE WHEN json_valid(c0) THEN c0 END AS c FROM cls00),
+cls AS (
+  SELECT *,
+    CASE WHEN error IS NOT NULL THEN
+           CASE WHEN contains(lower(error), '503') OR contains(lower(error), 'overloaded')
+                  OR contains(lower(error), '429') OR contains(lower(error), 'unavailable')
+                THEN 'retry' ELSE 'stop' END
+         WHEN response_text IS NULL OR response_text = '' THEN 'stop'
+         WHEN agent IN ('header', 'header_recovery') AND coalesce({header_ok('c')}, false) THEN 'ok'
+         WHEN agent = 'lines' AND coalesce({lines_ok('c')}, false) THEN 'ok'
+         ELSE 'stop' END AS cls
+  FROM cls0),
+dec AS (SELECT doc_id, agent, min(attempt) FILTER (WHERE cls <> 'retry') AS s FROM cls GROUP BY doc_id, agent),
+won AS (
+  SELECT c.doc_id, c.agent, c.attempt, c.c FROM dec d
+  JOIN cls c ON c.doc_id = d.doc_id AND c.agent = d.agent AND c.attempt = d.s
+  WHERE c.cls = 'ok'
+    AND (SELECT count(*) FROM cls r WHERE r.doc_id = d.doc_id AND r.agent = d.agent
+         AND r.cls = 'retry' AND r.attempt < d.s) = d.s),
+hdr AS (
+  SELECT doc_id, {', '.join(f"json_extract_string(c, '$.invoiceHeader.{f}') AS h_{f}" for f in _HF)},
+         {bool_val('c', '$.isCoachingInvoice')} AS coaching
+  FROM won WHERE agent = 'header'),
+rec AS (
+  SELECT doc_id, json_extract_string(c, '$.invoiceHeader.kvkNumber') AS r_kvk,
+         json_extract_string(c, '$.invoiceHeader.vatNumber') AS r_vat
+  FROM won WHERE agent = 'header_recovery'),
+lns AS (
+  SELECT doc_id,
+    list_transform(coalesce(json_extract(c, '$.clientCases[*]'), []), lambda e: {{
+      'v': json_extract_string(e, '$.validatedClientCaseNumber'),
+      'r': json_extract_string(e, '$.rawClientCaseNumber'),
+      'd': json_extract_string(e, '$.date'),
+      'h': {float_val('e', '$.durationHours')}}}) AS cases,
+    list_transform(coalesce(json_extract(c, '$.clientCasesNoActivity[*]'), []),
+                   lambda x: json_extract_string(x, '$')) AS na
+  FROM won WHERE agent = 'lines'),
+ocr_src AS (SELECT doc_id, text FROM fx_ocr),{patterns_cte('ocr_src', name='ocrpat')},
+work AS (SELECT doc_id, filename, allowed_prompt, allowed_valid FROM p1f
+         WHERE is_coaching_invoice AND ready_for_llm AND length(filename) > 0),
+f0 AS (
+  SELECT w.doc_id, w.filename, w.allowed_prompt, w.allowed_valid,
+         {', '.join(f'h.h_{f}' for f in _HF)}, coalesce(h.coaching, false) AS coaching,
+         o.text AS ocr_text, op.kvk_numbers[1] AS o_kvk, op.vat_numbers[1] AS o_vat,
+         r.r_kvk, r.r_vat, r.doc_id IS NOT NULL AS has_rec,
+         l.doc_id IS NOT NULL AS has_lines, l.cases, l.na
+  FROM work w LEFT JOIN hdr h ON h.doc_id = w.doc_id LEFT JOIN fx_ocr o ON o.doc_id = w.doc_id
+  LEFT JOIN ocrpat_x op ON op.doc_id = w.doc_id LEFT JOIN rec r ON r.doc_id = w.doc_id
+  LEFT JOIN lns l ON l.doc_id = w.doc_id),
+f1 AS (
+  SELECT *, (coalesce(h_kvkNumber, '') = '' OR coalesce(h_vatNumber, '') = '') AS needs_ocr,
+         (coalesce(h_kvkNumber, '') = '' OR coalesce(h_vatNumber, '') = '') AND coalesce(ocr_text, '') <> ''
+           AS ocr_ok FROM f0),
+f2 AS (
+  SELECT *,
+    CASE WHEN ocr_ok AND coalesce(o_kvk, '') <> '' AND coalesce(h_kvkNumber, '') = '' THEN o_kvk
+         ELSE h_kvkNumber END AS kvk1,
+    CASE WHEN ocr_ok AND coalesce(o_vat, '') <> '' AND coalesce(h_vatNumber, '') = '' THEN o_vat
+         ELSE h_vatNumber END AS vat1 FROM f1),
+f3 AS (
+  SELECT *, ocr_ok AND (coalesce(kvk1, '') = '' OR coalesce(vat1, '') = '') AND has_rec AS tier2 FROM f2),
+f4 AS (
+  SELECT *,
+    CASE WHEN tier2 AND coalesce(r_kvk, '') <> '' THEN r_kvk ELSE kvk1 END AS kvk2,
+    CASE WHEN tier2 AND coalesce(r_vat, '') <> '' THEN r_vat ELSE vat1 END AS vat2,
+    CASE WHEN has_lines THEN list_filter(cases, lambda c: c.h IS NOT NULL AND c.h <> 0) ELSE [] END AS active,
+    CASE WHEN has_lines THEN list_sort(list_distinct(na || list_transform(
+           list_filter(cases, lambda c: (c.h IS NULL OR c.h = 0) AND coalesce(c.v, '') <> ''),
+           lambda c: c.v))) ELSE [] END AS na1
+  FROM f3),
+f5 AS (
+  SELECT *,
+    list_transform(active, lambda c: CASE
+      WHEN list_position(allowed_prompt, c.v) > 0 AND allowed_valid[list_position(allowed_prompt, c.v)] <> c.v
+      THEN {{'v': allowed_valid[list_position(allowed_prompt, c.v)], 'r': c.v, 'd': c.d, 'h': c.h}}
+      ELSE c END) AS fixed,
+    list_sort(list_distinct(list_transform(na1, lambda x: CASE WHEN list_position(allowed_prompt, x) > 0
+      THEN allowed_valid[list_position(allowed_prompt, x)] ELSE x END))) AS na2
+  FROM f4),
+final AS (
+  SELECT doc_id, filename, h_supplierName AS supplierName, h_invoiceNumber AS invoiceNumber,
+         h_invoiceDate AS invoiceDate, kvk2 AS kvkNumber, vat2 AS vatNumber, coaching AS isCoachingInvoice,
+         list_filter(fixed, lambda c: list_contains(allowed_valid, c.v)) AS cases,
+         list_sort(list_distinct(list_filter(na2, lambda x: list_contains(allowed_valid, x)))) AS na,
+         needs_ocr
+  FROM f5)"""
+
+PHASE3 = PHASE2 + "," + FX_TRUTH + """,
+ev0 AS (
+  SELECT t.filename AS truth_file, replace(t.filename, '.json', '_parsed.json') AS output_file,
+         g.doc_id IS NOT NULL AS evaluated,
+         CASE WHEN length(g.supplierName) > 0 AND length(t.t_supplierName) > 0
+              THEN contains(lower(g.supplierName), lower(t.t_supplierName))
+                   OR contains(lower(t.t_supplierName), lower(g.supplierName))
+              ELSE g.supplierName IS NOT DISTINCT FROM t.t_supplierName END AS f_supplierName,
+         g.invoiceNumber IS NOT DISTINCT FROM t.t_invoiceNumber AS f_invoiceNumber,
+         g.invoiceDate IS NOT DISTINCT FROM t.t_invoiceDate AS f_invoiceDate,
+         g.kvkNumber IS NOT DISTINCT FROM t.t_kvkNumber AS f_kvkNumber,
+         g.vatNumber IS NOT DISTINCT FROM t.t_vatNumber AS f_vatNumber,
+         list_sort(list_distinct(list_transform(g.cases, lambda c: c.v))) AS gset,
+         list_sort(list_distinct(t.t_codes)) AS tset,
+         list_sort(list_distinct(g.na)) AS gna, t.t_na AS tna,
+         t.t_supplierName, t.t_invoiceNumber, t.t_invoiceDate, t.t_kvkNumber, t.t_vatNumber,
+         g.supplierName AS g_supplierName, g.invoiceNumber AS g_invoiceNumber,
+         g.invoiceDate AS g_invoiceDate, g.kvkNumber AS g_kvkNumber, g.vatNumber AS g_vatNumber
+  FROM fx_truth t LEFT JOIN final g
+    ON replace(g.filename, '.pdf', '_parsed.json') = replace(t.filename, '.json', '_parsed.json')),
+ev AS (
+  SELECT *, gset = tset AS line_items_ok, gna = tna AS no_activity_ok,
+         CAST(f_supplierName AS INTEGER) + CAST(f_invoiceNumber AS INTEGER) + CAST(f_invoiceDate AS INTEGER)
+         + CAST(f_kvkNumber AS INTEGER) + CAST(f_vatNumber AS INTEGER) + CAST(gset = tset AS INTEGER)
+         + CAST(gna = tna AS INTEGER) AS points,
+         list_filter(tset, lambda x: NOT list_contains(gset, x)) AS missing_codes,
+         list_filter(gset, lambda x: NOT list_contains(tset, x)) AS unexpected_codes
+  FROM ev0)"""

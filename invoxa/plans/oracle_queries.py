@@ -108,3 +108,128 @@ SELECT doc_id, filename, array_to_string(allowed_prompt, '|') AS allowed_prompt,
        array_to_string(list_transform(list_zip(allowed_prompt, allowed_valid),
                                       lambda e: e[1] || '=' || e[2]), '|') AS correction_pairs
 FROM p1f""")
+
+# ------------------------------------------------------------------ phase 2
+from invoxa.operators.lines import LINE_PATTERN  # noqa: E402
+from invoxa.plans.oracle import (FX_FACTS, FX_RESPONSES, PHASE2, PHASE3, carve,  # noqa: E402
+                                 header_ok, iso_date, lines_ok)
+
+_RESP = FX_RESPONSES
+ORACLE["carve_json"] = with_(_RESP, f"SELECT doc_id, agent, attempt, {carve('response_text')} AS carved "
+                                    "FROM fx_responses")
+ORACLE["classify_attempts"] = with_(PHASE2, "SELECT doc_id, agent, attempt, cls FROM cls")
+ORACLE["resolve_attempts"] = with_(PHASE2, """
+SELECT d.doc_id,
+       EXISTS (SELECT 1 FROM won w WHERE w.doc_id = d.doc_id AND w.agent = 'header') AS header_resolved,
+       EXISTS (SELECT 1 FROM won w WHERE w.doc_id = d.doc_id AND w.agent = 'lines') AS lines_resolved,
+       EXISTS (SELECT 1 FROM won w WHERE w.doc_id = d.doc_id AND w.agent = 'header_recovery')
+         AS recovery_resolved
+FROM (SELECT DISTINCT doc_id FROM cls) d""")
+ORACLE["validate_header"] = with_(_RESP + f""",
+v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
+      WHERE agent = 'header' AND response_text IS NOT NULL),
+v AS (SELECT doc_id, attempt, CASE WHEN json_valid(c0) THEN c0 END AS c FROM v0),
+v2 AS (SELECT *, coalesce({header_ok('c')}, false) AS valid FROM v)""", """
+SELECT doc_id, attempt, valid,
+       CASE WHEN valid THEN json_extract_string(c, '$.invoiceHeader.supplierName') END AS supplierName,
+       CASE WHEN valid THEN json_extract_string(c, '$.invoiceHeader.invoiceNumber') END AS invoiceNumber,
+       CASE WHEN valid THEN json_extract_string(c, '$.invoiceHeader.invoiceDate') END AS invoiceDate,
+       CASE WHEN valid THEN json_extract_string(c, '$.invoiceHeader.kvkNumber') END AS kvkNumber,
+       CASE WHEN valid THEN json_extract_string(c, '$.invoiceHeader.vatNumber') END AS vatNumber,
+       CASE WHEN valid THEN json_extract_string(c, '$.isCoachingInvoice') = 'true' END AS isCoachingInvoice
+FROM v2""")
+ORACLE["validate_lines"] = with_(_RESP + f""",
+v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
+      WHERE agent = 'lines' AND response_text IS NOT NULL),
+v AS (SELECT doc_id, attempt, CASE WHEN json_valid(c0) THEN c0 END AS c FROM v0),
+v2 AS (SELECT *, coalesce({lines_ok('c')}, false) AS valid FROM v)""", """
+SELECT doc_id, attempt, valid,
+       CASE WHEN valid THEN CAST(len(coalesce(json_extract(c, '$.clientCases[*]'), [])) AS INTEGER) END
+         AS n_cases,
+       CASE WHEN valid THEN array_to_string(list_transform(coalesce(json_extract(c,
+         '$.clientCasesNoActivity[*]'), []), lambda x: json_extract_string(x, '$')), '|') END AS no_activity
+FROM v2""")
+ORACLE["needs_ocr"] = with_(PHASE2, "SELECT doc_id, needs_ocr FROM final")
+ORACLE["recover_header"] = with_(PHASE2, "SELECT doc_id, kvkNumber, vatNumber FROM final")
+ORACLE["final_results"] = with_(PHASE2, """
+SELECT doc_id, filename, supplierName, invoiceNumber, invoiceDate, kvkNumber, vatNumber,
+       isCoachingInvoice, CAST(len(cases) AS INTEGER) AS n_cases, array_to_string(na, '|') AS no_activity
+FROM final""")
+ORACLE["final_cases"] = with_(PHASE2, """
+SELECT doc_id, CAST(generate_subscripts(cases, 1) - 1 AS INTEGER) AS pos,
+       unnest(list_transform(cases, lambda c: c.v)) AS validated,
+       unnest(list_transform(cases, lambda c: c.r)) AS raw,
+       unnest(list_transform(cases, lambda c: c.d)) AS date,
+       unnest(list_transform(cases, lambda c: c.h)) AS hours
+FROM final""")
+_CORR = PHASE2 + """,
+corr AS (SELECT doc_id, allowed_valid, fixed FROM f5 WHERE doc_id IN (SELECT doc_id FROM final)),
+corr_long AS (SELECT doc_id, CAST(generate_subscripts(fixed, 1) - 1 AS INTEGER) AS pos,
+                     unnest(list_transform(fixed, lambda c: c.v)) AS code, allowed_valid FROM corr)"""
+ORACLE["enforce_allowed"] = with_(_CORR, "SELECT doc_id, code, pos FROM corr_long "
+                                         "WHERE list_contains(allowed_valid, code)")
+ORACLE["dropped_codes"] = with_(_CORR, "SELECT doc_id, code, pos FROM corr_long "
+                                       "WHERE NOT list_contains(allowed_valid, code)")
+
+# ------------------------------------------------------------------ phase 3
+ORACLE["eval_docs"] = with_(PHASE3, """
+SELECT truth_file, output_file, evaluated, CASE WHEN evaluated THEN points END AS points,
+       CASE WHEN evaluated THEN (CAST(points AS DOUBLE) / 7) * 100 END AS accuracy
+FROM ev""")
+ORACLE["eval_fields"] = with_(PHASE3, """
+SELECT truth_file, f_supplierName, f_invoiceNumber, f_invoiceDate, f_kvkNumber, f_vatNumber,
+       line_items_ok, no_activity_ok
+FROM ev WHERE evaluated""")
+ORACLE["eval_missing"] = with_(PHASE3, "SELECT truth_file, output_file FROM ev WHERE NOT evaluated")
+ORACLE["eval_final"] = with_(PHASE3, """
+SELECT count(*) AS n_evaluated, avg((CAST(points AS DOUBLE) / 7) * 100) AS final_score
+FROM ev WHERE evaluated""")
+ORACLE["eval_by_field"] = with_(PHASE3, """
+SELECT field, avg(CAST(ok AS DOUBLE)) AS accuracy, count(*) AS n FROM (
+  UNPIVOT (SELECT f_supplierName, f_invoiceNumber, f_invoiceDate, f_kvkNumber, f_vatNumber,
+                  line_items_ok, no_activity_ok FROM ev WHERE evaluated)
+  ON f_supplierName, f_invoiceNumber, f_invoiceDate, f_kvkNumber, f_vatNumber, line_items_ok,
+     no_activity_ok INTO NAME field VALUE ok)
+GROUP BY field""")
+ORACLE["eval_case_diff"] = with_(PHASE3, """
+SELECT truth_file, array_to_string(missing_codes, '|') AS missing_codes,
+       array_to_string(unexpected_codes, '|') AS unexpected_codes
+FROM ev WHERE evaluated""")
+
+
+def _pyset(l: str) -> str:
+    return (f"CASE WHEN len({l}) = 0 THEN 'set()' ELSE '{{' || "
+            f"array_to_string(list_transform(list_sort({l}), lambda x: '''' || x || ''''), ', ') || '}}' END")
+
+
+_FIELDS = ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")
+_REPORT = ", ".join(
+    f"CASE WHEN NOT f_{f} THEN '❌ {f} mismatch: Expected ''' || coalesce(t_{f}, 'None') || "
+    f"''', got ''' || coalesce(g_{f}, 'None') || '''' END" for f in _FIELDS)
+ORACLE["eval_report"] = with_(PHASE3, f"""
+SELECT truth_file, array_to_string(list_filter([{_REPORT},
+  CASE WHEN NOT line_items_ok THEN '❌ Line Items mismatch. Missing: ' || {_pyset('missing_codes')}
+       || ', Unexpected: ' || {_pyset('unexpected_codes')} END,
+  CASE WHEN NOT no_activity_ok THEN '❌ NoActivity mismatch.' END], lambda x: x IS NOT NULL), chr(10))
+  AS report
+FROM ev WHERE evaluated""")
+
+# ------------------------------------------------------------------ line rules
+_LINES = TEXT + f""",
+ln0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no
+        FROM docs),
+ln1 AS (SELECT doc_id, line_no,
+               regexp_extract(line, {lit(LINE_PATTERN)}, 1) AS code,
+               regexp_extract(line, {lit(LINE_PATTERN)}, 2) AS d,
+               regexp_extract(line, {lit(LINE_PATTERN)}, 3) AS v,
+               regexp_extract(line, {lit(LINE_PATTERN)}, 4) AS unit
+        FROM ln0 WHERE regexp_matches(line, {lit(LINE_PATTERN)})),
+ln AS (SELECT doc_id, line_no, code, {iso_date('d')} AS date,
+              CASE WHEN lower(unit) IN ('min', 'minuten', 'minute', 'minutes')
+                   THEN TRY_CAST(replace(v, ',', '.') AS DOUBLE) / 60.0
+                   ELSE TRY_CAST(replace(v, ',', '.') AS DOUBLE) END AS hours
+       FROM ln1)"""
+ORACLE["line_items_regex"] = with_(_LINES, "SELECT doc_id, line_no, code, date, hours FROM ln")
+ORACLE["hours_by_case_date"] = with_(_LINES, """
+SELECT doc_id, code, date, sum(hours) AS hours, count(*) AS n_lines FROM ln GROUP BY doc_id, code, date""")

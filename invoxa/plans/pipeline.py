@@ -14,11 +14,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from invoxa.operators.documents import with_doc_features
+from invoxa.operators.evaluation import evaluate, final_score
 from invoxa.operators.extract import with_patterns
 from invoxa.operators.matching import annotate_documents, lookup_tables, ref_codes
+from invoxa.operators.responses import classify_attempts, final_results, resolve_attempts
 from invoxa.operators.text import document_text
+from invoxa.session import materialize
 from invoxa.sources import fixtures
 
 
@@ -50,3 +54,32 @@ def phase1(pages: DataFrame, registry: DataFrame | None) -> DataFrame:
 
 def phase1_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phase1(fixtures.invoice_pages(spark, sf_dir), fixtures.registry_codes(spark, sf_dir))
+
+
+def work_list(p1: DataFrame) -> DataFrame:
+    """Documents handed to the model stage: coaching, ready, named."""
+    return p1.where(F.col("is_coaching_invoice") & F.col("ready_for_llm")
+                    & F.coalesce(F.length("filename") > 0, F.lit(False)))
+
+
+def phase2(p1: DataFrame, responses: DataFrame, ocr: DataFrame,
+           keep_corrected: bool = False) -> DataFrame:
+    """Final results for the work list (see ``operators.responses``)."""
+    work = work_list(p1).select("doc_id", "filename", "correction_map", "allowed_valid")
+    resolved = resolve_attempts(classify_attempts(responses))
+    return final_results(work, resolved, ocr.select("doc_id", "text"), keep_corrected)
+
+
+def phase3(final: DataFrame, truth: DataFrame) -> DataFrame:
+    return evaluate(final, truth)
+
+
+def run_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Whole pipeline with phase outputs written to the shared checkpoint
+    folder (lineage cut between phases)."""
+    inp = derived_inputs(spark, sf_dir)
+    p1 = materialize(phase1(inp.pages, inp.registry), "phase1_documents")
+    final = materialize(phase2(p1, inp.responses, inp.ocr), "phase2_results")
+    scored = materialize(phase3(final, inp.truth), "phase3_scores")
+    return {"documents": p1, "results": final, "scores": scored,
+            "final_score": final_score(scored)}

@@ -215,3 +215,180 @@ def doc_context(spark, sf):
         F.array_join(F.transform(F.map_entries("correction_map"),
                                  lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
         .alias("correction_pairs"))
+
+
+# ------------------------------------------------------------- phase 2
+def _inputs(spark, sf):
+    from invoxa.plans.pipeline import derived_inputs
+    return derived_inputs(spark, sf)
+
+
+def _final(spark, sf, keep_corrected=False):
+    from invoxa.plans.pipeline import phase2
+    inp = _inputs(spark, sf)
+    return phase2(phase1(inp.pages, inp.registry), inp.responses, inp.ocr, keep_corrected)
+
+
+@query
+def carve_json_q(spark, sf):
+    from invoxa.functions.jsonish import carve_json
+    r = fixtures.model_responses(spark, sf)
+    return r.select("doc_id", "agent", "attempt", carve_json(F.col("response_text")).alias("carved"))
+
+
+@query
+def classify_attempts_q(spark, sf):
+    from invoxa.operators.responses import classify_attempts
+    return classify_attempts(fixtures.model_responses(spark, sf)).select(
+        "doc_id", "agent", "attempt", "cls")
+
+
+@query
+def resolve_attempts_q(spark, sf):
+    from invoxa.operators.responses import classify_attempts, resolve_attempts
+    r = resolve_attempts(classify_attempts(fixtures.model_responses(spark, sf)))
+    return r.select("doc_id", F.col("header_res").isNotNull().alias("header_resolved"),
+                    F.col("lines_res").isNotNull().alias("lines_resolved"),
+                    F.col("recovery_res").isNotNull().alias("recovery_resolved"))
+
+
+@query
+def validate_header(spark, sf):
+    from invoxa.functions.jsonish import header_from_variant, parse_response
+    r = fixtures.model_responses(spark, sf).where(
+        (F.col("agent") == "header") & F.col("response_text").isNotNull())
+    r = r.withColumn("_json", parse_response(F.col("response_text")))
+    r = r.withColumn("_h", header_from_variant(F.col("_json")))
+    h = F.col("_h")
+    ih = h["invoiceHeader"]
+    return r.select("doc_id", "attempt", h.isNotNull().alias("valid"),
+                    *[ih[f].alias(f) for f in ("supplierName", "invoiceNumber", "invoiceDate",
+                                               "kvkNumber", "vatNumber")],
+                    h["isCoachingInvoice"].alias("isCoachingInvoice"))
+
+
+@query
+def validate_lines(spark, sf):
+    from invoxa.functions.jsonish import lines_from_variant, parse_response
+    r = fixtures.model_responses(spark, sf).where(
+        (F.col("agent") == "lines") & F.col("response_text").isNotNull())
+    r = r.withColumn("_json", parse_response(F.col("response_text")))
+    r = r.withColumn("_l", lines_from_variant(F.col("_json")))
+    x = F.col("_l")
+    return r.select("doc_id", "attempt", x.isNotNull().alias("valid"),
+                    F.size(x["clientCases"]).alias("n_cases"),
+                    F.array_join(x["clientCasesNoActivity"], "|").alias("no_activity"))
+
+
+@query
+def needs_ocr(spark, sf):
+    return _final(spark, sf).select("doc_id", "needs_ocr")
+
+
+@query
+def recover_header(spark, sf):
+    f = _final(spark, sf)
+    return f.select("doc_id", F.col("invoiceHeader.kvkNumber").alias("kvkNumber"),
+                    F.col("invoiceHeader.vatNumber").alias("vatNumber"))
+
+
+@query
+def final_results_q(spark, sf):
+    f = _final(spark, sf)
+    h = F.col("invoiceHeader")
+    return f.select("doc_id", "filename",
+                    *[h[c].alias(c) for c in ("supplierName", "invoiceNumber", "invoiceDate",
+                                              "kvkNumber", "vatNumber")],
+                    "isCoachingInvoice", F.size("clientCases").alias("n_cases"),
+                    F.array_join("clientCasesNoActivity", "|").alias("no_activity"))
+
+
+@query
+def final_cases(spark, sf):
+    f = _final(spark, sf)
+    return f.select("doc_id", F.posexplode("clientCases").alias("pos", "c")).select(
+        "doc_id", "pos", F.col("c.validatedClientCaseNumber").alias("validated"),
+        F.col("c.rawClientCaseNumber").alias("raw"), F.col("c.date").alias("date"),
+        F.col("c.durationHours").alias("hours"))
+
+
+@query
+def enforce_allowed_q(spark, sf):
+    from invoxa.operators.responses import allowed_long
+    kept, _ = allowed_long(_final(spark, sf, keep_corrected=True))
+    return kept
+
+
+@query
+def dropped_codes(spark, sf):
+    from invoxa.operators.responses import allowed_long
+    _, dropped = allowed_long(_final(spark, sf, keep_corrected=True))
+    return dropped
+
+
+@query
+def result_json_q(spark, sf):
+    from invoxa.operators.responses import result_json
+    return result_json(_final(spark, sf))
+
+
+# ------------------------------------------------------------- phase 3
+def _scored(spark, sf):
+    from invoxa.operators.evaluation import evaluate
+    return evaluate(_final(spark, sf), fixtures.truth(spark, sf))
+
+
+@query
+def eval_docs(spark, sf):
+    return _scored(spark, sf).select("truth_file", "output_file", "evaluated", "points", "accuracy")
+
+
+@query
+def eval_fields(spark, sf):
+    return _scored(spark, sf).where("evaluated").select(
+        "truth_file", "f_supplierName", "f_invoiceNumber", "f_invoiceDate", "f_kvkNumber",
+        "f_vatNumber", "line_items_ok", "no_activity_ok")
+
+
+@query
+def eval_missing(spark, sf):
+    from invoxa.operators.evaluation import missing_outputs
+    return missing_outputs(_scored(spark, sf))
+
+
+@query
+def eval_final(spark, sf):
+    from invoxa.operators.evaluation import final_score
+    return final_score(_scored(spark, sf))
+
+
+@query
+def eval_by_field(spark, sf):
+    from invoxa.operators.evaluation import accuracy_by_field
+    return accuracy_by_field(_scored(spark, sf))
+
+
+@query
+def eval_case_diff(spark, sf):
+    return _scored(spark, sf).where("evaluated").select(
+        "truth_file", F.array_join("missing_codes", "|").alias("missing_codes"),
+        F.array_join("unexpected_codes", "|").alias("unexpected_codes"))
+
+
+@query
+def eval_report(spark, sf):
+    return _scored(spark, sf).where("evaluated").select(
+        "truth_file", F.array_join("report", "\n").alias("report"))
+
+
+# ------------------------------------------------------------- line rules
+@query
+def line_items_regex(spark, sf):
+    from invoxa.operators.lines import line_items
+    return line_items(document_text(_pages(spark, sf)))
+
+
+@query
+def hours_by_case_date(spark, sf):
+    from invoxa.operators.lines import hours_by_case_date as agg, line_items
+    return agg(line_items(document_text(_pages(spark, sf))))

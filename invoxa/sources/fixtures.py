@@ -136,9 +136,11 @@ def _body_page(f: DataFrame) -> Column:
 
     def line(s: Column) -> Column:
         code = F.when(o % 13 == 0, F.lit("Advies")).otherwise(raw_code(o, s["l_partkey"]))
-        return F.concat_ws(" ", code, F.date_format(s["l_shipdate"], "dd-MM-yyyy"),
-                           _s(s["l_quantity"].cast("int") % 4),
-                           F.concat(F.lit("uur € "), eu_amount(s["l_extendedprice"])))
+        q = s["l_quantity"].cast("int") % 4
+        qty = F.when(o % 53 == 1, F.concat(_s(q * 30), F.lit(" min"))).otherwise(
+            F.concat(_s(q), F.lit(" uur")))
+        return F.concat_ws(" ", code, F.date_format(s["l_shipdate"], "dd-MM-yyyy"), qty,
+                           F.concat(F.lit("€ "), eu_amount(s["l_extendedprice"])))
 
     t = F.col("total")
     total = (F.when(o % 8 == 0, F.concat(F.lit("Totaal: € "), eu_amount(t)))
