@@ -18,4 +18,7 @@ def with_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def family_long(docs: DataFrame, family: str, key: str = "doc_id") -> DataFrame:
     """Long form (key, pos, value) of one list; ``pos`` is 0-based list order."""
-    return docs.select(key, F.posexplode(F.col("patterns")[family]).alias("pos", "value"))
+    # Outer generator + null filter: an inner one makes Catalyst add a
+    # size(...) > 0 filter that re-runs the extraction expression.
+    return (docs.select(key, F.posexplode_outer(F.col("patterns")[family]).alias("pos", "value"))
+            .where(F.col("value").isNotNull()))

@@ -280,32 +280,20 @@ def _wrap(o: Column, body: Column) -> Column:
             .otherwise(body))
 
 
-def _attempt_rows(agent: str, k: Column, body: Column, o: Column,
-                  other_error: Column, empty: Column) -> Column:
-    """Attempts 0..min(k,3): overloads before k, the response at k (k<4)."""
-    overload = F.when(o % 2 == 0, F.lit("503 UNAVAILABLE: The model is overloaded."))\
-        .otherwise(F.lit("429 RESOURCE_EXHAUSTED: quota exceeded"))
-    k_eff = F.when(other_error | empty, 0).otherwise(k)
-    return F.transform(F.sequence(F.lit(0), F.least(k_eff, F.lit(3))), lambda a: F.struct(
-        F.lit(agent).alias("agent"), a.alias("attempt"),
-        F.when(a < k_eff, F.lit(None)).when(other_error, F.lit(None))
-         .when(empty, F.lit("")).otherwise(body).cast("string").alias("response_text"),
-        F.when(a < k_eff, overload).when(other_error, F.lit("400 INVALID_ARGUMENT: bad request"))
-         .cast("string").alias("error")))
-
-
 def _tries(x: Column) -> Column:
-    return (F.when(x == 1, 1).when(x == 2, 2).when(x == 3, 3).when(x == 4, 4).otherwise(0))
+    return F.when((x >= 1) & (x <= 4), x).otherwise(F.lit(0))
 
 
 def model_responses(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
-    """Recorded model calls: one row per (doc, agent, attempt)."""
+    """Recorded model calls: one row per (doc, agent, attempt).
+
+    Per call: k = number of overloaded attempts before the answer (k >= 4:
+    never answered); o%23=1 -> the header call fails with a non-overload
+    error; o%23=2 -> the lines call returns an empty answer. Response bodies
+    are built once per document, then ``explode`` fans out the attempts.
+    """
     f = facts if facts is not None else invoice_facts(spark, sf_dir)
     o, c, d = F.col("doc_id"), F.col("cust"), F.col("odate")
-    header = _attempt_rows("header", _tries(o % 10), _wrap(o, _header_json(o, c, d)), o,
-                           o % 23 == 1, F.lit(False))
-    lines = _attempt_rows("lines", _tries((o / 10).cast("long") % 10), _wrap(o, _lines_json(o)),
-                          o, F.lit(False), o % 23 == 2)
     # Recovery answers exist where the header lacks kvk or vat; o%2=0 also
     # answers the field that was present (the answer overwrites it).
     k8 = _s(F.lit(20000000) + (o * 7919) % 80000000)
@@ -315,13 +303,30 @@ def model_responses(spark: SparkSession, sf_dir: str, facts: DataFrame | None =
                      _q(F.concat(F.lit("NL"), v9, F.lit("B07")))).otherwise(F.lit("null"))
     rec_body = F.concat(F.lit('{"invoiceHeader": {"kvkNumber": '), rec_kvk,
                         F.lit(', "vatNumber": '), rec_vat, F.lit('}, "isCoachingInvoice": true}'))
-    recovery = _attempt_rows("header_recovery", F.lit(0), rec_body, o, F.lit(False),
-                             F.lit(False))
     needs = (o % 5 == 0) | (o % 6 == 0) | (o % 6 == 4) | (o % 31 == 3)
-    rows = F.concat(header, lines, F.when(needs, recovery).otherwise(F.array()))
-    return (f.select(o, F.explode(rows).alias("r"))
-            .select("doc_id", "r.agent", F.col("r.attempt").cast("int").alias("attempt"),
-                    "r.response_text", "r.error"))
+
+    def call(agent, body, k, other_error, empty):
+        return F.struct(F.lit(agent).alias("agent"), body.alias("body"),
+                        F.when(other_error | empty, F.lit(0)).otherwise(k).alias("k"),
+                        other_error.alias("other_error"), empty.alias("empty"))
+
+    calls = F.array(
+        call("header", _wrap(o, _header_json(o, c, d)), _tries(o % 10), o % 23 == 1, F.lit(False)),
+        call("lines", _wrap(o, _lines_json(o)), _tries((o / 10).cast("long") % 10), F.lit(False),
+             o % 23 == 2),
+        F.when(needs, call("header_recovery", rec_body, F.lit(0), F.lit(False), F.lit(False))))
+    x = (f.select(o, F.explode(calls).alias("c")).where(F.col("c").isNotNull())
+         .select("doc_id", "c.*")
+         .select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.lit(3)))).alias("attempt")))
+    a, k = F.col("attempt"), F.col("k")
+    overload = F.when(o % 2 == 0, F.lit("503 UNAVAILABLE: The model is overloaded."))\
+        .otherwise(F.lit("429 RESOURCE_EXHAUSTED: quota exceeded"))
+    text = (F.when(a < k, F.lit(None)).when(F.col("other_error"), F.lit(None))
+            .when(F.col("empty"), F.lit("")).otherwise(F.col("body")))
+    error = (F.when(a < k, overload)
+             .when(F.col("other_error"), F.lit("400 INVALID_ARGUMENT: bad request")))
+    return x.select("doc_id", "agent", a.cast("int").alias("attempt"),
+                    text.cast("string").alias("response_text"), error.cast("string").alias("error"))
 
 
 def ocr_texts(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
