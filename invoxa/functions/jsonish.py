@@ -150,39 +150,66 @@ def header_from_variant(root: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), result)
 
 
-def _case_ok(e: Column) -> Column:
-    return (is_object(e) & _is(vget(e, "$.validatedClientCaseNumber"), "STRING")
-            & opt_string_ok(vget(e, "$.rawClientCaseNumber"))
-            & opt_string_ok(vget(e, "$.date"))
-            & opt_float_ok(vget(e, "$.durationHours")))
+_CASE_FIELDS = ("validatedClientCaseNumber", "rawClientCaseNumber", "date")
 
 
-def _case(e: Column) -> Column:
-    return F.struct(opt_string(vget(e, "$.validatedClientCaseNumber")).alias("validatedClientCaseNumber"),
-                    opt_string(vget(e, "$.rawClientCaseNumber")).alias("rawClientCaseNumber"),
-                    opt_string(vget(e, "$.date")).alias("date"),
-                    float_value(vget(e, "$.durationHours")).alias("durationHours"))
+def item_facts(root: Column) -> Column:
+    """Per line item, its type names and typed values, computed once.
+
+    Store the result in a column (``withColumn``): the checks and the
+    result struct then read plain struct fields instead of re-walking the
+    VARIANT inside every lambda (no common-subexpression elimination runs
+    inside higher-order functions).
+    """
+    items = F.variant_get(root, "$.clientCases", "array<variant>")
+
+    def facts(e: Column) -> Column:
+        cols = [is_object(e).alias("is_obj")]
+        for f in _CASE_FIELDS:
+            v = vget(e, f"$.{f}")
+            cols += [vtype(v).alias(f"t_{f}"), F.when(_is(v, "STRING"),
+                                                      F.try_variant_get(v, "$", "string")).alias(f)]
+        h = vget(e, "$.durationHours")
+        cols += [vtype(h).alias("t_hours"), float_value(h).alias("hours")]
+        return F.struct(*cols)
+
+    return F.transform(items, facts)
+
+
+def _fact_ok(x: Column) -> Column:
+    def opt_str(f: str) -> Column:
+        return x[f"t_{f}"].isNull() | x[f"t_{f}"].isin("VOID", "STRING")
+    return (x["is_obj"] & F.coalesce(x["t_validatedClientCaseNumber"] == "STRING", F.lit(False))
+            & opt_str("rawClientCaseNumber") & opt_str("date")
+            & (x["t_hours"].isNull() | (x["t_hours"] == "VOID") | x["hours"].isNotNull()))
+
+
+def _fact_case(x: Column) -> Column:
+    return F.struct(x["validatedClientCaseNumber"].alias("validatedClientCaseNumber"),
+                    x["rawClientCaseNumber"].alias("rawClientCaseNumber"),
+                    x["date"].alias("date"), x["hours"].alias("durationHours"))
 
 
 def parse_lines(text: Column) -> Column:
     return lines_from_variant(parse_response(text))
 
 
-def lines_from_variant(root: Column) -> Column:
+def lines_from_variant(root: Column, facts: Column | None = None) -> Column:
     """LineItemsResult from a parsed response, NULL when it does not validate.
 
     Both lists default to empty when the key is absent; an explicit null, a
     non-list, an item without ``validatedClientCaseNumber`` or a wrongly
-    typed field fails the whole response.
+    typed field fails the whole response. ``facts``: ``item_facts(root)``,
+    ideally precomputed into a column.
     """
+    facts = item_facts(root) if facts is None else facts
     cc, na = vget(root, "$.clientCases"), vget(root, "$.clientCasesNoActivity")
-    items = F.variant_get(root, "$.clientCases", "array<variant>")
     names = F.variant_get(root, "$.clientCasesNoActivity", "array<variant>")
-    cc_ok = cc.isNull() | (is_array(cc) & F.forall(items, _case_ok))
+    cc_ok = cc.isNull() | (is_array(cc) & F.forall(facts, _fact_ok))
     na_ok = na.isNull() | (is_array(na) & F.forall(names, lambda x: _is(x, "STRING")))
     valid = is_object(root) & cc_ok & na_ok
     cases = F.when(cc.isNull(), F.array().cast(f"array<{CASE_TYPE}>")).otherwise(
-        F.transform(items, _case))
+        F.transform(facts, _fact_case))
     no_act = F.when(na.isNull(), F.array().cast("array<string>")).otherwise(
         F.transform(names, opt_string))
     return F.when(F.coalesce(valid, F.lit(False)),

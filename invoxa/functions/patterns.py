@@ -89,6 +89,15 @@ def dedupe(arr: Column) -> Column:
     return F.array_distinct(F.array_remove(arr, ""))
 
 
+# Characters Python's str.strip() removes, derived from str.isspace() (all
+# are in the Basic Multilingual Plane).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
+
+
 def strip_ws(s: Column) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(s, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
+    """Python ``str.strip()``: remove Unicode whitespace at both ends.
+
+    ``btrim`` with an explicit character set is a linear scan in generated
+    code (an anchored whitespace regex costs several times more on long text).
+    """
+    return F.btrim(s, F.lit(PY_WHITESPACE))

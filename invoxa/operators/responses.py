@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invoxa.functions.jsonish import (CASE_TYPE, HEADER_TYPE, header_from_variant,
-                                     lines_from_variant, parse_response)
+                                     item_facts, lines_from_variant, parse_response)
 from invoxa.functions.parsers import header_fields
 
 # FIXED VALUES: error fragments (lower-case) that mark an overloaded or
@@ -48,7 +48,7 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
     text = F.col("response_text")
     root = F.col("_json")
     hdr = F.when(F.col("agent").isin("header", "header_recovery"), header_from_variant(root))
-    lns = F.when(F.col("agent") == "lines", lines_from_variant(root))
+    lns = F.when(F.col("agent") == "lines", lines_from_variant(root, F.col("_facts")))
     parsed = F.coalesce(hdr.isNotNull(), F.lit(False)) | F.coalesce(lns.isNotNull(), F.lit(False))
     cls = (F.when(F.col("error").isNotNull(),
                   F.when(is_overload(F.col("error")), CLS_RETRY).otherwise(CLS_STOP))
@@ -56,6 +56,7 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
            .when(parsed, CLS_OK).otherwise(CLS_STOP))
     return (responses.where(F.col("attempt").between(0, MAX_RETRIES))
             .withColumn("_json", parse_response(text))
+            .withColumn("_facts", F.when(F.col("agent") == "lines", item_facts(F.col("_json"))))
             .select("doc_id", "agent", "attempt", cls.alias("cls"),
                     hdr.alias("hdr"), lns.alias("lns")))
 

@@ -269,11 +269,12 @@ def validate_header(spark, sf):
 
 @query
 def validate_lines(spark, sf):
-    from invoxa.functions.jsonish import lines_from_variant, parse_response
+    from invoxa.functions.jsonish import item_facts, lines_from_variant, parse_response
     r = fixtures.model_responses(spark, sf).where(
         (F.col("agent") == "lines") & F.col("response_text").isNotNull())
     r = r.withColumn("_json", parse_response(F.col("response_text")))
-    r = r.withColumn("_l", lines_from_variant(F.col("_json")))
+    r = r.withColumn("_facts", item_facts(F.col("_json")))
+    r = r.withColumn("_l", lines_from_variant(F.col("_json"), F.col("_facts")))
     x = F.col("_l")
     return r.select("doc_id", "attempt", x.isNotNull().alias("valid"),
                     F.size(x["clientCases"]).alias("n_cases"),
