@@ -233,3 +233,14 @@ ln AS (SELECT doc_id, line_no, code, {iso_date('d')} AS date,
 ORACLE["line_items_regex"] = with_(_LINES, "SELECT doc_id, line_no, code, date, hours FROM ln")
 ORACLE["hours_by_case_date"] = with_(_LINES, """
 SELECT doc_id, code, date, sum(hours) AS hours, count(*) AS n_lines FROM ln GROUP BY doc_id, code, date""")
+
+ORACLE["result_json"] = with_(PHASE2, """
+SELECT doc_id, replace(filename, '.pdf', '_parsed.json') AS output_file,
+       CAST(to_json({'invoiceHeader': {'supplierName': supplierName, 'invoiceNumber': invoiceNumber,
+                                       'invoiceDate': invoiceDate, 'kvkNumber': kvkNumber,
+                                       'vatNumber': vatNumber},
+                     'isCoachingInvoice': isCoachingInvoice,
+                     'clientCases': list_transform(cases, lambda c: {'validatedClientCaseNumber': c.v,
+                         'rawClientCaseNumber': c.r, 'date': c.d, 'durationHours': c.h}),
+                     'clientCasesNoActivity': na}) AS VARCHAR) AS json
+FROM final""")
