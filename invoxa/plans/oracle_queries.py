@@ -244,3 +244,29 @@ SELECT doc_id, replace(filename, '.pdf', '_parsed.json') AS output_file,
                          'rawClientCaseNumber': c.r, 'date': c.d, 'durationHours': c.h}),
                      'clientCasesNoActivity': na}) AS VARCHAR) AS json
 FROM final""")
+
+# ------------------------------------------------------------------ prompts, rollup
+ORACLE["prompts"] = with_(MATCHES, """
+SELECT doc_id,
+       'Extract the invoice header as JSON.' || chr(10) || 'HINTS:' || chr(10) || '- KVK: '
+       || coalesce(kvk_numbers[1], 'None') || chr(10) || '- VAT: ' || coalesce(vat_numbers[1], 'None')
+       || chr(10) || '- Date: ' || coalesce(dates[1], 'None') || chr(10) || '- Invoice number: '
+       || coalesce(invoice_numbers[1], 'None') || chr(10) || 'TEXT:' || chr(10) || text AS header_prompt,
+       'Extract the billable line items as JSON.' || chr(10) || 'ALLOWED CASES:' || chr(10)
+       || CASE WHEN len(allowed_prompt) > 0 THEN array_to_string(allowed_prompt, chr(10))
+               ELSE '(No allowed cases provided)' END || chr(10) || 'TEXT:' || chr(10) || text AS line_prompt
+FROM p1f WHERE is_coaching_invoice AND ready_for_llm AND length(filename) > 0""")
+ORACLE["recovery_prompts"] = with_(PHASE2, """
+SELECT doc_id,
+       'Recover the missing header fields from the OCR text.' || chr(10) || 'MISSING:' || chr(10)
+       || CASE WHEN coalesce(kvk1, '') = '' THEN '- KvK Number' || chr(10) ELSE '' END
+       || CASE WHEN coalesce(vat1, '') = '' THEN '- VAT Number' || chr(10) ELSE '' END
+       || 'KNOWN: supplierName=' || coalesce(h_supplierName, 'None') || ', invoiceNumber='
+       || coalesce(h_invoiceNumber, 'None') || ', invoiceDate=' || coalesce(h_invoiceDate, 'None')
+       || ', isCoachingInvoice=' || CASE WHEN coaching THEN 'true' ELSE 'false' END || chr(10)
+       || 'OCR TEXT:' || chr(10) || ocr_text AS recovery_prompt
+FROM f2 WHERE ocr_ok AND (coalesce(kvk1, '') = '' OR coalesce(vat1, '') = '')""")
+ORACLE["results_rollup"] = with_(PHASE2, """
+SELECT count(*) AS n_results, sum(len(cases)) AS n_cases, avg(len(cases)) AS avg_cases,
+       sum(len(na)) AS n_no_activity
+FROM final""")

@@ -393,3 +393,54 @@ def line_items_regex(spark, sf):
 def hours_by_case_date(spark, sf):
     from invoxa.operators.lines import hours_by_case_date as agg, line_items
     return agg(line_items(document_text(_pages(spark, sf))))
+
+
+# ------------------------------------------------------------- prompts, rollup
+@query
+def prompts(spark, sf):
+    """Header and line-item prompt per work-list document (hints from phase 1)."""
+    from invoxa.operators.prompts import header_prompt, line_prompt
+    from invoxa.plans.pipeline import work_list
+    w = work_list(_p1(spark, sf))
+    h = D.header_hints(F.col("patterns"))
+    return w.select("doc_id",
+                    header_prompt(F.col("text"), h["kvk"], h["vat"], h["invoice_date"],
+                                  h["invoice_number"]).alias("header_prompt"),
+                    line_prompt(F.col("text"), F.col("allowed_prompt")).alias("line_prompt"))
+
+
+@query
+def recovery_prompts(spark, sf):
+    """Recovery prompt for documents that reach tier 2 of the OCR recovery."""
+    from invoxa.functions.parsers import header_fields
+    from invoxa.operators.prompts import recovery_prompt
+    from invoxa.operators.responses import classify_attempts, resolve_attempts
+    from invoxa.plans.pipeline import work_list
+    inp = _inputs(spark, sf)
+    w = work_list(phase1(inp.pages, inp.registry)).select("doc_id")
+    r = resolve_attempts(classify_attempts(inp.responses)).select("doc_id", "header_res")
+    x = w.join(r, "doc_id", "left").join(inp.ocr.select("doc_id", "text"), "doc_id", "inner")
+    h = F.col("header_res.invoiceHeader")
+    kvk, vat = h["kvkNumber"], h["vatNumber"]
+
+    def missing(c):
+        return F.coalesce(c, F.lit("")) == ""
+
+    t1 = header_fields(F.col("text"))
+    kvk1 = F.when(missing(kvk) & ~missing(t1["kvkNumber"]), t1["kvkNumber"]).otherwise(kvk)
+    vat1 = F.when(missing(vat) & ~missing(t1["vatNumber"]), t1["vatNumber"]).otherwise(vat)
+    need = (missing(kvk) | missing(vat)) & (F.length("text") > 0) & (missing(kvk1) | missing(vat1))
+    coaching = F.coalesce(F.col("header_res.isCoachingInvoice"), F.lit(False))
+    return x.where(need).select("doc_id", recovery_prompt(
+        F.col("text"), h["supplierName"], h["invoiceNumber"], h["invoiceDate"], missing(kvk1),
+        missing(vat1), coaching).alias("recovery_prompt"))
+
+
+@query
+def results_rollup(spark, sf):
+    """Run totals of phase 2: results written, line items, mean per result."""
+    f = _final(spark, sf)
+    return f.agg(F.count(F.lit(1)).alias("n_results"),
+                 F.sum(F.size("clientCases")).alias("n_cases"),
+                 F.avg(F.size("clientCases")).alias("avg_cases"),
+                 F.sum(F.size("clientCasesNoActivity")).alias("n_no_activity"))
