@@ -37,15 +37,17 @@ def contamination(code: Column) -> Column:
             .when(has_i, "I_only").otherwise("O_only"))
 
 
-def match_record(original: Column, exact_hit: Column, candidates: Column) -> Column:
+def match_record(original: Column, exact_hit: Column, candidates: Column,
+                 n_rows: Column | None = None) -> Column:
     """Match decision for one stripped code.
 
     ``exact_hit``: the code itself is registered (case-sensitive).
     ``candidates``: sorted registered codes sharing its canonical form (NULL
-    when none). Returns struct(matchedCode, matchStatus, matchConfidence,
-    contamination, candidates, notes).
+    when none); ``n_rows``: registry rows behind them (duplicates counted),
+    defaults to the number of candidates. Returns struct(matchedCode,
+    matchStatus, matchConfidence, contamination, candidates, notes).
     """
-    n = F.coalesce(F.size(candidates), F.lit(0))
+    n = F.coalesce(n_rows if n_rows is not None else F.size(candidates), F.lit(0))
     empty = F.array().cast("array<string>")
     first = F.get(candidates, 0)
 

@@ -136,16 +136,15 @@ def manifest_rows(docs: DataFrame) -> DataFrame:
 
 
 def manifest_rollup(manifest: DataFrame) -> DataFrame:
-    """One row: total and the invoice list (sorted by filename).
+    """Manifest header: one row of totals (partial aggregates only).
 
-    The list is the manifest itself; building it is a single-row sink and
-    is meant for small batches. ``total_invoices`` alone aggregates partially.
+    The invoice entries stay a table (``manifest_rows``); they are never
+    collected into one row, so the manifest scales with the batch.
     """
     return manifest.agg(
         F.count(F.lit(1)).alias("total_invoices"),
-        F.array_sort(F.collect_list(F.struct(
-            "filename", "confidence", "is_coaching_invoice", "client_case_verdict",
-            "client_case_reason", "ready_for_llm"))).alias("invoices"))
+        F.count_if(F.col("ready_for_llm")).alias("ready_invoices"),
+        F.count_if(F.col("is_coaching_invoice")).alias("coaching_invoices"))
 
 
 def run_report(summary: DataFrame) -> DataFrame:

@@ -44,11 +44,18 @@ def ref_codes(registry: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def ref_canon(codes: DataFrame) -> DataFrame:
-    """(canon, candidates, n): codes per canonical form, duplicates kept,
-    candidates sorted (registry file order is not a table property)."""
-    return (codes.groupBy("canon")
+    """(canon, candidates, n) per canonical form.
+
+    ``n`` counts registry rows, duplicates included (a code listed twice makes
+    its form ambiguous); ``candidates`` are the distinct codes, sorted
+    (registry file order is not a table property). Pre-aggregating on
+    (canon, code) combines duplicate rows map-side, so a heavily duplicated
+    code never becomes one huge group or array.
+    """
+    per_code = codes.groupBy("canon", "code").agg(F.count(F.lit(1)).alias("_k"))
+    return (per_code.groupBy("canon")
             .agg(F.sort_array(F.collect_list("code")).alias("candidates"),
-                 F.count(F.lit(1)).alias("n")))
+                 F.sum("_k").alias("n")))
 
 
 def lookup_tables(registry_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +63,8 @@ def lookup_tables(registry_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = registry_codes.select(F.col("code").alias("_exact_code")).distinct()\
         .withColumn("_exact_hit", F.lit(True))
     canon = ref_canon(registry_codes).select(F.col("canon").alias("_canon_key"),
-                                             F.col("candidates").alias("_candidates"))
+                                             F.col("candidates").alias("_candidates"),
+                                             F.col("n").alias("_n"))
     return broadcast_if_small(exact), broadcast_if_small(canon)
 
 
@@ -75,9 +83,10 @@ def match_codes(df: DataFrame, code_col: str, lookups: tuple[DataFrame, DataFram
          .join(exact, F.col("_orig") == F.col("_exact_code"), "left")
          .join(canon, F.col("_canon") == F.col("_canon_key"), "left"))
     rec = match_record(F.col("_orig"), F.coalesce(F.col("_exact_hit"), F.lit(False)),
-                       F.col("_candidates"))
+                       F.col("_candidates"), F.col("_n"))
     return (x.withColumn(out, F.when(F.col(code_col).isNotNull(), rec))
-            .drop("_orig", "_canon", "_exact_code", "_exact_hit", "_canon_key", "_candidates"))
+            .drop("_orig", "_canon", "_exact_code", "_exact_hit", "_canon_key", "_candidates",
+                  "_n"))
 
 
 def match_cases(docs: DataFrame, lookups: tuple[DataFrame, DataFrame]) -> DataFrame:

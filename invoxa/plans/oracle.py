@@ -188,7 +188,7 @@ def contamination(x: str) -> str:
 
 REF = FX_REGISTRY + f""",
 ref_codes AS (SELECT trim(code) AS code, {canon('code')} AS canon FROM fx_registry WHERE trim(code) <> ''),
-ref_canon AS (SELECT canon, list(code ORDER BY code) AS candidates, count(*) AS n
+ref_canon AS (SELECT canon, list(DISTINCT code ORDER BY code) AS candidates, count(*) AS n
               FROM ref_codes GROUP BY canon)"""
 
 

@@ -78,7 +78,8 @@ SELECT filename, confidence_score AS confidence, is_coaching_invoice,
        verdict AS client_case_verdict, reason AS client_case_reason, ready_for_llm
 FROM p1f""")
 ORACLE["manifest_rollup"] = with_(MATCHES, """
-SELECT count(*) AS total_invoices, count(*) FILTER (WHERE ready_for_llm) AS ready_invoices FROM p1f""")
+SELECT count(*) AS total_invoices, count(*) FILTER (WHERE ready_for_llm) AS ready_invoices,
+       count(*) FILTER (WHERE is_coaching_invoice) AS coaching_invoices FROM p1f""")
 ORACLE["run_report"] = with_(MATCHES, """
 SELECT count(*) AS total, count(*) FILTER (WHERE text_length > 0) AS successful,
        avg(text_length) AS avg_text_length, avg(confidence_score) AS avg_confidence,

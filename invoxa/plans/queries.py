@@ -175,10 +175,7 @@ def manifest_rows(spark, sf):
 
 @query
 def manifest_rollup(spark, sf):
-    r = D.manifest_rollup(D.manifest_rows(_p1(spark, sf)))
-    return r.select("total_invoices",
-                    F.size(F.filter("invoices", lambda i: i["ready_for_llm"])).cast("long")
-                    .alias("ready_invoices"))
+    return D.manifest_rollup(D.manifest_rows(_p1(spark, sf)))
 
 
 @query
