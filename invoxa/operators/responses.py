@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invoxa.functions.jsonish import (CASE_TYPE, HEADER_TYPE, header_from_variant,
-                                     item_facts, lines_from_variant, parse_response)
+from invoxa.functions.jsonish import (CASE_TYPE, header_from_variant, item_facts,
+                                     lines_from_variant, parse_response)
 from invoxa.functions.parsers import header_fields
 
 # FIXED VALUES: error fragments (lower-case) that mark an overloaded or
@@ -106,10 +106,6 @@ def _present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def default_header() -> Column:
-    return F.lit(None).cast(HEADER_TYPE)
-
-
 def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column) -> Column:
     """Header after the OCR tiers; struct(header, kvk_source, vat_source).
 

@@ -112,7 +112,7 @@ FROM p1f""")
 
 # ------------------------------------------------------------------ phase 2
 from invoxa.operators.lines import LINE_PATTERN  # noqa: E402
-from invoxa.plans.oracle import (FX_FACTS, FX_RESPONSES, PHASE2, PHASE3, carve,  # noqa: E402
+from invoxa.plans.oracle import (FX_RESPONSES, PHASE2, PHASE3, carve,  # noqa: E402
                                  header_ok, iso_date, lines_ok)
 
 _RESP = FX_RESPONSES

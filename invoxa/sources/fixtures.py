@@ -96,7 +96,7 @@ def invoice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_totalprice").alias("total"), "lines"))
 
 
-def _header_page(f: DataFrame) -> Column:
+def _header_page() -> Column:
     o, c, d = F.col("doc_id"), F.col("cust"), F.col("odate")
     num = _s(o + 100000)
     number = (F.when(o % 19 == 3, F.concat(F.lit("Betreft: facturen "), num))
@@ -131,7 +131,7 @@ def _header_page(f: DataFrame) -> Column:
                        F.concat(F.lit("Factuurdatum: "), date), due, kvk, vat, email)
 
 
-def _body_page(f: DataFrame) -> Column:
+def _body_page() -> Column:
     o = F.col("doc_id")
 
     def line(s: Column) -> Column:
@@ -166,7 +166,7 @@ def invoice_pages(spark: SparkSession, sf_dir: str, facts: DataFrame | None = No
     """
     f = facts if facts is not None else invoice_facts(spark, sf_dir)
     o = F.col("doc_id")
-    header, body = _header_page(f), _body_page(f)
+    header, body = _header_page(), _body_page()
 
     def page(no, text):
         return F.struct(F.lit(no).alias("page_no"), text.alias("page_text"))
