@@ -113,7 +113,7 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[int, np.ndarray]:
 
 
 def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2000,
-          quantile: float = 0.002, slack: float = 0.5) -> LanguageModel:
+          quantile: float = 0.002, slack: float = 0.3) -> LanguageModel:
     """Fit on rows of (``text``, ``lang``); rows with a null or without a letter
     take no part.
 
