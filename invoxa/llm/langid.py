@@ -156,6 +156,18 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
                          [r["lang"] for r in got], np.array([r["at_least"] for r in got]))
 
 
+def _predict(model: LanguageModel, docs: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, cosines, and whether rejected."""
+    names, scores, rejected = [UNDETERMINED] * len(docs), np.zeros(len(docs)), np.ones(len(docs), bool)
+    some = [i for i, d in enumerate(docs) if len(d)] if model.languages else []
+    if some:
+        best, cosine = model.nearest([docs[i] for i in some])
+        scores[some], rejected[some] = cosine, cosine < model.limits[best]
+        for i, c in zip(some, best):
+            names[i] = model.languages[c]
+    return names, scores, rejected
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score, rejected.
 
@@ -166,14 +178,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     null or repeat; other columns are dropped, whatever their names. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, docs_ in _blocks(batches, 1):
-            names, scores, rejected = [UNDETERMINED] * len(docs_), np.zeros(len(docs_)), np.ones(len(docs_), bool)
-            some = [i for i, d in enumerate(docs_) if len(d)] if model.languages else []
-            if some:
-                best, cosine = model.nearest([docs_[i] for i in some])
-                scores[some], rejected[some] = cosine, cosine < model.limits[best]
-                for i, c in zip(some, best):
-                    names[i] = model.languages[c]
+        for part, found in _blocks(batches, 1):
+            names, scores, rejected = _predict(model, found)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
                 names=["doc_id", "lang_pred", "score", "rejected"])
@@ -182,6 +188,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that ``identify`` does not reject."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _blocks(batches, at):
+            yield part.filter(pa.array(~_predict(model, found)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text leaves 1 when divided by 3 (null: false)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

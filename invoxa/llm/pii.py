@@ -130,31 +130,31 @@ def _spans(zipped: Column, kind: Kind, rank: int, block: int = 512) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text, spans.
+    """One row per row of ``docs``: row (all its columns), doc_id, text, spans.
 
     ``spans`` is an array of (start, rank, end, kind, value, score), ordered by
     start, then by the order of KINDS; places count code points from 0, the end is
     exclusive. Spans of kinds that are not base and touch a base span are dropped.
-    Null and empty texts have no spans. Ids may be null or repeat; other columns of
-    the input are dropped, whatever their names. No shuffle, no Python code on the
+    Null and empty texts have no spans. Ids may be null or repeat; the
+    columns of the input may have any names. No shuffle, no Python code on the
     executors; a text is one row, whose patterns run in linear time.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     some = {"email": F.contains(F.col("text"), F.lit("@")), "phone": F.contains(F.col("text"), F.lit("+"))}
     digit = F.regexp_like(F.col("text"), F.lit("[0-9]"))
     empty = F.array().cast("array<string>")
     out = out.select("*", *(F.when(some.get(k.name, digit), _matches(F.col("text"), k)).otherwise(empty).alias(f"m_{k.name}")
                             for k in KINDS))
-    out = out.select("doc_id", "text", *(
+    out = out.select("row", "doc_id", "text", *(
         F.when(F.size(f"m_{k.name}") > 0, F.arrays_zip(
             F.col(f"m_{k.name}").alias("v"), F.split("text", k.pattern, -1).alias("g"))).alias(f"z_{k.name}") for k in KINDS))
-    out = out.select("doc_id", "text", *(
+    out = out.select("row", "doc_id", "text", *(
         F.coalesce(_spans(F.col(f"z_{k.name}"), k, i), F.array().cast(SPAN)).alias(f"s_{k.name}")
         for i, k in enumerate(KINDS)))
-    out = out.select("doc_id", "text", F.concat(*(f"s_{k.name}" for k in KINDS if k.base)).alias("base"),
+    out = out.select("row", "doc_id", "text", F.concat(*(f"s_{k.name}" for k in KINDS if k.base)).alias("base"),
                      F.concat(*(f"s_{k.name}" for k in KINDS if not k.base)).alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return out.select("doc_id", "text", F.array_sort(F.concat(F.col("base"), apart)).alias("spans"))
+    return out.select("row", "doc_id", "text", F.array_sort(F.concat(F.col("base"), apart)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from invoxa.llm.common import byte_texts, mix, written
@@ -47,14 +47,16 @@ def fingerprint(text: bytes | None, words: int = 3, block: int = 1 << 16) -> int
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row. No shuffle."""
+    """doc_id, fp (the 64 bits as a signed long), text_hash for each row. No shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in byte_texts(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)],
+                                             names=["doc_id", "fp", "text_hash"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def key_masks(radius: int) -> np.ndarray:
@@ -229,6 +231,21 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def grouped(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, text_hash, root (the component's own fingerprint), component_id
+    for each row."""
+    if not 0 <= radius <= 3:
+        raise ValueError("radius must be 0 to 3")
+    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    buckets = max(32, fps.count() // 8192)
+    roots = components(links(reps, radius, buckets))
+    named = reps.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first")
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(written(named.join(lowest, "root"), "components"), "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id (the
@@ -239,24 +256,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     only has a null one. Repeated rows each give a row. Other columns are dropped,
     whatever their names. ``radius`` may be 0 to 3.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("radius must be 0 to 3")
-    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    buckets = max(32, fps.count() // 8192)
-    roots = components(links(reps, radius, buckets))
-    named = reps.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first")
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = written(named.join(lowest, "root").select("fp", "component_id"), "components")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` (columns kept) whose ``doc_id`` is its component's
-    smallest: one document of each group of near-duplicates. Of repeated rows with
-    that id one stays; of a group whose ids are all null, all stay."""
-    keep = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.select(F.col("doc_id").alias("__id"), F.struct("*").alias("__row"))
-    named = whole.join(keep.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
-    return named.select("__row.*")
+    return grouped(docs, words, radius, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` (all columns) for each component of near-duplicates: the
+    one with the smallest id (null last), then the smallest hash of its text."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    stay = grouped(docs, words, radius, id_col, text_col).groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("stay_id"), F.col("first.text_hash").alias("stay_hash"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"),
+                        F.xxhash64(text_col).alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_hash") == F.col("stay_hash"))
+    once = Window.partitionBy("row_id", "row_hash").orderBy(F.lit(0))  # repeated rows
+    return (whole.join(stay, same, "left_semi").withColumn("place", F.row_number().over(once))
+            .where("place = 1").select("row.*"))

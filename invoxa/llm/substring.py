@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from invoxa.llm.common import byte_texts, mix, no_cycles, windows
 
@@ -138,16 +140,16 @@ def _told(part: pa.Table) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, period: int = 7, per_batch: int = 500,
-                   id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the words that
-    stay, joined by one space), original (the text), and the columns ``keep``.
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: row (all its columns), doc_id, n_words, n_removed,
+    kept (the words that stay, joined by one space).
 
     A word (a run of other characters than ASCII white space) is removed if a window
     of ``length`` words that covers it also starts in a document with a smaller id;
     windows are those of the input. Null, empty and short texts lose nothing; null
     text counts as empty. Rows with one id, or repeated rows, are one document's and
     take nothing from each other; null ids come after all others and take nothing
-    from each other either. Other columns are dropped unless in ``keep``.
+    from each other either. The columns of the input may have any names.
 
     Windows are compared by 64-bit hashes, after a hash of their anchor. Each batch
     of about ``per_batch`` documents, and each bucket of hashes, is one task's
@@ -158,13 +160,14 @@ def remove_repeats(docs: DataFrame, length: int = 13, period: int = 7, per_batch
     n = docs.count()
     batches, buckets = max(1, -(-n // per_batch)), max(32, n // (2 * per_batch))
     number = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(batches))
-    rows = docs.select(number.alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                       *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    kept_fields = [f for f in rows.schema.fields if f.name.startswith("keep_")]
+    columns = docs.columns
+    rows = docs.select(number.alias("batch"), F.col(id_col).cast("long").alias("doc_id"),
+                       *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    text_at = columns.index(text_col) + 2
 
     def read(part: pa.Table) -> Batch:
         part = part.combine_chunks()
-        texts = [t for c in part.column(2).chunks for t in byte_texts(c)]
+        texts = [t for c in part.column(text_at).chunks for t in byte_texts(c)]
         return Batch(part.column(1), texts, _hashes(), length)
 
     def first_keys(part: pa.Table) -> pa.Table:
@@ -195,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, period: int = 7, per_batch
 
     def remove(key, part: pa.Table, told: pa.Table) -> pa.Table:
         if not part.num_rows:
-            return out_schema_empty()
+            return to_arrow_schema(out_schema).empty_table()
         part = part.combine_chunks()
         batch = read(part)
         at, h = batch.hashes_of(length)
@@ -211,26 +214,19 @@ def remove_repeats(docs: DataFrame, length: int = 13, period: int = 7, per_batch
             counts.append(int(lost.sum()))
             kept.append(b" ".join([w for w, x in zip(words, lost.tolist()) if not x] if counts[-1] else words).decode("utf-8", "replace"))
         return pa.table([part.column(1), pa.array([len(w) for w in batch.words], pa.int64()),
-                         pa.array(counts, pa.int64()), pa.array(kept, pa.string()), part.column(2),
-                         *(part.column(3 + i) for i in range(len(kept_fields)))], names=names)
+                         pa.array(counts, pa.int64()), pa.array(kept, pa.string()), *part.columns[2:]],
+                        names=["doc_id", "n_words", "n_removed", "kept", *part.column_names[2:]])
 
-    names = ["doc_id", "n_words", "n_removed", "kept", "original", *(f.name for f in kept_fields)]
-    out_schema = "doc_id long, n_words long, n_removed long, kept string, original string" + "".join(
-        f", {f.name} {f.dataType.simpleString()}" for f in kept_fields)
-
-    def out_schema_empty() -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        return to_arrow_schema(_parse_datatype_string(out_schema)).empty_table()
+    out_schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+    out_schema = T.StructType(out_schema.fields + [f for f in rows.schema.fields if f.name not in ("batch", "doc_id")])
 
     anchors = rows.groupBy("batch").applyInArrow(first_keys, DEALT)
     told = anchors.groupBy("bucket").applyInArrow(shared_anchors, "batch long, keys binary")
     found = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(window_keys, DEALT)
     later = found.groupBy("bucket").applyInArrow(earlier_windows, "batch long, keys binary")
     out = rows.groupBy("batch").cogroup(later.groupBy("batch")).applyInArrow(remove, out_schema)
-    return out.select("doc_id", "n_words", "n_removed", "kept", "original",
-                      *(F.col(f.name).alias(c) for f, c in zip(kept_fields, keep)))
+    return out.select("doc_id", "n_words", "n_removed", "kept",
+                      F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns))).alias("row"))
 
 
 _SEEN: list[_Hashes] = []
