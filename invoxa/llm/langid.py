@@ -119,18 +119,20 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
 
     Document frequencies come from all rows. Centroids are fitted for each
     language, in one task each, on a sample of about ``most`` rows (at most twice
-    that; those whose content hash is smallest), which bounds that task.
+    that; those whose hash of id, if there is a ``doc_id``, text and language is
+    smallest), which bounds that task.
     A centroid's limit is ``slack`` times the ``quantile`` of its members'
     cosines, so only texts unlike nearly all of the sample are rejected.
     The model's size follows the number of languages, not of rows.
     """
-    rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    of_row = F.xxhash64(*(c for c in ("doc_id", "text", "lang") if c in labelled.columns))
+    rows = labelled.select("text", "lang", (of_row.bitwiseAND(0x7FFFFFFF) / float(1 << 31)).alias("part")) \
+        .where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.groupBy("lang").count()
     n, df = document_frequencies(rows, bits)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    part = (F.xxhash64("text", F.col("lang")).bitwiseAND(0x7FFFFFFF) / float(1 << 31))
-    sample = rows.join(counts, "lang").where(part * F.col("count") < most).select("lang", "text")
+    sample = rows.join(counts, "lang").where(F.col("part") * F.col("count") < most).select("lang", "text")
 
     def fit(table: pa.Table) -> pa.Table:
         keys = table.column(1).to_pylist()[:2 * most]
@@ -206,4 +208,4 @@ def held_out(id_col: str = "doc_id"):
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """The rows to learn from: labelled, with an id, not held out."""
-    return docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang")
+    return docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")

@@ -116,8 +116,8 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
 
     Vectors that are null, empty, or hold null or non-finite components, and rows
     with a null id, take no part; shorter vectors are filled with zeros. Repeated
-    rows are candidates each; repeated equal queries are one. Scores beyond a long
-    are cut to its range after they are ranked. Other columns are dropped.
+    rows are candidates each; repeated equal queries are one. A score beyond the range
+    of a long counts as that range's end. Other columns are dropped.
 
     Queries in chunks meet rows in blocks: one task's group is a block of about
     ``block`` rows with a chunk of about ``chunk`` queries, whatever the input.
@@ -145,9 +145,9 @@ def search(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20
             index = None if large else SlicedBlock(ids, x)
             for own, of, query in zip(these.column("vec_id").to_pylist(), these.column("of").to_pylist(), q):
                 if large:
-                    scores = x @ query
+                    scores = [max(-LONG - 1, min(LONG, s)) for s in x @ query]
                     some = [i for i in sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])) if ids[i] != own][:k]
-                    best, scores = ids[some], [max(-LONG - 1, min(LONG, scores[i])) for i in some]
+                    best, scores = ids[some], [scores[i] for i in some]
                 else:
                     some = index.best(query, k, own)
                     best, scores = index.ids[some], (index.values[some] @ query).tolist()
