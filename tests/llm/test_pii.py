@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
+import tempfile
 
 from pyspark.sql import functions as F
 
-from invoxa.llm import pii
+from invoxa.llm import pii, queries
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -45,6 +47,19 @@ def test_base_spans_against_definition(spark):
         assert got[i].base == slow_base(t), t
 
 
+def test_query_digests(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 14))) for _ in range(200)] + [None, ""]
+    folder = tempfile.mkdtemp(prefix="invoxa-test-")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    for row in queries.op6_pii(spark, folder).collect():
+        base = slow_base(texts[row.doc_id])
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        counts = [sum(x.startswith(k + ":") for x in base.split(",")) for k in PATTERNS]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == counts
+        assert set(filter(None, base.split(","))) <= set(row.spans.split(","))
+
+
 def test_long_texts_stay_linear(spark):
     texts = ["1 " * 50_000, "x@" + "a." * 50_000 + "b", "a@b.co " * 3000, "4111111111111111 " * 2000, "a" * 300_000, "9" * 300_000]
     got = found(spark, texts)
