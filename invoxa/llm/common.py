@@ -67,7 +67,15 @@ class Memo:
 
     def one(self, key):
         v = self.now.get(key)
-        return self.getter({key})(key) if v is None else v
+        if v is None:
+            if self.size > self.most:
+                self.before, self.now, self.size = self.now, {}, 0
+            v = self.before.get(key)
+            if v is None:
+                v = self.make(key)
+            self.now[key] = v
+            self.size += len(key) + len(v) + 180
+        return v
 
 
 @contextmanager
