@@ -2,8 +2,7 @@
 scoring expressed as Spark DataFrame plans.
 
 Every public operator takes DataFrames (or Columns) and returns DataFrames (or
-Columns). Nothing is collected to the driver; the only driver-side action is a
-bounded size probe before a broadcast (see ``invoxa.plans.joins``).
+Columns). Nothing is collected to the driver.
 """
 
 __version__ = "0.1.0"

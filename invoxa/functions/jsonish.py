@@ -18,6 +18,7 @@ HEADER_FIELDS = ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "v
 # FIXED VALUES: strings accepted for a boolean field (case-insensitive).
 BOOL_TRUE = ("1", "on", "t", "true", "y", "yes")
 BOOL_FALSE = ("0", "off", "f", "false", "n", "no")
+NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
 
 HEADER_TYPE = ("struct<invoiceHeader:struct<supplierName:string,invoiceNumber:string,"
                "invoiceDate:string,kvkNumber:string,vatNumber:string>,isCoachingInvoice:boolean>")
@@ -98,7 +99,7 @@ def opt_string(v: Column) -> Column:
 
 def bool_value(v: Column) -> Column:
     """Lax boolean: JSON bool, number 0/1, or one of the accepted strings."""
-    s = F.lower(strip_ws(F.try_variant_get(v, "$", "string")))
+    s = F.lower(F.try_variant_get(v, "$", "string"))
     num = F.try_variant_get(v, "$", "double")
     return (F.when(_is(v, "BOOLEAN"), F.try_variant_get(v, "$", "boolean"))
             .when(is_number(v) & (num == 1.0), F.lit(True))
@@ -108,10 +109,11 @@ def bool_value(v: Column) -> Column:
 
 
 def float_value(v: Column) -> Column:
-    """Lax float: JSON number, numeric string or bool; NULL otherwise."""
+    """Lax float: JSON number, numeric string or bool; NULL otherwise. A string must
+    look like a number: the cast alone would accept type suffixes (``1.5d``)."""
+    s = strip_ws(F.try_variant_get(v, "$", "string"))
     return (F.when(is_number(v), F.try_variant_get(v, "$", "double"))
-            .when(_is(v, "STRING"), strip_ws(F.try_variant_get(v, "$", "string"))
-                  .try_cast("double"))
+            .when(_is(v, "STRING") & s.rlike(NUMBER_TEXT), s.try_cast("double"))
             .when(_is(v, "BOOLEAN"), F.try_variant_get(v, "$", "boolean").cast("double")))
 
 
@@ -123,9 +125,12 @@ def parse_response(text: Column) -> Column:
     """VARIANT of the carved response text (NULL when it is not JSON).
 
     Compute it once into a column (``withColumn``) and validate from that
-    column: the checks below read many paths of the same document.
+    column: the checks below read many paths of the same document. Inside
+    brackets, text after the JSON value makes the whole invalid or a longer list.
     """
-    return F.try_parse_json(carve_json(text))
+    listed = F.try_parse_json(F.concat(F.lit("["), carve_json(text), F.lit("]")))
+    values = F.try_variant_get(listed, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, 0))
 
 
 def parse_header(text: Column) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from invoxa.functions.jsonish import HEADER_FIELDS
 
-# FIXED VALUES: points per document and report texts.
+# FIXED VALUES: points per document, order of the report lines, and report texts.
 POINTS_TOTAL = 7
+REPORT_ORDER = ("invoiceNumber", "invoiceDate", "supplierName", "kvkNumber", "vatNumber")
 MARK = "❌"
 
 
@@ -81,6 +82,7 @@ def evaluate(generated: DataFrame, truth: DataFrame) -> DataFrame:
     gset, tset = code_set(F.col("g_cases")), code_set(F.col("t_cases"))
     gna = F.sort_array(F.array_distinct(F.col("g_na")))
     tna = F.sort_array(F.array_distinct(F.col("t_na")))
+    scored = dict(fields)
     cases_ok = gset == tset
     na_ok = gna == tna
     missing = F.array_except(tset, gset)
@@ -90,7 +92,7 @@ def evaluate(generated: DataFrame, truth: DataFrame) -> DataFrame:
     reports = [F.when(~ok, F.concat(F.lit(f"{MARK} {f} mismatch: Expected '"),
                                      _py_str(F.col("t_header")[f]), F.lit("', got '"),
                                      _py_str(F.col("g_header")[f]), F.lit("'")))
-               for f, ok in fields]
+               for f in REPORT_ORDER for ok in [scored[f]]]
     reports.append(F.when(~cases_ok, F.concat(
         F.lit(f"{MARK} Line Items mismatch. Missing: "), _py_set(missing),
         F.lit(", Unexpected: "), _py_set(extra))))

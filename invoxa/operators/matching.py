@@ -2,7 +2,7 @@
 
 Registry lookups are equi-joins against two small tables: ``ref_codes``
 (exact, case-sensitive membership) and ``ref_canon`` (canonical form ->
-sorted candidates). Both are broadcast only after a bounded size check.
+sorted candidates). Spark broadcasts them if they are under its byte threshold.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from invoxa.functions.codes import (STATUS_AMBIGUOUS, STATUS_EXACT, STATUS_FUZZY,
                                     STATUS_UNKNOWN, canonical_code, match_record)
 from invoxa.functions.patterns import strip_ws
-from invoxa.plans.joins import broadcast_if_small
 
 # FIXED VALUES: verdicts and their reason texts.
 VERDICT_ACCEPT, VERDICT_REVIEW, VERDICT_REJECT = "accept", "needs_review", "reject"
@@ -59,13 +58,15 @@ def ref_canon(codes: DataFrame) -> DataFrame:
 
 
 def lookup_tables(registry_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Broadcast-checked (exact, canon) lookup tables for ``match_codes``."""
+    """(exact, canon) lookup tables for ``match_codes``. No hint and no counting job:
+    Spark broadcasts them if its statistics, before or at run time, are under its
+    byte threshold."""
     exact = registry_codes.select(F.col("code").alias("_exact_code")).distinct()\
         .withColumn("_exact_hit", F.lit(True))
     canon = ref_canon(registry_codes).select(F.col("canon").alias("_canon_key"),
                                              F.col("candidates").alias("_candidates"),
                                              F.col("n").alias("_n"))
-    return broadcast_if_small(exact), broadcast_if_small(canon)
+    return exact, canon
 
 
 def match_codes(df: DataFrame, code_col: str, lookups: tuple[DataFrame, DataFrame],
@@ -73,8 +74,8 @@ def match_codes(df: DataFrame, code_col: str, lookups: tuple[DataFrame, DataFram
     """Add ``out`` = match record of ``code_col`` (NULL code -> NULL record).
 
     Two left equi-joins (exact code, canonical form) then one ``when`` chain;
-    both lookups are broadcast when their size check passes, so the input
-    keeps its partitioning.
+    lookups under Spark's broadcast threshold leave the input's
+    partitioning as it is.
     """
     exact, canon = lookups
     original = strip_ws(F.col(code_col))

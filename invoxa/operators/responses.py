@@ -106,7 +106,14 @@ def _present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column) -> Column:
+def needs_recovery(header_res: Column) -> Column:
+    """Whether kvk or vat is missing ('' counts as missing)."""
+    h = header_res["invoiceHeader"]
+    return _missing(h["kvkNumber"]) | _missing(h["vatNumber"])
+
+
+def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column,
+                   ocr_fields: Column | None = None) -> Column:
     """Header after the OCR tiers; struct(header, kvk_source, vat_source).
 
     A failed header agent gives an all-null header that is not a coaching
@@ -114,12 +121,14 @@ def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column) -
     is non-empty: tier 1 fills missing fields from the first regex hits in
     the OCR text (never overwriting); if one is still missing, tier 2 takes
     the recovery answer's non-empty kvk/vat and overwrites BOTH fields.
+    ``ocr_fields``: ``header_fields(ocr_text)``, ideally precomputed into a
+    column, since its regexes would be copied into each use.
     """
     h = header_res["invoiceHeader"]
     kvk0, vat0 = h["kvkNumber"], h["vatNumber"]
-    needs_ocr = _missing(kvk0) | _missing(vat0)
+    needs_ocr = needs_recovery(header_res)
     ocr_ok = needs_ocr & _present(ocr_text)
-    t1 = header_fields(ocr_text)
+    t1 = header_fields(ocr_text) if ocr_fields is None else ocr_fields
     kvk1 = F.when(ocr_ok & _present(t1["kvkNumber"]) & _missing(kvk0), t1["kvkNumber"]).otherwise(kvk0)
     vat1 = F.when(ocr_ok & _present(t1["vatNumber"]) & _missing(vat0), t1["vatNumber"]).otherwise(vat0)
     tier2 = ocr_ok & (_missing(kvk1) | _missing(vat1)) & recovery_res.isNotNull()
@@ -127,10 +136,10 @@ def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column) -
     kvk2 = F.when(tier2 & _present(rh["kvkNumber"]), rh["kvkNumber"]).otherwise(kvk1)
     vat2 = F.when(tier2 & _present(rh["vatNumber"]), rh["vatNumber"]).otherwise(vat1)
 
-    def source(v0, v1, v2):
-        return (F.when(tier2 & _present(v2) & ~v2.eqNullSafe(v1), F.lit("recovery"))
+    def source(v0, v1, answer):
+        return (F.when(tier2 & _present(answer), F.lit("recovery"))
                 .when(_present(v1) & ~v1.eqNullSafe(v0), F.lit("ocr_regex"))
-                .when(_present(v2), F.lit("model")))
+                .when(_present(v1), F.lit("model")))
 
     header = F.struct(h["supplierName"].alias("supplierName"),
                       h["invoiceNumber"].alias("invoiceNumber"),
@@ -138,8 +147,8 @@ def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column) -
                       kvk2.alias("kvkNumber"), vat2.alias("vatNumber"))
     return F.struct(header.alias("invoiceHeader"),
                     needs_ocr.alias("needs_ocr"),
-                    source(kvk0, kvk1, kvk2).alias("kvk_source"),
-                    source(vat0, vat1, vat2).alias("vat_source"))
+                    source(kvk0, kvk1, rh["kvkNumber"]).alias("kvk_source"),
+                    source(vat0, vat1, rh["vatNumber"]).alias("vat_source"))
 
 
 def split_no_activity(lines_res: Column) -> Column:
@@ -195,12 +204,16 @@ def final_results(work: DataFrame, resolved: DataFrame, ocr: DataFrame,
         F.struct(*[F.lit(None).cast("string").alias(f) for f in
                    ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")])
         .alias("invoiceHeader"), F.lit(False).alias("isCoachingInvoice")))
-    rec = recover_header(hdr_in, F.col("ocr_text"), F.col("recovery_res"))
+    # The regexes run once, and only on texts of documents that need them.
+    wanted = needs_recovery(F.col("_hdr")) & _present(F.col("ocr_text"))
+    x = (x.withColumn("_hdr", hdr_in)
+         .withColumn("_ocr", F.when(wanted, header_fields(F.col("ocr_text")))))
+    rec = recover_header(F.col("_hdr"), F.col("ocr_text"), F.col("recovery_res"), F.col("_ocr"))
     lines = split_no_activity(F.col("lines_res"))
     cases, no_act = apply_corrections(lines["clientCases"], lines["clientCasesNoActivity"],
                                       F.col("correction_map"))
     staged = x.select("doc_id", "filename", "allowed_valid", rec.alias("rec"),
-                      hdr_in["isCoachingInvoice"].alias("isCoachingInvoice"),
+                      F.col("_hdr.isCoachingInvoice").alias("isCoachingInvoice"),
                       cases.alias("_cases"), no_act.alias("_no_act"))
     kept, kept_na = enforce_allowed(F.col("_cases"), F.col("_no_act"), F.col("allowed_valid"))
     extra = [F.col("_cases").alias("corrected_cases"), F.col("_no_act").alias("corrected_no_activity"),
@@ -214,17 +227,21 @@ def final_results(work: DataFrame, resolved: DataFrame, ocr: DataFrame,
 
 
 def allowed_long(final: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Long-form allow-list check (J6 / J7) on corrected line items.
-
-    Returns (kept, dropped): left-semi and left-anti joins of the exploded
-    corrected codes against the exploded allow-list on (doc_id, code).
+    """Long-form allow-list check (J6 / J7): (kept, dropped) rows of doc_id, kind
+    (``case`` or ``no_activity``), pos, code for the corrected codes. Both lists and
+    the allow-list stand in the document's row, so nothing is joined or shuffled.
     Needs ``final_results(..., keep_corrected=True)``.
     """
-    codes = final.select("doc_id", F.posexplode("corrected_cases").alias("pos", "c")).select(
-        "doc_id", "pos", F.col("c.validatedClientCaseNumber").alias("code"))
-    allowed = final.select("doc_id", F.explode("allowed_valid").alias("code")).distinct()
-    return (codes.join(allowed, ["doc_id", "code"], "left_semi"),
-            codes.join(allowed, ["doc_id", "code"], "left_anti"))
+    def entries(codes: str, kind: str, code) -> Column:
+        return F.transform(codes, lambda c, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"),
+                                                        code(c).alias("code")))
+
+    both = F.concat(entries("corrected_cases", "case", lambda c: c["validatedClientCaseNumber"]),
+                    entries("corrected_no_activity", "no_activity", lambda c: c))
+    rows = (final.select("doc_id", "allowed_valid", F.explode_outer(both).alias("x"))
+            .where(F.col("x").isNotNull()).select("doc_id", "allowed_valid", "x.*"))
+    allowed = F.coalesce(F.array_contains("allowed_valid", F.col("code")), F.lit(False))
+    return rows.where(allowed).drop("allowed_valid"), rows.where(~allowed).drop("allowed_valid")
 
 
 def result_json(final: DataFrame) -> DataFrame:

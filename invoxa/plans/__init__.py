@@ -1,2 +1,2 @@
-"""Composed plans: size-checked joins, the three pipeline phases, the query
+"""Composed plans: the three pipeline phases, the query
 registry used by ``__spark_entry__`` and its DuckDB oracle SQL."""

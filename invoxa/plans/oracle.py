@@ -24,7 +24,7 @@ def lit(s: str) -> str:
 
 
 def pad(x: str, n: int) -> str:
-    return f"lpad(CAST({x} AS VARCHAR), {n}, '0')"
+    return f"lpad({s_(x)}, CAST(greatest({n}, length({s_(x)})) AS INTEGER), '0')"
 
 
 def s_(x: str) -> str:
@@ -555,7 +555,7 @@ _NUM = "('BIGINT', 'UBIGINT', 'DOUBLE', 'INTEGER')"
 
 
 def bool_val(j: str, path: str) -> str:
-    s = f"lower(trim(json_extract_string({j}, '{path}')))"
+    s = f"lower(json_extract_string({j}, '{path}'))"
     return (f"(CASE {jt(j, path)} WHEN 'BOOLEAN' THEN json_extract_string({j}, '{path}') = 'true' "
             f"WHEN 'VARCHAR' THEN CASE WHEN {s} IN ('1','on','t','true','y','yes') THEN true "
             f"WHEN {s} IN ('0','off','f','false','n','no') THEN false END "

@@ -164,12 +164,15 @@ SELECT doc_id, CAST(generate_subscripts(cases, 1) - 1 AS INTEGER) AS pos,
        unnest(list_transform(cases, lambda c: c.h)) AS hours
 FROM final""")
 _CORR = PHASE2 + """,
-corr AS (SELECT doc_id, allowed_valid, fixed FROM f5 WHERE doc_id IN (SELECT doc_id FROM final)),
-corr_long AS (SELECT doc_id, CAST(generate_subscripts(fixed, 1) - 1 AS INTEGER) AS pos,
-                     unnest(list_transform(fixed, lambda c: c.v)) AS code, allowed_valid FROM corr)"""
-ORACLE["enforce_allowed"] = with_(_CORR, "SELECT doc_id, code, pos FROM corr_long "
+corr_long AS (
+  SELECT doc_id, 'case' AS kind, CAST(generate_subscripts(fixed, 1) - 1 AS INTEGER) AS pos,
+         unnest(list_transform(fixed, lambda c: c.v)) AS code, allowed_valid FROM f5
+  UNION ALL
+  SELECT doc_id, 'no_activity', CAST(generate_subscripts(na2, 1) - 1 AS INTEGER), unnest(na2), allowed_valid
+  FROM f5)"""
+ORACLE["enforce_allowed"] = with_(_CORR, "SELECT doc_id, kind, pos, code FROM corr_long "
                                          "WHERE list_contains(allowed_valid, code)")
-ORACLE["dropped_codes"] = with_(_CORR, "SELECT doc_id, code, pos FROM corr_long "
+ORACLE["dropped_codes"] = with_(_CORR, "SELECT doc_id, kind, pos, code FROM corr_long "
                                        "WHERE NOT list_contains(allowed_valid, code)")
 
 # ------------------------------------------------------------------ phase 3
@@ -203,7 +206,7 @@ def _pyset(l: str) -> str:
             f"array_to_string(list_transform(list_sort({l}), lambda x: '''' || x || ''''), ', ') || '}}' END")
 
 
-_FIELDS = ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")
+_FIELDS = ("invoiceNumber", "invoiceDate", "supplierName", "kvkNumber", "vatNumber")
 _REPORT = ", ".join(
     f"CASE WHEN NOT f_{f} THEN '❌ {f} mismatch: Expected ''' || coalesce(t_{f}, 'None') || "
     f"''', got ''' || coalesce(g_{f}, 'None') || '''' END" for f in _FIELDS)
@@ -247,15 +250,17 @@ SELECT doc_id, replace(filename, '.pdf', '_parsed.json') AS output_file,
 FROM final""")
 
 # ------------------------------------------------------------------ prompts, rollup
-ORACLE["prompts"] = with_(MATCHES, """
+_SAVED = ("'=== RAW TEXT EXTRACTION ===' || chr(10) || 'Source: ' || filename || chr(10) || "
+          "'Extraction Date: 1970-01-01T00:00:00' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || text")
+ORACLE["prompts"] = with_(MATCHES, f"""
 SELECT doc_id,
        'Extract the invoice header as JSON.' || chr(10) || 'HINTS:' || chr(10) || '- KVK: '
        || coalesce(kvk_numbers[1], 'None') || chr(10) || '- VAT: ' || coalesce(vat_numbers[1], 'None')
        || chr(10) || '- Date: ' || coalesce(dates[1], 'None') || chr(10) || '- Invoice number: '
-       || coalesce(invoice_numbers[1], 'None') || chr(10) || 'TEXT:' || chr(10) || text AS header_prompt,
+       || coalesce(invoice_numbers[1], 'None') || chr(10) || 'TEXT:' || chr(10) || {_SAVED} AS header_prompt,
        'Extract the billable line items as JSON.' || chr(10) || 'ALLOWED CASES:' || chr(10)
        || CASE WHEN len(allowed_prompt) > 0 THEN array_to_string(allowed_prompt, chr(10))
-               ELSE '(No allowed cases provided)' END || chr(10) || 'TEXT:' || chr(10) || text AS line_prompt
+               ELSE '(No allowed cases provided)' END || chr(10) || 'TEXT:' || chr(10) || {_SAVED} AS line_prompt
 FROM p1f WHERE is_coaching_invoice AND ready_for_llm AND length(filename) > 0""")
 ORACLE["recovery_prompts"] = with_(PHASE2, """
 SELECT doc_id,

@@ -395,15 +395,17 @@ def hours_by_case_date(spark, sf):
 # ------------------------------------------------------------- prompts, rollup
 @query
 def prompts(spark, sf):
-    """Header and line-item prompt per work-list document (hints from phase 1)."""
+    """Header and line-item prompt per work-list document: hints from phase 1, and the
+    raw text as it is saved, envelope included."""
     from invoxa.operators.prompts import header_prompt, line_prompt
     from invoxa.plans.pipeline import work_list
     w = work_list(_p1(spark, sf))
     h = D.header_hints(F.col("patterns"))
+    saved = D.raw_text_envelope(F.col("filename"), F.col("text"), F.lit("1970-01-01T00:00:00"))
     return w.select("doc_id",
-                    header_prompt(F.col("text"), h["kvk"], h["vat"], h["invoice_date"],
+                    header_prompt(saved, h["kvk"], h["vat"], h["invoice_date"],
                                   h["invoice_number"]).alias("header_prompt"),
-                    line_prompt(F.col("text"), F.col("allowed_prompt")).alias("line_prompt"))
+                    line_prompt(saved, F.col("allowed_prompt")).alias("line_prompt"))
 
 
 @query

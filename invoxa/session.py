@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     builder = (builder.config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", os.environ.get("INVOXA_DRIVER_MEMORY", "16g")))
+               .config("spark.driver.memory", os.environ.get("INVOXA_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -48,7 +49,8 @@ def apply_defaults(spark: SparkSession) -> None:
             spark.conf.set(key, value)
     # Shared folder for lineage cuts: keep the cluster's setting; only a local
     # session without one gets a private scratch folder.
-    if not checkpoint_dir(spark):
+    master = spark.sparkContext.master
+    if not checkpoint_dir(spark) and master.startswith("local") and not master.startswith("local-cluster"):
         local = tempfile.mkdtemp(prefix="invoxa-ckpt-")
         spark.conf.set("spark.checkpoint.dir", local)
         spark.sparkContext.setCheckpointDir(local)
@@ -73,6 +75,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if base is None:
         apply_defaults(spark)
         base = checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"  # no run replaces another's files
+    df.write.parquet(path)
     return spark.read.parquet(path)

@@ -25,12 +25,17 @@ MANIFEST_SCHEMA = (
     "invoices array<struct<filename:string,confidence:double,is_coaching_invoice:boolean,"
     "client_case_verdict:string,client_case_reason:string,ready_for_llm:boolean>>")
 
+MATCH = ("struct<matchedCode:string,matchStatus:string,matchConfidence:double,contamination:string,"
+         "candidates:array<string>,notes:string>")
+
 METADATA_VALUE = (
     "struct<text_length:int,extraction_method:string,confidence_score:double,kvk:string,"
     "vat:string,invoice_number:string,invoice_date:string,"
-    "patterns_found:struct<client_case_matches:map<string,struct<matchedCode:string,"
-    "matchStatus:string,matchConfidence:double,contamination:string,candidates:array<string>,"
-    "notes:string>>>,raw_text_file:string,text_preview:string>")
+    "patterns_found:struct<client_cases:array<string>,invoice_numbers:array<string>,"
+    "dates_raw:array<string>,dates:array<string>,amounts:array<double>,emails:array<string>,"
+    f"vat_numbers:array<string>,kvk_numbers:array<string>,client_case_matches:map<string,{MATCH}>>,"
+    "client_case_summary:struct<verdict:string,reason:string,counts:map<string,long>>,"
+    "raw_text_file:string,text_preview:string>")
 
 
 def _file_name() -> F.Column:
@@ -55,18 +60,31 @@ def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per manifest invoice entry."""
+    """One row per manifest invoice entry of one-object files (large batches:
+    ``read_manifest_lines``)."""
     m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
     return m.select(F.explode("invoices").alias("i")).select("i.*")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata object keyed by file name -> one row per file name."""
+    """Metadata object keyed by file name -> one row per file name. The object is one
+    row, as that file format has it; large batches use ``read_metadata_lines``."""
     raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", f"map<string,{METADATA_VALUE}>").alias("m"))
     return parsed.select(F.explode("m").alias("filename", "meta")).select("filename", "meta.*")
 
 
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_manifest`` wrote: one JSON line per invoice, split over tasks."""
+    entry = MANIFEST_SCHEMA.split("array<struct<", 1)[1].removesuffix(">>")
+    return spark.read.schema(entry.replace(":", " ")).json(path)
+
+
+def read_metadata_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_metadata`` wrote: one JSON line per document."""
+    return spark.read.schema(f"filename string, meta {METADATA_VALUE}").json(path).select("filename", "meta.*")
+
+
 def read_raw_texts(spark: SparkSession, directory: str, suffix: str = "_raw.txt") -> DataFrame:
     """(filename, raw_text): whole text files; ``X_raw.txt`` -> ``X.pdf``."""
     df = spark.read.option("pathGlobFilter", f"*{suffix}").text(directory, wholetext=True)
@@ -78,12 +96,21 @@ def read_raw_texts(spark: SparkSession, directory: str, suffix: str = "_raw.txt"
 
 
 def read_json_results(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
-    """Invoice result / truth JSON files (one object per file) with file name."""
+    """Invoice result / truth JSON files with file name: ONE object per file. Files
+    of many lines, as ``write_results`` writes, are for ``read_result_lines``."""
     df = (spark.read.schema(TRUTH_SCHEMA).option("multiLine", True)
           .option("pathGlobFilter", glob).json(directory))
     return df.select(_file_name().alias("filename"), "*")
 
 
+def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_results`` wrote: many results to a file, one per line; the name
+    comes from each line's ``output_file`` (``X_parsed.json`` -> ``X.pdf``)."""
+    df = spark.read.schema(f"output_file string, {TRUTH_SCHEMA}").json(path)
+    name = F.regexp_replace("output_file", r"_parsed\.json$", ".pdf")
+    return df.select(name.alias("filename"), "*").drop("output_file")
+
+
 def work_list_from_files(manifest: DataFrame, metadata: DataFrame, raw_texts: DataFrame) -> DataFrame:
     """Ready coaching invoices that have metadata and a raw-text file
     (inner joins on file name: unmatched entries are dropped)."""
@@ -109,13 +136,25 @@ def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = True) -> None:
 
 
 def write_results(final: DataFrame, path: str) -> None:
-    """One JSON result per invoice (as JSON lines keyed by output file)."""
+    """One JSON result per invoice (as JSON lines keyed by output file); read them
+    with ``read_result_lines``."""
     out = final.select(F.replace(F.col("filename"), F.lit(".pdf"), F.lit("_parsed.json"))
                        .alias("output_file"), "invoiceHeader", "isCoachingInvoice", "clientCases",
                        "clientCasesNoActivity")
     write_json_lines(out, path)
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """Manifest entries as JSON lines (``documents.manifest_rows``)."""
+    write_json_lines(manifest.drop("doc_id"), path)
+
+
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    """Metadata as JSON lines of (filename, meta) (``documents.metadata_record``)."""
+    fields = [c for c in metadata.columns if c not in ("doc_id", "filename")]
+    write_json_lines(metadata.select("filename", F.struct(*fields).alias("meta")), path)
+
+
 def write_ocr_texts(ocr: DataFrame, path: str) -> None:
     """OCR text per document (non-empty only), named ``X_ocr.txt``."""
     (ocr.where(F.length("text") > 0)

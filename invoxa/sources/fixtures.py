@@ -31,11 +31,12 @@ def _s(c: Column) -> Column:
 
 
 def _pad(c: Column, n: int) -> Column:
-    return F.lpad(_s(c), n, "0")
+    """At least ``n`` digits; longer numbers stay whole (``lpad`` alone cuts them)."""
+    return F.lpad(_s(c), F.greatest(F.lit(n), F.length(_s(c))), F.lit("0"))
 
 
 def _grouped(units: Column, sep: str) -> Column:
-    """Integer with a thousands separator (values below 10^9)."""
+    """Integer with separators after the thousands and millions; what is above stays whole."""
     return (F.when(units < 1000, _s(units))
             .when(units < 1000000, F.concat(_s((units / 1000).cast("long")), F.lit(sep),
                                             _pad(units % 1000, 3)))
@@ -371,7 +372,7 @@ def truth(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> D
     billable = F.filter("lines", lambda s: s["l_quantity"].cast("int") % 4 != 0)
     idle = F.filter("lines", lambda s: s["l_quantity"].cast("int") % 4 == 0)
     cases = F.transform(billable, case)
-    cases = F.when(o % 41 == 2, F.slice(cases, 2, 1 << 20)).otherwise(cases)
+    cases = F.when(o % 41 == 2, F.slice(cases, F.lit(2), F.size(cases))).otherwise(cases)
     no_act = F.transform(idle, lambda s: clean_code(s["l_partkey"]))
     no_act = F.when(o % 41 == 3, F.concat(no_act, F.array(F.lit("DEMO-CASE-998")))).otherwise(no_act)
     return (f.where(o % 13 != 0)

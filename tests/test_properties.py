@@ -19,8 +19,8 @@ def test_semi_plus_anti_is_input_and_status_counts_sum(spark):
         assert bad == 0
         final = phase2(p1, inp.responses, inp.ocr, keep_corrected=True)
         kept, dropped = allowed_long(final)
-        total = final.select(F.sum(F.size("corrected_cases"))).first()[0]
+        total = final.select(F.sum(F.size("corrected_cases") + F.size("corrected_no_activity"))).first()[0]
         assert kept.count() + dropped.count() == total
-        assert kept.join(dropped, ["doc_id", "pos"], "inner").count() == 0
+        assert kept.join(dropped, ["doc_id", "kind", "pos"], "inner").count() == 0
     finally:
         p1.unpersist()

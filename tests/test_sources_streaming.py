@@ -66,6 +66,42 @@ def test_results_sink_keeps_nulls(spark):
     assert json.loads(lines[0]) == {"filename": "a.pdf", "x": None}
 
 
+def test_written_results_read_back(spark):
+    d = tempfile.mkdtemp(prefix="invoxa-test-")
+    df = (spark.range(200).select(F.format_string("inv_%d.pdf", "id").alias("filename"),
+          F.expr(f"from_json('{{}}', '{files.TRUTH_SCHEMA}')").alias("x")).select("filename", "x.*")
+          .withColumn("isCoachingInvoice", F.lit(True))).repartition(3)
+    files.write_results(df, os.path.join(d, "out"))
+    back = files.read_result_lines(spark, os.path.join(d, "out"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_written_manifest_and_metadata_read_back(spark):
+    from invoxa.operators.documents import manifest_rows, metadata_record
+    from invoxa.plans.pipeline import phase1_from
+    d = tempfile.mkdtemp(prefix="invoxa-test-")
+    docs = phase1_from(spark, "/root/testdata/sf0.001").where("doc_id < 400")
+    files.write_manifest(manifest_rows(docs), os.path.join(d, "m"))
+    files.write_metadata(metadata_record(docs), os.path.join(d, "md"))
+    key = lambda r: r.filename
+    want = sorted(metadata_record(docs).collect(), key=key)
+    got = sorted(files.read_metadata_lines(spark, os.path.join(d, "md")).collect(), key=key)
+    assert [r.filename for r in got] == [r.filename for r in want] and len(got) > 10
+    for a, b in zip(got, want):
+        assert a.client_case_summary.verdict == b.client_case_summary.verdict
+        if b.patterns_found is not None:
+            assert a.patterns_found.asDict(True) == b.patterns_found.asDict(True)
+    entries = files.read_manifest_lines(spark, os.path.join(d, "m"))
+    assert sorted(map(str, entries.collect())) == sorted(map(str, manifest_rows(docs).drop("doc_id").collect()))
+
+
+def test_long_document_keys_keep_their_names(spark):
+    from invoxa.sources.fixtures import filename_of
+    keys = spark.createDataFrame([(7,), (123456780,), (123456781,)], "doc_id long")
+    assert [r[0] for r in keys.select(filename_of(F.col("doc_id"))).collect()] == [
+        "inv_00000007.pdf", "inv_123456780.pdf", "inv_123456781.pdf"]
+
+
 def test_streaming_extraction(spark):
     src = "/root/testdata/sf0.001"
     q = (extract_stream(document_stream(spark, src, glob="documents.parquet"))
