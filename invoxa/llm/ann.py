@@ -183,21 +183,19 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     there are no more than ``k`` candidates, all are found. Repeated rows are
     candidates each; repeated equal queries are one. Other columns are dropped.
 
-    Lists are split into blocks of about ``block`` rows, their queries into chunks
-    of about ``chunk``; one block with one chunk is one task's group.
+    Lists are split into blocks of about ``block`` rows, the queries that look
+    through a list into chunks of about ``chunk``; one block with one chunk is one
+    task's group. So a row is copied once for each chunk of its own list's queries,
+    and not at all if none looks there.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")) \
         .where(F.col("vec_id").isNotNull() & usable(F.col("v"), zero=False))
-    n, queries, dim = rows.agg(F.count("*"), F.count_if(is_query(every)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     index = build(rows, n, dim)
     placed = assigned(rows, index)
     sizes = dict(placed.groupBy("list").count().collect())  # one row a list
     index.probes = calibrate(placed, index, k, every, recall) if n > 4 * k else len(index.centroids)
-    chunks = max(1, -(-queries // chunk))
     parts = {c: max(1, -(-m // block)) for c, m in sizes.items()}
-    split = F.element_at(F.lit([parts.get(c, 1) for c in range(len(index.centroids))]), F.col("list") + 1)
-    right = placed.withColumns({"b": F.pmod(F.xxhash64("vec_id", "v"), split).cast("int"),
-                                "c": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
     filled = np.array([sizes.get(c, 0) for c in range(len(index.centroids))])
     centroids, probes, kind = index.centroids, index.probes, rows.schema["v"].dataType.simpleString()
 
@@ -211,14 +209,22 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array([[cell[i] for cell in row] for row in cells], pa.list_(t))
                                    for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_())))],
-                names=["vec_id", "v", "c", "of", "lists", "blocks", "homes"])
-
-    left = rows.where(is_query(every)).distinct().withColumns(
-        {"c": F.pmod(F.xxhash64("v", "vec_id"), F.lit(chunks)).cast("int"), "of": F.xxhash64("vec_id", "v")})
-    left = left.select("vec_id", "v", "c", "of").mapInArrow(
-        probe, f"vec_id long, v {kind}, c int, of long, lists array<int>, blocks array<int>, homes array<boolean>")
-    left = left.select("vec_id", "v", "c", "of", F.explode(F.arrays_zip("lists", "blocks", "homes")).alias("z")).select(
-        "vec_id", "v", "c", "of", F.col("z.lists").alias("list"), F.col("z.blocks").alias("b"), F.col("z.homes").alias("home"))
+                names=["vec_id", "v", "of", "lists", "blocks", "homes"])
+
+    left = rows.where(is_query(every)).distinct().withColumn("of", F.xxhash64("vec_id", "v")).mapInArrow(
+        probe, f"vec_id long, v {kind}, of long, lists array<int>, blocks array<int>, homes array<boolean>")
+    left = left.select("vec_id", "v", "of", F.explode(F.arrays_zip("lists", "blocks", "homes")).alias("z")).select(
+        "vec_id", "v", "of", F.col("z.lists").alias("list"), F.col("z.blocks").alias("b"), F.col("z.homes").alias("home"))
+    visits = dict(left.where("b = 0").groupBy("list").count().collect())  # one row a list
+
+    def of_list(values: dict[int, int]) -> F.Column:
+        return F.element_at(F.lit([values.get(c, 0) for c in range(len(index.centroids))]), F.col("list") + 1)
+
+    chunks = of_list({c: -(-m // chunk) for c, m in visits.items()})
+    left = left.withColumn("c", F.pmod(F.xxhash64("v", "vec_id"), chunks).cast("int"))
+    right = placed.where(chunks > 0).withColumns({
+        "b": F.pmod(F.xxhash64("vec_id", "v"), of_list(parts)).cast("int"),
+        "c": F.explode(F.sequence(F.lit(0), chunks - 1))})
 
     def look(these: pa.Table, those: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], []]
