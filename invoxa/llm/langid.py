@@ -128,14 +128,17 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
     of_row = F.xxhash64(*(c for c in ("doc_id", "text", "lang") if c in labelled.columns))
     rows = labelled.select("text", "lang", (of_row.bitwiseAND(0x7FFFFFFF) / float(1 << 31)).alias("part")) \
         .where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count()
+    counts = dict(rows.groupBy("lang").count().collect())  # a row a language
     n, df = document_frequencies(rows, bits)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    sample = rows.join(counts, "lang").where(F.col("part") * F.col("count") < most).select("lang", "text")
+    # Looked up in place: a join would shuffle all texts by language before it drops most.
+    of_lang = F.create_map(*(F.lit(x) for pair in (counts or {"": 1}).items() for x in pair))
+    sample = rows.where(F.col("part") * of_lang[F.col("lang")] < most).select("lang", "part", "text")
 
     def fit(table: pa.Table) -> pa.Table:
-        keys = table.column(1).to_pylist()[:2 * most]
+        table = table.sort_by([("part", "ascending"), ("text", "ascending")])
+        keys = table.column(2).to_pylist()[:2 * most]
         x = np.concatenate([vectors([d for d in (letter_codes(t) for t in keys[a:b]) if len(d)], idf, bits)
                             for a, b in slices([len(t) for t in keys], 1 << 20)] or [np.empty((0, 1 << bits))])
         lang = table.column(0)[0].as_py()
