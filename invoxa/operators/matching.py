@@ -165,3 +165,14 @@ def annotate_documents(docs: DataFrame, lookups: tuple[DataFrame, DataFrame] | N
         F.transform(c, lambda e: e["valid"]).alias("allowed_valid"),
         F.map_from_entries(F.transform(c, lambda e: F.struct(e["raw_code"], e["valid"])))
         .alias("correction_map"))
+
+
+def context_from_map(found: Column) -> tuple[Column, Column, Column]:
+    """Prompt list, valid list and correction map from a saved map raw code -> match
+    record (NULL: none), in the map's order."""
+    usable = F.filter(F.map_entries(found), lambda e: e["value"]["matchStatus"].isin(STATUS_EXACT, STATUS_FUZZY)
+                      & e["value"]["matchedCode"].isNotNull())
+    none = F.array().cast("array<string>")
+    prompt = F.coalesce(F.transform(usable, lambda e: e["key"]), none)
+    valid = F.coalesce(F.transform(usable, lambda e: e["value"]["matchedCode"]), none)
+    return prompt, valid, F.map_from_arrays(prompt, valid)

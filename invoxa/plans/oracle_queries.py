@@ -73,6 +73,10 @@ SELECT doc_id, filename, CAST(text_length AS INTEGER) AS text_length, extraction
        'raw_texts/' || replace(filename, '.pdf', '_raw.txt') AS raw_text_file,
        CASE WHEN text_length > 0 THEN left(text, 500) END AS text_preview
 FROM p1f""")
+ORACLE["metadata_matches"] = with_(MATCHES, """
+SELECT m.doc_id, raw_code, matched_code, match_status, match_confidence, contamination,
+       array_to_string(candidates, '|') AS candidates, notes
+FROM matches m JOIN p1f USING (doc_id) WHERE text_length > 0""")
 ORACLE["manifest_rows"] = with_(MATCHES, """
 SELECT filename, confidence_score AS confidence, is_coaching_invoice,
        verdict AS client_case_verdict, reason AS client_case_reason, ready_for_llm
@@ -113,7 +117,7 @@ FROM p1f""")
 # ------------------------------------------------------------------ phase 2
 from invoxa.operators.lines import LINE_PATTERN  # noqa: E402
 from invoxa.plans.oracle import (FX_RESPONSES, PHASE2, PHASE3, carve,  # noqa: E402
-                                 header_ok, iso_date, lines_ok)
+                                 float_val, header_ok, iso_date, lines_ok)
 
 _RESP = FX_RESPONSES
 ORACLE["carve_json"] = with_(_RESP, f"SELECT doc_id, agent, attempt, {carve('response_text')} AS carved "
@@ -126,6 +130,15 @@ SELECT d.doc_id,
        EXISTS (SELECT 1 FROM won w WHERE w.doc_id = d.doc_id AND w.agent = 'header_recovery')
          AS recovery_resolved
 FROM (SELECT DISTINCT doc_id FROM cls) d""")
+ORACLE["resolved_header"] = with_(PHASE2, """
+SELECT doc_id, h_supplierName AS supplierName, h_invoiceNumber AS invoiceNumber, h_invoiceDate AS invoiceDate,
+       h_kvkNumber AS kvkNumber, h_vatNumber AS vatNumber, coaching AS isCoachingInvoice
+FROM hdr""")
+ORACLE["recovery_source"] = with_(PHASE2, "SELECT doc_id, " + ", ".join(f"""
+       CASE WHEN tier2 AND coalesce(r_{n}, '') <> '' THEN 'recovery'
+            WHEN coalesce({n}1, '') <> '' AND {n}1 IS DISTINCT FROM h_{n}Number THEN 'ocr_regex'
+            WHEN coalesce({n}1, '') <> '' THEN 'model' END AS {n}_source""" for n in ("kvk", "vat")) + """
+FROM f4""")
 ORACLE["validate_header"] = with_(_RESP + f""",
 v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
       WHERE agent = 'header' AND response_text IS NOT NULL),
@@ -150,6 +163,17 @@ SELECT doc_id, attempt, valid,
        CASE WHEN valid THEN array_to_string(list_transform(coalesce(json_extract(c,
          '$.clientCasesNoActivity[*]'), []), lambda x: json_extract_string(x, '$')), '|') END AS no_activity
 FROM v2""")
+ORACLE["validate_line_items"] = with_(_RESP + f""",
+v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
+      WHERE agent = 'lines' AND response_text IS NOT NULL),
+v AS (SELECT doc_id, attempt, CASE WHEN json_valid(c0) THEN c0 END AS c FROM v0),
+v2 AS (SELECT doc_id, attempt, coalesce(json_extract(c, '$.clientCases[*]'), []) AS es FROM v
+       WHERE coalesce({lines_ok('c')}, false)),
+v3 AS (SELECT doc_id, attempt, CAST(generate_subscripts(es, 1) - 1 AS INTEGER) AS pos, unnest(es) AS e FROM v2)""", f"""
+SELECT doc_id, attempt, pos, json_extract_string(e, '$.validatedClientCaseNumber') AS validated,
+       json_extract_string(e, '$.rawClientCaseNumber') AS raw, json_extract_string(e, '$.date') AS date,
+       {float_val('e', '$.durationHours')} AS hours
+FROM v3""")
 ORACLE["needs_ocr"] = with_(PHASE2, "SELECT doc_id, needs_ocr FROM final")
 ORACLE["recover_header"] = with_(PHASE2, "SELECT doc_id, kvkNumber, vatNumber FROM final")
 ORACLE["final_results"] = with_(PHASE2, """
@@ -276,3 +300,10 @@ ORACLE["results_rollup"] = with_(PHASE2, """
 SELECT count(*) AS n_results, sum(len(cases)) AS n_cases, avg(len(cases)) AS avg_cases,
        sum(len(na)) AS n_no_activity
 FROM final""")
+ORACLE["work_list"] = with_(MATCHES, f"""
+SELECT filename, {_SAVED} AS raw_text, kvk_numbers[1] AS kvk, vat_numbers[1] AS vat, dates[1] AS invoice_date,
+       invoice_numbers[1] AS invoice_number, array_to_string(allowed_prompt, '|') AS allowed_prompt,
+       array_to_string(allowed_valid, '|') AS allowed_valid,
+       array_to_string(list_transform(list_zip(allowed_prompt, allowed_valid),
+                                      lambda e: e[1] || '=' || e[2]), '|') AS correction_pairs
+FROM p1f WHERE is_coaching_invoice AND ready_for_llm AND length(filename) > 0""")

@@ -168,6 +168,39 @@ def metadata_record(spark, sf):
                     "raw_text_file", "text_preview")
 
 
+@query
+def metadata_matches(spark, sf):
+    """The match records inside the metadata, one row per document and raw code."""
+    m = D.metadata_record(_p1(spark, sf))
+    rows = m.select("doc_id", F.explode_outer("patterns_found.client_case_matches").alias("raw_code", "m"))
+    return rows.where(F.col("raw_code").isNotNull()).select(
+        "doc_id", "raw_code", F.col("m.matchedCode").alias("matched_code"),
+        F.col("m.matchStatus").alias("match_status"), F.col("m.matchConfidence").alias("match_confidence"),
+        F.col("m.contamination").alias("contamination"),
+        F.array_join("m.candidates", "|").alias("candidates"), F.col("m.notes").alias("notes"))
+
+
+@query
+def work_list_q(spark, sf):
+    """The work list from the three written outputs of phase 1 (manifest, metadata, raw
+    texts), read back and joined on the file name, with hints and context."""
+    from invoxa.session import materialize, run_path
+    from invoxa.sources import files
+    p1 = materialize(_p1(spark, sf), "work_list_documents")
+    out = run_path(spark, "work_list_files")
+    files.write_manifest(D.manifest_rows(p1), f"{out}/manifest")
+    files.write_metadata(D.metadata_record(p1), f"{out}/metadata")
+    files.write_raw_texts(p1, f"{out}/raw_texts", "1970-01-01T00:00:00")
+    w = files.work_list_from_files(files.read_manifest_lines(spark, f"{out}/manifest"),
+                                   files.read_metadata_lines(spark, f"{out}/metadata"),
+                                   files.read_raw_text_table(spark, f"{out}/raw_texts"))
+    pairs = F.transform(F.map_entries("correction_map"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return w.select("filename", "raw_text", "kvk", "vat", "invoice_date", "invoice_number",
+                    F.array_join("allowed_prompt", "|").alias("allowed_prompt"),
+                    F.array_join("allowed_valid", "|").alias("allowed_valid"),
+                    F.array_join(pairs, "|").alias("correction_pairs"))
+
+
 @query
 def manifest_rows(spark, sf):
     return D.manifest_rows(_p1(spark, sf)).drop("doc_id")
@@ -249,6 +282,18 @@ def resolve_attempts_q(spark, sf):
                     F.col("recovery_res").isNotNull().alias("recovery_resolved"))
 
 
+@query
+def resolved_header(spark, sf):
+    """The header values that the attempts of a document end with."""
+    from invoxa.operators.responses import classify_attempts, resolve_attempts
+    r = resolve_attempts(classify_attempts(fixtures.model_responses(spark, sf)))
+    h = F.col("header_res")
+    return r.where(h.isNotNull()).select(
+        "doc_id", *[h["invoiceHeader"][f].alias(f) for f in
+                    ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")],
+        h["isCoachingInvoice"].alias("isCoachingInvoice"))
+
+
 @query
 def validate_header(spark, sf):
     from invoxa.functions.jsonish import header_from_variant, parse_response
@@ -278,6 +323,22 @@ def validate_lines(spark, sf):
                     F.array_join(x["clientCasesNoActivity"], "|").alias("no_activity"))
 
 
+@query
+def validate_line_items(spark, sf):
+    """The line items of every valid answer, in order."""
+    from invoxa.functions.jsonish import item_facts, lines_from_variant, parse_response
+    r = fixtures.model_responses(spark, sf).where(
+        (F.col("agent") == "lines") & F.col("response_text").isNotNull())
+    r = r.withColumn("_json", parse_response(F.col("response_text")))
+    r = r.withColumn("_facts", item_facts(F.col("_json")))
+    x = lines_from_variant(F.col("_json"), F.col("_facts"))
+    items = r.select("doc_id", "attempt", F.posexplode_outer(x["clientCases"]).alias("pos", "c"))
+    return items.where(F.col("c").isNotNull()).select(
+        "doc_id", "attempt", "pos", F.col("c.validatedClientCaseNumber").alias("validated"),
+        F.col("c.rawClientCaseNumber").alias("raw"), F.col("c.date").alias("date"),
+        F.col("c.durationHours").alias("hours"))
+
+
 @query
 def needs_ocr(spark, sf):
     return _final(spark, sf).select("doc_id", "needs_ocr")
@@ -290,6 +351,12 @@ def recover_header(spark, sf):
                     F.col("invoiceHeader.vatNumber").alias("vatNumber"))
 
 
+@query
+def recovery_source(spark, sf):
+    """Where a document's kvk and vat come from: model, OCR text or recovery answer."""
+    return _final(spark, sf).select("doc_id", "kvk_source", "vat_source")
+
+
 @query
 def final_results_q(spark, sf):
     f = _final(spark, sf)

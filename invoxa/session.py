@@ -63,6 +63,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return value or None
 
 
+def run_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder; no run replaces another's files."""
+    base = checkpoint_dir(spark)
+    if base is None:
+        apply_defaults(spark)
+        base = checkpoint_dir(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -70,13 +81,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     phase): it cuts lineage, so a lost executor recomputes from the written
     table, never from the raw page scan.
     """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if base is None:
-        apply_defaults(spark)
-        base = checkpoint_dir(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"  # no run replaces another's files
+    path = run_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

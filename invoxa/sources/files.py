@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoxa.functions.jsonish import CASE_TYPE
-from invoxa.operators.documents import raw_text_envelope
+from invoxa.operators.documents import raw_text_envelope, raw_text_file
+from invoxa.operators.matching import context_from_map
 
 TRUTH_SCHEMA = (
     "invoiceHeader struct<supplierName:string,invoiceNumber:string,invoiceDate:string,"
@@ -45,11 +46,11 @@ def _file_name() -> F.Column:
 
 # ------------------------------------------------------------------ sources
 def list_documents(spark: SparkSession, directory: str, glob: str = "*.pdf") -> DataFrame:
-    """(filename, path, size) of the input documents; file bytes are not read."""
+    """(filename, path, size) of the input documents by name; file bytes are not read."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
           .select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path",
                   F.col("length").alias("size")))
-    return df
+    return df.orderBy("filename")
 
 
 def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +96,12 @@ def read_raw_texts(spark: SparkSession, directory: str, suffix: str = "_raw.txt"
                      F.col("value").alias("raw_text"), name.alias("source_file"))
 
 
+def read_raw_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_raw_texts`` wrote: (filename, raw_text), envelope included."""
+    name = F.regexp_replace("raw_text_file", r"^raw_texts/(.*)_raw\.txt$", "$1.pdf")
+    return spark.read.parquet(path).select(name.alias("filename"), F.col("content").alias("raw_text"))
+
+
 def read_json_results(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
     """Invoice result / truth JSON files with file name: ONE object per file. Files
     of many lines, as ``write_results`` writes, are for ``read_result_lines``."""
@@ -112,18 +119,22 @@ def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def work_list_from_files(manifest: DataFrame, metadata: DataFrame, raw_texts: DataFrame) -> DataFrame:
-    """Ready coaching invoices that have metadata and a raw-text file
-    (inner joins on file name: unmatched entries are dropped)."""
+    """Ready coaching invoices that have metadata and a raw-text file (inner joins on
+    file name: unmatched entries are dropped), with the context of the prompts:
+    ``allowed_prompt``, ``allowed_valid`` and ``correction_map`` from the saved matches."""
     m = manifest.where(F.col("is_coaching_invoice") & F.col("ready_for_llm")
                        & F.coalesce(F.length("filename") > 0, F.lit(False)))
-    return (m.join(metadata, "filename", "inner").join(raw_texts, "filename", "inner"))
+    w = m.join(metadata, "filename", "inner").join(raw_texts, "filename", "inner")
+    prompt, valid, corrections = context_from_map(F.col("patterns_found.client_case_matches"))
+    return (w.withColumns({"allowed_prompt": prompt, "allowed_valid": valid})
+            .withColumn("correction_map", corrections))
 
 
 # ------------------------------------------------------------------ sinks
 def write_raw_texts(docs: DataFrame, path: str, extracted_at: str) -> None:
-    """Raw-text envelope per document as a (raw_text_file, content) table."""
-    (docs.select(F.concat(F.lit("raw_texts/"), F.replace(F.col("filename"), F.lit(".pdf"),
-                                                        F.lit("_raw.txt"))).alias("raw_text_file"),
+    """Raw-text envelope per document as a (raw_text_file, content) table; read it
+    with ``read_raw_text_table``."""
+    (docs.select(raw_text_file(F.col("filename")).alias("raw_text_file"),
                  raw_text_envelope(F.col("filename"), F.col("text"), F.lit(extracted_at))
                  .alias("content"))
      .write.mode("overwrite").parquet(path))

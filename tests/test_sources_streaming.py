@@ -55,6 +55,31 @@ def test_truth_manifest_metadata_raw_text(spark):
     w = files.work_list_from_files(m, md, rt).collect()
     assert [r.filename for r in w] == ["a.pdf"] and w[0].raw_text == "line1\nline2"
     assert w[0].patterns_found.client_case_matches["X"].matchedCode == "Y"
+    assert (w[0].allowed_prompt, w[0].allowed_valid, w[0].correction_map) == (["X"], ["Y"], {"X": "Y"})
+
+
+def test_context_leaves_out_unmatched_codes(spark):
+    from invoxa.operators.matching import context_from_map
+    kind = f"map<string,{files.MATCH}>"
+    rows = ['{"B": {"matchStatus": "exact", "matchedCode": "B"}, "Q": {"matchStatus": "unknown"}, '
+            '"A": {"matchStatus": "fuzzy_io_swap", "matchedCode": "B"}, "E": {"matchStatus": "exact"}}', "{}", None]
+    df = spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", kind).alias("m"))
+    prompt, valid, corrections = context_from_map(F.col("m"))
+    got = df.select(prompt.alias("p"), valid.alias("v"), corrections.alias("c")).collect()
+    assert [tuple(r) for r in got] == [(["B", "A"], ["B", "B"], {"B": "B", "A": "B"}), ([], [], {}), ([], [], {})]
+
+
+def test_documents_are_listed_by_name_and_raw_texts_read_back(spark):
+    d = tempfile.mkdtemp(prefix="invoxa-test-")
+    for name in ("c.pdf", "a.pdf", "b.txt", "b.pdf"):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("x" * len(name))
+    assert [(r.filename, r.size) for r in files.list_documents(spark, d).collect()] == [
+        ("a.pdf", 5), ("b.pdf", 5), ("c.pdf", 5)]
+    docs = spark.createDataFrame([("a.pdf", "one"), ("b c.pdf", None)], "filename string, text string")
+    files.write_raw_texts(docs, os.path.join(d, "raw"), "now")
+    back = {r.filename: r.raw_text for r in files.read_raw_text_table(spark, os.path.join(d, "raw")).collect()}
+    assert sorted(back) == ["a.pdf", "b c.pdf"] and back["a.pdf"].endswith("\n\none") and "Source: b c.pdf\n" in back["b c.pdf"]
 
 
 def test_results_sink_keeps_nulls(spark):
