@@ -155,6 +155,13 @@ def header_from_variant(root: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), result)
 
 
+def quoted_numbers(root: Column) -> Column:
+    """The numbers that stand in the string fields of a header, as text: a failed
+    validation quotes them in its message."""
+    fields = [vget(root, f"$.invoiceHeader.{f}") for f in HEADER_FIELDS]
+    return F.array_compact(F.array(*(F.when(is_number(v), F.try_variant_get(v, "$", "string")) for v in fields)))
+
+
 _CASE_FIELDS = ("validatedClientCaseNumber", "rawClientCaseNumber", "date")
 
 

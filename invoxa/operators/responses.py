@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invoxa.functions.jsonish import (CASE_TYPE, header_from_variant, item_facts,
-                                     lines_from_variant, parse_response)
+                                     lines_from_variant, parse_response, quoted_numbers)
 from invoxa.functions.parsers import header_fields
 
 # FIXED VALUES: error fragments (lower-case) that mark an overloaded or
@@ -43,7 +43,9 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
     """Per attempt: parsed payload and class ok / stop / retry.
 
     An error counts as 'retry' when it looks like an overload; any other
-    error, an empty answer or a response that fails its schema is 'stop'.
+    error, an empty answer or a response that fails its schema is 'stop'. The
+    message of a failed header quotes numbers given for texts, so one that holds an
+    overload code makes it a 'retry' as well.
     """
     text = F.col("response_text")
     root = F.col("_json")
@@ -53,7 +55,9 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
     cls = (F.when(F.col("error").isNotNull(),
                   F.when(is_overload(F.col("error")), CLS_RETRY).otherwise(CLS_STOP))
            .when(text.isNull() | (text == ""), CLS_STOP)
-           .when(parsed, CLS_OK).otherwise(CLS_STOP))
+           .when(parsed, CLS_OK)
+           .when((F.col("agent") != "lines") & F.coalesce(F.exists(quoted_numbers(root), is_overload), F.lit(False)),
+                 CLS_RETRY).otherwise(CLS_STOP))
     return (responses.where(F.col("attempt").between(0, MAX_RETRIES))
             .withColumn("_json", parse_response(text))
             .withColumn("_facts", F.when(F.col("agent") == "lines", item_facts(F.col("_json"))))

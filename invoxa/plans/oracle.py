@@ -580,6 +580,14 @@ def header_ok(j: str) -> str:
             f"AND {fields} AND {bool_val(j, '$.isCoachingInvoice')} IS NOT NULL)")
 
 
+def quoted_overload(j: str) -> str:
+    def bad(f: str) -> str:
+        path = f"$.invoiceHeader.{f}"
+        v = f"json_extract_string({j}, '{path}')"
+        return f"coalesce({jt(j, path)} IN {_NUM} AND (contains({v}, '503') OR contains({v}, '429')), false)"
+    return " OR ".join(map(bad, _HF))
+
+
 def _item_ok(e: str) -> str:
     return (f"({jt(e, '$')} = 'OBJECT' AND {jt(e, '$.validatedClientCaseNumber')} = 'VARCHAR' "
             f"AND {opt_str_ok(e, '$.rawClientCaseNumber')} AND {opt_str_ok(e, '$.date')} "
@@ -609,6 +617,7 @@ cls AS (
          WHEN response_text IS NULL OR response_text = '' THEN 'stop'
          WHEN agent IN ('header', 'header_recovery') AND coalesce({header_ok('c')}, false) THEN 'ok'
          WHEN agent = 'lines' AND coalesce({lines_ok('c')}, false) THEN 'ok'
+         WHEN agent IN ('header', 'header_recovery') AND ({quoted_overload('c')}) THEN 'retry'
          ELSE 'stop' END AS cls
   FROM cls0),
 dec AS (SELECT doc_id, agent, min(attempt) FILTER (WHERE cls <> 'retry') AS s FROM cls GROUP BY doc_id, agent),

@@ -113,3 +113,19 @@ def test_split_corrections_allow_list(spark):
     assert r.kna == ["B", "C", "DEMO-A"]
     empty = df.select(split_no_activity(F.lit(None).cast(df.schema["l"].dataType)).alias("e")).first()
     assert empty.e.clientCases == [] and empty.e.clientCasesNoActivity == []
+
+
+def test_failed_header_that_quotes_an_overload_code_is_retried(spark):
+    from invoxa.operators.responses import classify_attempts, resolve_attempts
+    def header(number):
+        return '{"invoiceHeader": {"invoiceNumber": %s}, "isCoachingInvoice": true}' % number
+    rows = [(1, "header", 0, header("150371"), None), (1, "header", 1, header('"good"'), None),
+            (2, "header", 0, header("150271"), None), (2, "header", 1, header('"late"'), None),
+            (3, "header", 0, header('"503"'), None), (4, "header_recovery", 0, header("429"), None),
+            (5, "header", 0, '{"invoiceHeader": null}', None), (6, "header", 0, "503 {", None)]
+    df = spark.createDataFrame(rows, "doc_id long, agent string, attempt int, response_text string, error string")
+    found = classify_attempts(df)
+    cls = {(r.doc_id, r.attempt): r.cls for r in found.collect()}
+    assert [cls[k] for k in sorted(cls)] == ["retry", "ok", "stop", "ok", "ok", "retry", "stop", "stop"]
+    number = {r.doc_id: r.header_res and r.header_res.invoiceHeader.invoiceNumber for r in resolve_attempts(found).collect()}
+    assert number == {1: "good", 2: None, 3: "503", 4: None, 5: None, 6: None}
