@@ -3,9 +3,12 @@ coefficient of their word bigrams; size bounds prune the templates to compare.""
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,50 +69,143 @@ def words_of_lines(text: bytes | None) -> list[list[bytes]]:
     return [line.split() for line in (text or b"").translate(_NORMAL).split(b"\n")]
 
 
+#: Templates of fewer bigrams are matched inside a text only with all their numbers,
+#: since a cut sentence can lack just the version.
+SENTENCE = 16
+
+
 class Scanner:
     """Compares word lists with templates. A template of n bigrams reaches ``least``
     only with texts of ``least / (2 - least) * n`` to ``(2 - least) / least * n``."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
         self.least = least
-        self.names, self.sizes = [], []
+        self.names, self.sizes, self.counts = [], [], []
         self.holders: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         for at, (name, text) in enumerate(templates):
             words = [w for line in words_of_lines(text.encode()) for w in line]
             self.names.append(name)
             self.sizes.append(max(len(words) - 1, 0))
-            for bigram, n in Counter(zip(words, words[1:])).items():
+            self.counts.append(Counter(zip(words, words[1:])))
+            for bigram, n in self.counts[at].items():
                 self.holders.setdefault(bigram, []).append((at, n))
         filled = [n for n in self.sizes if n]
         self.low = least / (2 - least) * min(filled, default=1) - 1e-9
         self.high = (2 - least) / least * max(filled, default=0) + 1e-9
 
-    def best(self, words: list[bytes]) -> tuple[str, float] | None:
-        """The licence of the highest Dice coefficient from ``least`` on; of equal
-        ones the smaller name."""
+    def common(self, hits: Iterable[tuple[bytes, bytes]]) -> Counter[int]:
+        """For each template the number of its bigrams among ``hits``."""
+        out: Counter[int] = Counter()
+        for bigram, times in Counter(hits).items():
+            for at, m in self.holders[bigram]:
+                out[at] += min(times, m)
+        return out
+
+    def best(self, words: list[bytes]) -> tuple[str, float, int] | None:
+        """The licence of the highest Dice coefficient from ``least`` on, of equal
+        ones the smaller name; the coefficient; the template."""
         n = len(words) - 1
         if n < 1 or not self.low <= n <= self.high:
             return None
-        holders = self.holders
-        hits = [b for b in zip(words, words[1:]) if b in holders]
+        hits = [b for b in zip(words, words[1:]) if b in self.holders]
         if 2 * len(hits) < self.least * n:  # even a template made of these alone is too far
             return None
-        common: Counter[int] = Counter()
-        for bigram, times in Counter(hits).items():
-            for at, m in holders[bigram]:
-                common[at] += min(times, m)
-        found = [(-2.0 * c / (n + self.sizes[at]), self.names[at]) for at, c in common.items()
+        found = [(-2.0 * c / (n + self.sizes[at]), self.names[at], at) for at, c in self.common(hits).items()
                  if 2.0 * c / (n + self.sizes[at]) >= self.least]
         if not found:
             return None
-        score, name = min(found)
-        return name, -score
+        score, name, at = min(found)
+        return name, -score, at
+
+    def runs_of(self, at: int, hits: list[tuple[int, tuple[bytes, bytes]]]) -> list[tuple[float, int, int, set[int]]]:
+        """(score, first bigram, last bigram, places of common bigrams) of runs that
+        reach ``least`` with template ``at`` and share no bigram: repeatedly the
+        highest score, of equal ones the first and shortest."""
+        counts, size = self.counts[at], self.sizes[at]
+        hits = [(i, b) for i, b in hits if b in counts]
+        where = np.array([i for i, _ in hits], np.int64)
+        # A bigram counts in a run that starts after this place; else it is there too often.
+        after, seen = np.full(len(hits), -1, np.int64), {}
+        for k, (i, b) in enumerate(hits):
+            before = seen.setdefault(b, [])
+            if len(before) >= counts[b]:
+                after[k] = before[-counts[b]]
+            before.append(i)
+        numbers = {b for b in counts if b[0].isdigit() or b[1].isdigit()} if size < SENTENCE else set()
+        needed = sum(counts[b] for b in numbers)
+        number = np.array([b in numbers for _, b in hits], bool)
+        most = int((2 - self.least) / self.least * size + 1e-9)
+        ends = np.searchsorted(where, where + most)
+
+        def longest(k: int, stop: int) -> tuple[float, int, int, int] | None:
+            """The best run from hit ``k`` on that ends before hit ``stop``."""
+            part = slice(k, min(int(ends[k]), stop))
+            fits = after[part] < where[k]
+            scores = 2.0 * np.cumsum(fits) / (where[part] - where[k] + 1 + size)
+            if needed:
+                scores[np.cumsum(fits & number[part]) < needed] = 0.0
+            last = int(scores.argmax())
+            return (-float(scores[last]), int(where[k]), k, k + last) if scores[last] >= self.least else None
 
-    def scan(self, text: bytes | None) -> Iterator[tuple[str, int, int, str, float]]:
+        enough = np.flatnonzero(ends - np.arange(len(hits)) >= self.least / (2 - self.least) * size - 1e-9)
+        queue = [r for k in enough.tolist() if (r := longest(k, len(hits)))]
+        heapify(queue)
+        out, taken = [], []
+        while queue:
+            score, _, first, last = heappop(queue)
+            after_it = bisect_right(taken, (first, len(hits)))
+            if after_it and taken[after_it - 1][1] >= first:
+                continue
+            if after_it < len(taken) and taken[after_it][0] <= last:
+                if r := longest(first, taken[after_it][0]):
+                    heappush(queue, r)
+                continue
+            insort(taken, (first, last))
+            part = where[first:last + 1]
+            out.append((-score, int(part[0]), int(part[-1]), set(part[after[first:last + 1] < part[0]].tolist())))
+        return out
+
+    def runs(self, lines: list[list[bytes]], units: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, str, float]]:
+        """Rows of unit ``words``: runs that match wherever they stand in the text.
+
+        ``units`` are the matches (first word, end, template) of whole units. The
+        more bigrams a run has in common, the earlier it is taken; a run is left
+        out if at least half of them belong to a unit or a run before it.
+        """
+        words = [w for line in lines for w in line]
+        hits = [(i, b) for i, b in enumerate(zip(words, words[1:])) if b in self.holders]
+        found = [(-len(places), -score, self.names[at], first, last, places)
+                 for at, c in self.common(b for _, b in hits).items()
+                 if 2.0 * c / (c + self.sizes[at]) >= self.least - 1e-9
+                 for score, first, last, places in self.runs_of(at, hits)]
+        if not found:
+            return
+        used: set[int] = set()
+        for start, end, at in units:
+            left = Counter(self.counts[at])
+            for i, b in hits[bisect_right(hits, (start,)):bisect_right(hits, (end - 1,))]:
+                if left[b] > 0:
+                    left[b] -= 1
+                    used.add(i)
+        line_of = np.repeat(np.arange(1, len(lines) + 1), [len(line) for line in lines])
+        kept = []
+        for _, score, name, first, last, places in sorted(found, key=lambda r: r[:5]):
+            if 2 * len(used & places) < len(places):
+                used |= places
+                kept.append((first, last, name, -score))
+        for first, last, name, score in sorted(kept):
+            yield "words", int(line_of[first]), int(line_of[last + 1]), name, score
+
+    def scan(self, text: bytes | None, runs: bool = False) -> Iterator[tuple[str, int, int, str, float]]:
         """(unit, first line, last line, licence, score) of each unit that matches:
-        lines; paragraphs of several lines; the text if of several paragraphs. Lines
-        count from 1; lines without a word end a paragraph."""
+        lines; paragraphs of several lines; the text if of several paragraphs; with
+        ``runs`` also the runs of words inside them. Lines count from 1; lines
+        without a word end a paragraph."""
         lines = words_of_lines(text)
+        starts = [0]  # of each line, in words of the text
+        for words in lines:
+            starts.append(starts[-1] + len(words))
+        matched: list[tuple[int, int, int]] = []
         paragraphs: list[list[int]] = [[]]
         for at, words in enumerate(lines):
             if not words:
@@ -118,26 +214,27 @@ class Scanner:
                 continue
             paragraphs[-1].append(at)
             if found := self.best(words):
-                yield "line", at + 1, at + 1, *found
+                matched.append((starts[at], starts[at + 1], found[2]))
+                yield "line", at + 1, at + 1, *found[:2]
         paragraphs = [p for p in paragraphs if p]
         units = [("paragraph", p) for p in paragraphs if len(p) > 1]
         if len(paragraphs) > 1:
             units.append(("text", [at for p in paragraphs for at in p]))
         for unit, ats in units:
-            n = 0
-            for at in ats:  # most are too long; no need to join them
-                n += len(lines[at])
-                if n - 1 > self.high:
-                    break
-            else:
-                if found := self.best([w for at in ats for w in lines[at]]):
-                    yield unit, ats[0] + 1, ats[-1] + 1, *found
+            if starts[ats[-1] + 1] - starts[ats[0]] - 1 > self.high:  # most are too long; no need to join them
+                continue
+            if found := self.best([w for at in ats for w in lines[at]]):
+                matched.append((starts[ats[0]], starts[ats[-1] + 1], found[2]))
+                yield unit, ats[0] + 1, ats[-1] + 1, *found[:2]
+        if runs:
+            yield from self.runs(lines, matched)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """One row per unit of a text that matches a licence: doc_id, unit, first_line,
-    last_line, license, dice. See ``Scanner.scan`` for the units.
+    last_line, license, dice. See ``Scanner.scan`` for the units; ``runs`` also finds
+    notices among other words of a line, paragraph or text (unit ``words``).
 
     ``templates`` is a short list of (licence, text) that travels with the function.
     Null, empty and wordless texts match nothing; bigrams count as often as they
@@ -152,7 +249,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         for batch in batches:
             texts, ids = byte_texts(batch.column(1)), batch.column(0).to_pylist()
             for a, b in slices([len(t or b"") for t in texts], 1 << 23):
-                rows = [(i, *hit) for i, t in zip(ids[a:b], texts[a:b]) for hit in scanner.scan(t)]
+                rows = [(i, *hit) for i, t in zip(ids[a:b], texts[a:b]) for hit in scanner.scan(t, runs)]
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(),
@@ -164,7 +261,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> str:
-    """DuckDB SQL for the rows of ``scan_licenses`` on the view ``documents``."""
+    """DuckDB SQL for the rows of ``scan_licenses`` on the view ``documents``, without
+    ``runs``: lines, paragraphs and texts."""
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 

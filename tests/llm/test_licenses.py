@@ -70,3 +70,67 @@ def test_odd_rows(odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs, templates=(("x", "one two"), ("none", ""), ("a", "one two"))).select(
         "doc_id", "license").collect() == [(6, "a")]
     assert licenses.scan_licenses(no_docs).count() == 0
+
+
+def slow_runs(words, template, least):
+    """(score, first bigram, last bigram) by trying all runs of words, best first."""
+    want = [w for x in licenses.words_of_lines(template.encode()) for w in x]
+    want, pairs = Counter(zip(want, want[1:])), list(zip(words, words[1:]))
+    size = sum(want.values())
+    numbers = {b: n for b, n in want.items() if size < 16 and (b[0].isdigit() or b[1].isdigit())}
+    tried = []
+    for a in range(len(pairs)):
+        for b in range(a, len(pairs)):
+            has = Counter(pairs[a:b + 1])
+            score = 2.0 * sum((has & want).values()) / (b - a + 1 + size)
+            if score >= least and all(has[x] >= n for x, n in numbers.items()):
+                tried.append((-score, a, b))
+    out = []
+    for score, a, b in sorted(tried):
+        if all(b < x or y < a for _, x, y in out):
+            out.append((-score, a, b))
+    return sorted(out)
+
+
+def test_runs_against_all_runs():
+    r = random.Random(9)
+    short = [t for _, t in licenses.TEMPLATES if len(t.split()) < 16]
+    hits = 0
+    for least in (0.5, 0.8, 1.0):
+        scanner = licenses.Scanner(licenses.TEMPLATES, least)
+        for _ in range(40):
+            template = r.choice(short)
+            text = " ".join(r.choice(["some", "prose", "under the", template, template, " ".join(template.split()[:r.randint(1, 9)])])
+                            for _ in range(r.randint(1, 5)))
+            words = licenses.words_of_lines(text.encode())[0]
+            pairs = [(i, b) for i, b in enumerate(zip(words, words[1:])) if b in scanner.holders]
+            at = [t for _, t in licenses.TEMPLATES].index(template)
+            got = sorted(x[:3] for x in scanner.runs_of(at, pairs))
+            assert got == slow_runs(words, template, least), text
+            hits += len(got)
+    assert hits > 100
+
+
+def test_notices_inside_lines_and_paragraphs(spark):
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "free software" in t)
+    apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and "AS IS" in t)
+    header = "".join(f"# {' '.join(apache.split()[i:i + 9])}\n" for i in range(0, len(apache.split()), 9))
+    prose = "many other words of this long document " * 40
+    texts = ["Copyright 2024 Acme. Released under the MIT License.",
+             "Licensed under CC BY-NC 4.0. All other rights reserved.",
+             prose + gpl + " " + prose,
+             header + "import os\n" * 200,
+             "a line before\nand this work is licensed under a Creative Commons\nAttribution 4.0 International License. A line\nafter it",
+             "Licensed under CC BY-NC 3.0. All other rights reserved.", prose,
+             prose + "Released under the MIT License. " + prose + "\n\nLicensed under CC BY-SA 4.0.\n" + prose + "Licensed under CC BY 4.0."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(df, runs=True).where("unit <> 'line'").collect()
+    assert sorted(r[:5] for r in got) == [
+        (0, "words", 1, 1, "MIT"), (1, "words", 1, 1, "CC-BY-NC-4.0"), (2, "words", 1, 1, "GPL-3.0"),
+        (3, "words", 1, header.count("\n"), "Apache-2.0"), (4, "words", 2, 3, "CC-BY-4.0"), (7, "words", 1, 1, "MIT"), (7, "words", 4, 4, "CC-BY-4.0")]
+    assert all(r.dice > 0.95 for r in got)
+    # rows of whole units stay as they are, and no run repeats them
+    units = licenses.scan_licenses(df).collect()
+    assert sorted(licenses.scan_licenses(df, runs=True).where("unit <> 'words'").collect()) == sorted(units)
+    whole = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    assert licenses.scan_licenses(whole, runs=True).where("unit = 'words'").count() == 0
