@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 
@@ -134,3 +135,83 @@ def test_notices_inside_lines_and_paragraphs(spark):
     assert sorted(licenses.scan_licenses(df, runs=True).where("unit <> 'words'").collect()) == sorted(units)
     whole = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
     assert licenses.scan_licenses(whole, runs=True).where("unit = 'words'").count() == 0
+
+
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+CLAUSES = """Copyright (c) 2024, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+"""
+THIRD = """* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+"""
+MIT = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_licence_files(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    files = {p.name[:-4]: p.read_text() for p in folder.glob("*.txt")}
+    assert sorted(files) == ["AGPL-3.0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    files |= {"BSD-2-Clause": CLAUSES + DISCLAIMER, "BSD-3-Clause": CLAUSES + THIRD + DISCLAIMER, "MIT": MIT}
+    names = list(files)
+    # whole files, then the same inside a long text
+    texts = list(files.values()) + ["some prose before\n\n" * 4000 + t + "some prose after\n" * 4000 for t in files.values()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(df, runs=True).collect()
+    for i, name in enumerate(names):
+        assert [r.license for r in got if r.doc_id == i and r.unit == "text"] == [name]
+        inside = [r for r in got if r.doc_id == i + len(names) and r.license == name]
+        lines = texts[i].count("\n")
+        assert max(r.last_line - r.first_line for r in inside) > 0.7 * lines, name
+        assert {r.license for r in got if r.doc_id % len(names) == i and r.last_line - r.first_line > 0.5 * lines} == {name}
+
+
+def test_lesser_and_affero_notices(spark):
+    texts = [f"Licensed under the GNU {k} Public License, version {v}." for k, v in
+             (("General", "3"), ("Lesser General", "3"), ("Affero General", "3"), ("Lesser General", "2.1"), ("General", "2"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(df, runs=True).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.license) for r in got] == list(enumerate(["GPL-3.0", "LGPL-3.0", "AGPL-3.0", "LGPL-2.1", "GPL-2.0"]))
