@@ -102,29 +102,35 @@ def _spans(zipped: Column, kind: Kind, rank: int, block: int = 512) -> Column:
     """Spans from matches ``v`` and the texts ``g`` before them (the last has none).
 
     Lists are walked in blocks, since each step copies its block's list so far.
+    ``tail`` is the last NEARBY characters before the gap, whatever they belong to.
     """
     none = F.array().cast(SPAN)
 
+    def last(*parts: Column) -> Column:
+        return F.right(F.concat(*parts), F.lit(NEARBY))
+
     def step(a: Column, x: Column) -> Column:
         start = a["pos"] + F.length(x["g"])
         end = start + F.length(x["v"])
-        near = F.regexp_like(F.lower(F.right(x["g"], F.lit(NEARBY))), F.lit(kind.context))
+        before = last(a["tail"], F.right(x["g"], F.lit(NEARBY)))
+        near = F.regexp_like(F.lower(before), F.lit(kind.context))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"),
                         x["v"].alias("value"),
                         (F.lit(kind.prior + kind.checked) + F.when(near, kind.near).otherwise(0.0)).alias("score"))
         keep = kind.valid(x["v"]) & (F.lit(True) if kind.base else span["score"] >= THRESHOLD)
-        return F.struct(end.alias("pos"),
+        return F.struct(end.alias("pos"), last(before, F.right(x["v"], F.lit(NEARBY))).alias("tail"),
                         F.when(keep, F.concat(a["list"], F.array(span))).otherwise(a["list"]).alias("list"))
 
     def of_block(a: Column, part: Column) -> Column:
-        return F.aggregate(part, F.struct(a["pos"].alias("pos"), none.alias("list")), step,
-                           lambda i: F.struct(i["pos"].alias("pos"),
+        return F.aggregate(part, F.struct(a["pos"].alias("pos"), a["tail"].alias("tail"), none.alias("list")), step,
+                           lambda i: F.struct(i["pos"].alias("pos"), i["tail"].alias("tail"),
                                               F.concat(a["lists"], F.array(i["list"])).alias("lists")))
 
     n = F.size(zipped) - 1
     blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(block)),
                          lambda b: F.slice(zipped, b + 1, F.least(F.lit(block), n - b)))
-    found = F.aggregate(blocks, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("lists")),
+    found = F.aggregate(blocks, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"),
+                                          F.array().cast(f"array<{SPAN}>").alias("lists")),
                         of_block, lambda r: F.flatten(r["lists"]))
     return F.when(n > 0, found).otherwise(none)
 

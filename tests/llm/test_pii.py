@@ -94,3 +94,26 @@ def test_odd_rows_and_native_plan(spark, odd_docs, no_docs):
     plan = pii.find_pii(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
     assert plan.count("regexp_extract_all") == len(pii.KINDS)  # each pattern searched once
+
+
+def slow_tel(text):
+    """Numbers with a context word in the 40 characters before, apart from base spans."""
+    kind = next(k for k in pii.KINDS if k.name == "tel")
+    base = [tuple(map(int, x.split(":")[1:])) for x in slow_base(text).split(",") if x]
+    return [f"tel:{m.start()}:{m.end()}" for m in re.finditer(kind.pattern, text or "")
+            if re.search(kind.context, text[max(0, m.start() - 40):m.start()].lower())
+            and all(m.end() <= a or b <= m.start() for a, b in base)]
+
+
+def test_context_reaches_over_earlier_numbers(spark):
+    r = random.Random(12)
+    parts = ["555-123-4567", "0800 555 1234", "phone", "Tel: ", " ", " or ", ", ", "é", "😀", "some words between ", "a@b.co", "+1 (269) 555-3296", "."]
+    texts = ["Phone 555-123-4567 or 555-987-6543", "Phone 555-123-4567, 555-987-6543, 555-987-6544, 555-987-6545",
+             "phone" + " " * 40 + "555-123-4567", "phone" + " " * 39 + "555-123-4567 555-123-4568",
+             "555-123-4567 " * 511 + "phone 555-123-4567 555-987-6543 555-987-6544 555-987-6545"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(400)]
+    got = found(spark, texts)
+    for i, t in enumerate(texts):
+        assert [x for x in got[i].all.split(",") if x.startswith("tel:")] == slow_tel(t), t
+    assert got[0].masked == "Phone [TEL] or [TEL]"
+    assert [len(slow_tel(t)) for t in texts[:5]] == [2, 3, 0, 0, 3]
