@@ -122,7 +122,8 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
     that; those whose hash of id, if there is a ``doc_id``, text and language is
     smallest), which bounds that task.
     A centroid's limit is ``slack`` times the ``quantile`` of its members'
-    cosines, so only texts unlike nearly all of the sample are rejected.
+    cosines, so only texts unlike nearly all of the sample are rejected; where fewer
+    than ``1 / quantile`` members say little, of the whole language's cosines.
     The model's size follows the number of languages, not of rows.
     """
     of_row = F.xxhash64(*(c for c in ("doc_id", "text", "lang") if c in labelled.columns))
@@ -148,8 +149,8 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
         found = cluster(x, centroids)
         cosines = x @ found.T
         owner, best = cosines.argmax(axis=1), cosines.max(axis=1)
-        limits = [float(slack * np.quantile(best[owner == c], quantile)) if (owner == c).any() else 0.0
-                  for c in range(len(found))]
+        few = np.bincount(owner, minlength=len(found)) * quantile < 1  # members, for a quantile of their own
+        limits = [float(slack * np.quantile(best if few[c] else best[owner == c], quantile)) for c in range(len(found))]
         return pa.table({"lang": pa.array([lang] * len(found), pa.string()),
                          "centroid": pa.array([c.tobytes() for c in found], pa.binary()),
                          "at_least": pa.array(limits, pa.float64())})

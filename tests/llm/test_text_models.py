@@ -164,6 +164,18 @@ def test_language_held_out_accuracy(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_short_clean_texts_are_kept(spark):
+    """A lone short text can be a centroid of its own; texts a little like it stay."""
+    r = random.Random(13)
+    lone = {"en": "Wyvkyzqxpjbg.", "fr": "Wyvkyzqxpjbg.", "de": "Wyvkyzqxpjbg."}
+    rows = [tuple(x) for x in labelled(spark).collect()] + [(1000 + i, t, lang) for i, (lang, t) in enumerate(lone.items())]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    short = [(i, "".join(r.choice(["wyvk", "zqx", "jbg", *"abdefhiklmnoprstuw"]) for _ in range(r.randint(3, 7))) + ".") for i in range(300)]
+    got = langid.identify(spark.createDataFrame(short, "doc_id long, text string"), model)
+    assert got.where("score > 0.25").count() > 20
+    assert got.where("rejected and score > 0.25").collect() == []
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     model = langid.train(langid.training_rows(labelled(spark)), most=30)
     rows = {(r.doc_id, r.lang_pred == "und", r.rejected) for r in langid.identify(odd_docs, model).collect()}
