@@ -37,13 +37,14 @@ class WordTokenizer:
     across white space, so each white-space separated part is encoded once and
     remembered. A part that is a word of plain letters and closing punctuation is
     two pieces, each for the file's model as it is; any other part goes through the
-    file's whole chain. Special tokens written in a text are ordinary text."""
+    file's whole chain. Special tokens written in a text are ordinary text, unless
+    ``special`` (the library's default) gives them their ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
         self.pieces = Memo(self._piece, 40 << 20)
         self.parts = Memo(self._part, 64 << 20)
@@ -69,11 +70,11 @@ class WordTokenizer:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, special: bool = False) -> WordTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path)
+    return WordTokenizer(path, special)
 
 
 class Packer:
@@ -134,7 +135,8 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, linear: float = 1.0,
-         quadratic: float = 1 / 4096, pool: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         quadratic: float = 1 / 4096, pool: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+         special: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
 
@@ -144,10 +146,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     remainders at a time, so neither a shuffle nor an unbounded group is needed
     and a lost task is repeated alone; sequence ids carry the partition number in
     their upper bits. Null and empty texts are the end id alone. Rows with null or
-    repeated ids are documents of their own; other columns are dropped.
+    repeated ids are documents of their own; other columns are dropped. ``special``
+    gives special tokens written in a text their ids; else they are ordinary text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(tokenizer_path)
+        encoder = tokenizer(tokenizer_path, special)
         end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         packer = Packer(capacity, linear, quadratic, pool)

@@ -86,6 +86,21 @@ def test_word_tokenizer_equals_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == word_ids(texts)
 
 
+def test_query_gives_special_tokens_as_the_library_does(spark, tmp_path):
+    from invoxa.llm import queries
+
+    texts = mixed(300, 5) + ["a <|endoftext|>b", "<|startoftext|><|endoftext|> x", "<|ENDOFTEXT|>", "<|endof text|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(WORD)
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert any(49407 in x for x in want) and any(49406 in x for x in want)
+    assert {r.doc_id: r.doc_tokens for r in queries.op5_packing(spark, str(tmp_path)).collect()} == {
+        i: len(x) + 1 for i, x in enumerate(want)}
+    got = packing.WordTokenizer(WORD, special=True).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
 def check_packing(rows, pieces, capacity):
     """Each id in one piece, no gaps, none too long."""
     want = sorted(str((r[0], ids + [1])) for r, ids in zip(rows, word_ids([r[1] or "" for r in rows])))
