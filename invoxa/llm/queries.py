@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoxa.llm import ann, bpe, langid, licenses, packing, pii, simhash, substring, topk, url_filter
+from invoxa.llm import ann, bpe, langid, licenses, packing, pii, runs, simhash, substring, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,6 +114,35 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
+
+def with_planted_period(doc: int | None, words: list) -> list:
+    """Words of every tenth document (by checksum of its id) repeat from some word on."""
+    h = zlib.crc32(str(doc).encode())
+    if doc is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    period = words[a:a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + [period[i % len(period)] for i in range(n - a)]
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the steepest of them, and the words left without repeats."""
+    found = runs.find_runs(table(spark, sf_dir, "documents"), least=6, times=4, change=with_planted_period)
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+
+    def steeper(best, r):  # runs come by start, then period, so ties leave the first
+        more = best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+        return F.when(more, r).otherwise(best)
+
+    best = F.aggregate("runs", F.expr("cast(null as struct<start: long, length: long, period: long>)"), steeper)
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
 ORACLE["op4_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
            FROM embeddings
