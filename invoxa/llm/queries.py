@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoxa.llm import ann, bpe, langid, licenses, packing, pii, runs, simhash, substring, topk, url_filter
+from invoxa.llm import ann, bpe, crosstok, langid, licenses, packing, pii, runs, simhash, substring, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,6 +115,15 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two vocabularies aligned, with corpus counts of its links."""
+    rows = crosstok.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = crosstok.corpus_counts(rows.withColumn("groups_sha256", groups).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def with_planted_period(doc: int | None, words: list) -> list:
     """Words of every tenth document (by checksum of its id) repeat from some word on."""
     h = zlib.crc32(str(doc).encode())
