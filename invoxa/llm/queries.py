@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoxa.llm import ann, bpe, crosstok, langid, licenses, packing, pii, runs, simhash, substring, topk, url_filter
+from invoxa.llm import ann, bpe, crosstok, langid, licenses, packing, pii, runs, simhash, substring, suffix_tree, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +16,9 @@ ORACLE: dict[str, str] = {}
 #: Host and path rules of op3.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
+#: The tree of op12.
+SUFFIX_TREE = {"depth": 2, "prior": 100.0, "least": 4, "divergence": 2.0}
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]):
     QUERIES[f.__name__] = f
@@ -124,6 +127,12 @@ def op11_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@query
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learnt from the nine tenths not held out."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"), suffix_tree.held_out_tenth(), **SUFFIX_TREE).drop("states")
+
+
 def with_planted_period(doc: int | None, words: list) -> list:
     """Words of every tenth document (by checksum of its id) repeat from some word on."""
     h = zlib.crc32(str(doc).encode())
