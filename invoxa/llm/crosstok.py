@@ -78,8 +78,8 @@ class Pair:
         # How a group's tokens are written: a comma after each but a side's last.
         self.names = [f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"]
         self.names += [f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;"]
-        self.parts = BatchMemo(self._parts, 64 << 20)
-        self.windows = BatchMemo(self._windows, 64 << 20)
+        self.parts = BatchMemo(self._parts, 32 << 20)
+        self.windows = BatchMemo(self._windows, 32 << 20)
 
     @staticmethod
     def _facts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,22 +89,19 @@ class Pair:
         """Ids of the text with a space before it. A plain word and the punctuation that
         closes it are one piece each for the model as it is."""
         word = text.rstrip(".,;:!?")
-        if word.isascii() and word.isalpha():
-            ids = [t.id for t in self.model_a.tokenize("Ġ" + word)]
+        if word and (word.isalpha() and max(word) < "\u0250" or word.isascii() and word.isdigit()):
+            as_bytes = word if word.isascii() else "".join(map(byte_letters().__getitem__, word.encode()))
+            ids = [t.id for t in self.model_a.tokenize("Ġ" + as_bytes)]
             return ids + [t.id for t in self.model_a.tokenize(text[len(word):])] if len(text) > len(word) else ids
         return self.a.encode(" " + text, add_special_tokens=False).ids
 
-    def _same(self, ids: list[int], vocabulary: list[bytes], text: str) -> bool:
-        return b"".join(map(vocabulary.__getitem__, ids)) == b" " + text.encode()
-
     def _parts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Packed ids of both vocabularies; none where either does not give back the text."""
-        out = []
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            a = self._encode_a(text)
-            same = self._same(a, self.bytes_a, text) and self._same(b, self.bytes_b, text)
-            out.append((array("I", a).tobytes(), array("I", b).tobytes()) if same else (b"", b""))
-        return out
+        a, b = list(map(self._encode_a, texts)), self.b.encode(texts, num_threads=1)
+        back_a, back_b = ([b"".join(map(token, i)) for i in ids] for ids, token in
+                          ((a, self.bytes_a.__getitem__), (b, self.bytes_b.__getitem__)))
+        return [(array("I", x).tobytes(), array("I", y).tobytes()) if u == v == b" " + t.encode() else (b"", b"")
+                for t, x, y, u, v in zip(texts, a, b, back_a, back_b)]
 
     def _shared(self, a: np.ndarray, b: np.ndarray, open_a: np.ndarray, open_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each first and each second id, whether both have an end there that is open."""
@@ -158,9 +155,11 @@ class Pair:
         # document is one, since every text is tokenised with a space before it.
         is_a, is_b = self._shared(a, b, np.append(self.space_a[a[1:]], True)[:len(a)], np.append(self.space_b[b[1:]], True)[:len(b)])
         to_a, to_b = np.flatnonzero(is_a) + 1, np.flatnonzero(is_b) + 1
-        raw_a, raw_b = a.tobytes(), (b | np.uint32(_SECOND)).tobytes()
-        cut_a, cut_b = [0, *(4 * to_a).tolist()], [0, *(4 * to_b).tolist()]
-        keys = [raw_a[i:j] + raw_b[k:m] for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        # The ids of each window, first those of the first vocabulary.
+        owner = np.concatenate([np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b])
+        raw = np.concatenate([a, b | np.uint32(_SECOND)])[np.argsort(owner, kind="stable")].tobytes()
+        cut = [0, *(4 * (to_a + to_b)).tolist()]
+        keys = [raw[x:y] for x, y in zip(cut, cut[1:])]
         found = list(map(self.windows.getter(set(keys)), keys))
         last = np.searchsorted(to_a, np.cumsum(n_a), side="right").tolist()
         out = []
@@ -175,7 +174,7 @@ def pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
-def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = 4 << 20,
+def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = 2 << 20,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Both tokenisations of each row aligned: doc_id, n_a, n_b, n_groups, n_links and groups
     (``a1,a2|b1;a3|b2,b3``), and what ``corpus_counts`` needs: the row's chunk, its links as
@@ -185,7 +184,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = 4 <<
     A text that is null, empty, or that either vocabulary does not give back byte by byte
     has no tokens: zeros and an empty string. Repeated rows and null ids are aligned row by
     row; other columns are left out; an empty table gives no row. No shuffle; a task holds
-    ``chunk_bytes`` of text, or one longer text, and about 100 MB of remembered parts."""
+    ``chunk_bytes`` of text, or one longer text, and about 300 MB of remembered parts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(byte_level, pieces)

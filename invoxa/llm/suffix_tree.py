@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +39,19 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the token after the last word and of the context before the first.
 _END = xxhash.xxh64_intdigest(b"")
 _START = xxhash.xxh64_intdigest(b" ")
-#: Words have 64-bit keys, n-grams 52-bit ones.
-_NGRAM_BITS = 52
+#: Words have 64-bit keys, n-grams 48-bit ones: among 10^10 n-grams, 4 in 100,000 share
+#: theirs with another and get its occurrences added.
+_NGRAM_BITS = 48
 
 
 def planes(values: np.ndarray) -> bytes:
-    """First all lowest bytes, then all second ones and so on, so the empty ones compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Compressed: first all lowest bytes, then all second ones and so on, since the higher
+    ones are mostly empty."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
 
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
+def from_planes(packed: bytes, kind) -> np.ndarray:
+    raw, size = zstandard.decompress(packed), np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
@@ -93,7 +96,7 @@ class Chunk:
             self.where.append(self.place >= level - 1)
             distinct, at = np.unique(key[self.where[-1]], return_inverse=True)
             self.keys.append(distinct)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
 
     def spread(self, level: int, values: np.ndarray) -> np.ndarray:
         """Values of the distinct events of a level, token by token (0 where there is none)."""
@@ -185,7 +188,7 @@ class Model:
 
 
 def score(docs: DataFrame, held_out: Column | None = None, depth: int = 2, prior: float = 100.0, least: int = 4,
-          divergence: float = 2.0, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+          divergence: float = 2.0, chunk_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row by a tree learnt from the rows where ``held_out`` (a condition) is
     false: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10, root only),
     score (log10), states (tokens scored by a state other than the root).
@@ -210,7 +213,7 @@ def score(docs: DataFrame, held_out: Column | None = None, depth: int = 2, prior
     chunks = by_chunk(docs.select(F.col(id_col).cast("long").alias("doc_id"), condition.alias("held"), F.col(text_col).alias("text"))
                       .mapInArrow(cut, CHUNKS))
     tokens = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (4 << 20)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (2 << 20)))
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,10 @@ SELECT doc_id, filename, text, extraction_method, error_message, CAST(length(tex
 FROM docs""")
 for _f in ("client_cases", "invoice_numbers", "dates_raw", "dates", "amounts", "emails",
            "vat_numbers", "kvk_numbers"):
-    ORACLE[f"extract_{_f}"] = _family(_f)
+    ORACLE[f"extract_{_f}"] = ORACLE[f"paged_{_f}"] = _family(_f)
+ORACLE["paged_state"] = with_(TEXT, """
+SELECT doc_id, filename, extraction_method, error_message, CAST(length(text) AS INTEGER) AS text_length
+FROM docs""")
 
 ORACLE["extract_emails_documents"] = with_(
     "docsrc AS (SELECT doc_id, text FROM documents)," + patterns_cte("docsrc"), """

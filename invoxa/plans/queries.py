@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoxa.operators import documents as D
-from invoxa.operators.extract import family_long, with_patterns
+from invoxa.operators import paged
+from invoxa.operators.extract import FAMILIES, family_long, with_patterns
 from invoxa.operators.matching import (annotate_documents, lookup_tables, match_cases,
                                        ref_canon, ref_codes)
 from invoxa.operators.text import assemble_text, document_text
@@ -84,6 +85,23 @@ for _f in ("client_cases", "invoice_numbers", "dates_raw", "dates", "amounts", "
     query(_family(_f))
 
 
+def _paged_family(family: str) -> Query:
+    def q(spark, sf):
+        return paged.family_rows(_pages(spark, sf), family)
+    q.__name__ = f"paged_{family}"
+    return q
+
+
+for _f in FAMILIES:
+    query(_paged_family(_f))
+
+
+@query
+def paged_state(spark, sf):
+    """Method, error and text length of every document, without its text in one row."""
+    return paged.document_state(_pages(spark, sf))
+
+
 @query
 def extract_emails_documents(spark, sf):
     """E-mail family over the driver's free-text ``documents`` (whole texts)."""
