@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from invoxa.functions.parsers import normalize_date, normalize_vat, parse_amount
 from invoxa.functions.patterns import PATTERN_FAMILIES, java_regex, strip_ws
 from invoxa.operators.text import (ERROR_NO_TEXT, METHOD_FAILED, METHOD_PDF_TEXT, MIN_USABLE_CHARS,
-                                   page_marker_text)
+                                   page_part)
 
 #: Pages numbered alike up to this divisor share a block.
 PAGES_A_BLOCK = 256
@@ -37,47 +37,44 @@ _VALUES = {"dates_raw": ("dates", lambda x: x), "dates": ("dates", normalize_dat
            **{f: (f, lambda x: x) for f in ("client_cases", "invoice_numbers", "emails", "kvk_numbers")}}
 
 
-def _part(page_no: Column, text: Column) -> Column:
-    """A page's part of the document text: the same rule as for whole documents."""
-    return page_marker_text(F.array(F.struct(page_no.alias("page_no"), text.alias("page_text"))))
+def _opening(part: Column) -> Column:
+    """Marker line of a page's part, and the white space and digits that follow."""
+    return F.regexp_extract(part, r"^\n[^\n]*\n(?U:\s*)[0-9]*", 0)
+
+
+def _rows(pages: DataFrame, pages_a_block: int) -> DataFrame:
+    """Every page with text: its place in its block and what opens the page after it there."""
+    order = Window.partitionBy(*_KEYS).orderBy("page_no", "page_text")
+    return (pages.where((F.length("page_text") > 0) & F.col("page_no").isNotNull())
+            .select("doc_id", "extractor", F.floor(F.col("page_no") / pages_a_block).alias("block"), "page_no", "page_text",
+                    page_part(F.col("page_no"), F.col("page_text")).alias("part"))
+            .select(*_KEYS, F.row_number().over(order).alias("page"), "part",
+                    F.lead(_opening(F.col("part"))).over(order).alias("opening")))
 
 
-def _blocks(pages: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
     """One row per document, extractor and block: what opens the next block, and what decides
     which extractor's text is usable."""
-    order = F.struct("page_no", "page_text")
-    part = _part(F.col("page_no"), F.col("page_text"))
     # Stripped text begins with the first marker and never ends before the last one.
     blank = F.length("part") - F.length(strip_ws(F.concat(F.lit("-"), F.col("part")))) + 1
-    rows = (pages.withColumn("part", part).groupBy(*_KEYS)
-            .agg(F.sum(F.length("part")).alias("chars"), F.min("filename").alias("filename"),
-                 F.min_by(_opening(part), order).alias("opening"), F.max_by(blank, order).alias("blank")))
+    blocks = rows.groupBy(*_KEYS).agg(
+        F.sum(F.length("part")).alias("chars"), F.max(F.when(F.col("page") == 1, _opening(F.col("part")))).alias("opens"),
+        F.max(F.when(F.col("opening").isNull(), blank)).alias("blank"))
     whole = Window.partitionBy("doc_id", "extractor").orderBy("block")
     all_of = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("*", F.lead("opening").over(whole).alias("next_opening"),
-                       (F.sum("chars").over(all_of) - 1 - F.last("blank").over(all_of) > MIN_USABLE_CHARS).alias("ok"))
+    blocks = blocks.select("*", F.lead("opens").over(whole).alias("next_opening"),
+                           (F.sum("chars").over(all_of) - 1 - F.last("blank").over(all_of) > MIN_USABLE_CHARS).alias("ok"))
     first_ok = F.max(F.col("ok") & (F.col("extractor") == "primary")).over(Window.partitionBy("doc_id"))
     wanted = F.when(F.col("first_ok"), "primary").otherwise("secondary")
-    return rows.withColumn("first_ok", first_ok).where(F.col("extractor") == wanted)
-
-
-def _opening(part: Column) -> Column:
-    """Marker line of a page's part, and the white space and digits that follow."""
-    return F.regexp_extract(part, r"^\n[^\n]*\n(?U:\s*)[0-9]*", 0)
+    return blocks.withColumn("first_ok", first_ok).where(F.col("extractor") == wanted)
 
 
 def document_parts(pages: DataFrame, pages_a_block: int = PAGES_A_BLOCK) -> DataFrame:
     """The parts of each document's chosen text: doc_id, block, page (place in its block), part
     and searched (the part with the opening of the next). ``pages`` as for ``document_text``;
     a page without text or number has no part."""
-    used = (pages.where((F.length("page_text") > 0) & F.col("page_no").isNotNull())
-            .withColumn("block", F.floor(F.col("page_no") / pages_a_block)))
-    order = Window.partitionBy(*_KEYS).orderBy("page_no", "page_text")
-    part = _part(F.col("page_no"), F.col("page_text"))
-    rows = (used.withColumn("part", part)
-            .select(*_KEYS, F.row_number().over(order).alias("page"), "part",
-                    F.lead(_opening(F.col("part"))).over(order).alias("opening")))
-    return (rows.join(_blocks(used).select(*_KEYS, "next_opening"), list(_KEYS))
+    rows = _rows(pages, pages_a_block)
+    return (rows.join(_blocks(rows).select(*_KEYS, "next_opening"), list(_KEYS))
             .select("doc_id", "block", "page", "part",
                     F.concat("part", F.coalesce("opening", "next_opening", F.lit(""))).alias("searched")))
 
@@ -85,9 +82,7 @@ def document_parts(pages: DataFrame, pages_a_block: int = PAGES_A_BLOCK) -> Data
 def document_state(pages: DataFrame, pages_a_block: int = PAGES_A_BLOCK) -> DataFrame:
     """doc_id, filename, extraction_method, error_message and text_length of each document, as
     ``document_text`` gives them, without putting its text into one row."""
-    used = (pages.where((F.length("page_text") > 0) & F.col("page_no").isNotNull())
-            .withColumn("block", F.floor(F.col("page_no") / pages_a_block)))
-    chosen = _blocks(used).groupBy("doc_id").agg(F.max("ok").alias("ok"), F.sum("chars").alias("chars"))
+    chosen = _blocks(_rows(pages, pages_a_block)).groupBy("doc_id").agg(F.max("ok").alias("ok"), F.sum("chars").alias("chars"))
     ok = F.coalesce("ok", F.lit(False))
     return (pages.groupBy("doc_id").agg(F.min("filename").alias("filename")).join(chosen, "doc_id", "left")
             .select("doc_id", "filename", F.when(ok, METHOD_PDF_TEXT).otherwise(METHOD_FAILED).alias("extraction_method"),

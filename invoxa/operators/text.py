@@ -14,6 +14,11 @@ ERROR_NO_TEXT = "Failed to extract text"
 MIN_USABLE_CHARS = 50
 
 
+def page_part(page_no: Column, text: Column) -> Column:
+    """What one page with text adds to its document's text."""
+    return F.concat(F.lit("\n--- Page "), page_no.cast("string"), F.lit(" ---\n"), text, F.lit("\n"))
+
+
 def page_marker_text(pages: Column) -> Column:
     """Concatenate non-empty pages in page order as "\\n--- Page n ---\\n{text}\\n".
 
@@ -21,9 +26,7 @@ def page_marker_text(pages: Column) -> Column:
     Empty pages are skipped but keep their number.
     """
     kept = F.array_sort(F.filter(pages, lambda p: F.length(p["page_text"]) > 0))
-    return F.array_join(F.transform(kept, lambda p: F.concat(
-        F.lit("\n--- Page "), p["page_no"].cast("string"), F.lit(" ---\n"),
-        p["page_text"], F.lit("\n"))), "")
+    return F.array_join(F.transform(kept, lambda p: page_part(p["page_no"], p["page_text"])), "")
 
 
 def text_ok(text: Column) -> Column:
