@@ -15,6 +15,7 @@ from invoxa.functions.patterns import strip_ws
 
 # FIXED VALUES: schema field names.
 HEADER_FIELDS = ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")
+CASE_FIELDS = ("validatedClientCaseNumber", "rawClientCaseNumber", "date")
 # FIXED VALUES: strings accepted for a boolean field (case-insensitive).
 BOOL_TRUE = ("1", "on", "t", "true", "y", "yes")
 BOOL_FALSE = ("0", "off", "f", "false", "n", "no")
@@ -121,20 +122,56 @@ def opt_float_ok(v: Column) -> Column:
     return absent_or_null(v) | float_value(v).isNotNull()
 
 
-def parse_response(text: Column) -> Column:
+# Strict JSON, as far as the reader can be told.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_LOOSE_HEADER = ("invoiceHeader struct<" + ", ".join(f"{f}: variant" for f in HEADER_FIELDS)
+                 + ">, isCoachingInvoice variant")
+_LOOSE_LINES = ("clientCases array<struct<" + ", ".join(f"{f}: variant" for f in (*CASE_FIELDS, "durationHours"))
+                + ">>, clientCasesNoActivity array<variant>")
+
+
+def _last_of_duplicates(carved: Column, schema: str) -> Column:
+    """VARIANT of an answer whose objects repeat a key, each with its last value.
+
+    The VARIANT parser refuses such an answer. Read by schema, a later value takes the
+    place of an earlier one, and a value of another shape marks the record as corrupt:
+    that fails the answer, even if only the earlier one was so.
+    """
+    read = F.from_json(carved, schema + ", _corrupt_record string", _STRICT)
+    single = F.size(F.from_json(F.concat(F.lit("["), carved, F.lit("]")), "array<struct<invoiceHeader: string>>", _STRICT)) == 1
+    sound = carved.startswith("{") & single & read["_corrupt_record"].isNull()
+    for name in schema.replace(",", " ").split():
+        if name in ("clientCases", "clientCasesNoActivity"):  # an explicit null is no list
+            keys = F.json_object_keys(carved)
+            sound = sound & ~(F.array_contains(keys, name) & read[name].isNull())
+    fields = [f for f in ("invoiceHeader", "isCoachingInvoice", "clientCases", "clientCasesNoActivity") if f in schema]
+    return F.when(sound, F.try_parse_json(F.to_json(F.struct(*(read[f].alias(f) for f in fields)))))
+
+
+def parse_response(text: Column, lines: Column | bool = False) -> Column:
     """VARIANT of the carved response text (NULL when it is not JSON).
 
     Compute it once into a column (``withColumn``) and validate from that
     column: the checks below read many paths of the same document. Inside
     brackets, text after the JSON value makes the whole invalid or a longer list.
+    A repeated key keeps its last value; ``lines`` says whether the answer is one
+    with line items (only the fields of its kind are kept then).
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), carve_json(text), F.lit("]")))
+    carved = carve_json(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), carved, F.lit("]")))
     values = F.try_variant_get(listed, "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.get(values, 0))
+    lines = F.lit(lines) if isinstance(lines, bool) else lines
+    repaired = F.when(lines, _last_of_duplicates(carved, _LOOSE_LINES)).otherwise(_last_of_duplicates(carved, _LOOSE_HEADER))
+    return F.when(listed.isNull(), repaired).when(F.size(values) == 1, F.get(values, 0))
+
+
+def _once(root: Column, f) -> Column:
+    """``f(root)`` with ``root`` worked out once, not in each of its uses."""
+    return F.get(F.transform(F.array(root), lambda r: f(r)), 0)
 
 
 def parse_header(text: Column) -> Column:
-    return header_from_variant(parse_response(text))
+    return _once(parse_response(text), header_from_variant)
 
 
 def header_from_variant(root: Column) -> Column:
@@ -155,16 +192,6 @@ def header_from_variant(root: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), result)
 
 
-def quoted_numbers(root: Column) -> Column:
-    """The numbers that stand in the string fields of a header, as text: a failed
-    validation quotes them in its message."""
-    fields = [vget(root, f"$.invoiceHeader.{f}") for f in HEADER_FIELDS]
-    return F.array_compact(F.array(*(F.when(is_number(v), F.try_variant_get(v, "$", "string")) for v in fields)))
-
-
-_CASE_FIELDS = ("validatedClientCaseNumber", "rawClientCaseNumber", "date")
-
-
 def item_facts(root: Column) -> Column:
     """Per line item, its type names and typed values, computed once.
 
@@ -173,11 +200,11 @@ def item_facts(root: Column) -> Column:
     VARIANT inside every lambda (no common-subexpression elimination runs
     inside higher-order functions).
     """
-    items = F.variant_get(root, "$.clientCases", "array<variant>")
+    items = F.try_variant_get(root, "$.clientCases", "array<variant>")
 
     def facts(e: Column) -> Column:
         cols = [is_object(e).alias("is_obj")]
-        for f in _CASE_FIELDS:
+        for f in CASE_FIELDS:
             v = vget(e, f"$.{f}")
             cols += [vtype(v).alias(f"t_{f}"), F.when(_is(v, "STRING"),
                                                       F.try_variant_get(v, "$", "string")).alias(f)]
@@ -203,7 +230,7 @@ def _fact_case(x: Column) -> Column:
 
 
 def parse_lines(text: Column) -> Column:
-    return lines_from_variant(parse_response(text))
+    return _once(parse_response(text, lines=True), lines_from_variant)
 
 
 def lines_from_variant(root: Column, facts: Column | None = None) -> Column:
@@ -216,7 +243,7 @@ def lines_from_variant(root: Column, facts: Column | None = None) -> Column:
     """
     facts = item_facts(root) if facts is None else facts
     cc, na = vget(root, "$.clientCases"), vget(root, "$.clientCasesNoActivity")
-    names = F.variant_get(root, "$.clientCasesNoActivity", "array<variant>")
+    names = F.try_variant_get(root, "$.clientCasesNoActivity", "array<variant>")
     cc_ok = cc.isNull() | (is_array(cc) & F.forall(facts, _fact_ok))
     na_ok = na.isNull() | (is_array(na) & F.forall(names, lambda x: _is(x, "STRING")))
     valid = is_object(root) & cc_ok & na_ok

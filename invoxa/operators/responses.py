@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invoxa.functions.jsonish import (CASE_TYPE, header_from_variant, item_facts,
-                                     lines_from_variant, parse_response, quoted_numbers)
+from invoxa.functions.jsonish import (CASE_TYPE, carve_json, header_from_variant, item_facts,
+                                     lines_from_variant, parse_response)
 from invoxa.functions.parsers import header_fields
+from invoxa.functions.validation import header_faults, lines_faults, message_words
 
 # FIXED VALUES: error fragments (lower-case) that mark an overloaded or
 # rate-limited call, which is retried; and the retry budget.
@@ -44,25 +45,27 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
 
     An error counts as 'retry' when it looks like an overload; any other
     error, an empty answer or a response that fails its schema is 'stop'. The
-    message of a failed header quotes numbers given for texts, so one that holds an
-    overload code makes it a 'retry' as well.
+    message of a failed validation quotes the values at fault, so one that holds an
+    overload mark makes it a 'retry' as well.
     """
-    text = F.col("response_text")
-    root = F.col("_json")
+    text, root, facts = F.col("response_text"), F.col("_json"), F.col("_facts")
+    is_lines = F.col("agent") == "lines"
     hdr = F.when(F.col("agent").isin("header", "header_recovery"), header_from_variant(root))
-    lns = F.when(F.col("agent") == "lines", lines_from_variant(root, F.col("_facts")))
-    parsed = F.coalesce(hdr.isNotNull(), F.lit(False)) | F.coalesce(lns.isNotNull(), F.lit(False))
+    lns = F.when(is_lines, lines_from_variant(root, facts))
+    answered = F.col("error").isNull() & text.isNotNull() & (text != "")
+    faults = F.when(is_lines, lines_faults(root, F.col("_carved"), facts)).otherwise(header_faults(root, F.col("_carved")))
+    retried = F.coalesce(F.exists(message_words(faults), is_overload), F.lit(False))
     cls = (F.when(F.col("error").isNotNull(),
                   F.when(is_overload(F.col("error")), CLS_RETRY).otherwise(CLS_STOP))
-           .when(text.isNull() | (text == ""), CLS_STOP)
-           .when(parsed, CLS_OK)
-           .when((F.col("agent") != "lines") & F.coalesce(F.exists(quoted_numbers(root), is_overload), F.lit(False)),
-                 CLS_RETRY).otherwise(CLS_STOP))
+           .when(~answered, CLS_STOP)
+           .when(F.col("hdr").isNotNull() | F.col("lns").isNotNull(), CLS_OK)
+           .when(retried, CLS_RETRY).otherwise(CLS_STOP))
     return (responses.where(F.col("attempt").between(0, MAX_RETRIES))
-            .withColumn("_json", parse_response(text))
-            .withColumn("_facts", F.when(F.col("agent") == "lines", item_facts(F.col("_json"))))
-            .select("doc_id", "agent", "attempt", cls.alias("cls"),
-                    hdr.alias("hdr"), lns.alias("lns")))
+            .withColumn("_json", parse_response(text, is_lines))
+            .withColumn("_facts", F.when(is_lines, item_facts(root)))
+            .withColumn("_carved", carve_json(text))
+            .select("*", hdr.alias("hdr"), lns.alias("lns"))
+            .select("doc_id", "agent", "attempt", cls.alias("cls"), "hdr", "lns"))
 
 
 def _bit(n: Column) -> Column:

@@ -423,7 +423,8 @@ def _header_json(o: str) -> str:
            f"|| ', \"vatNumber\": ' || {vat} || '}}' END)")
     tail = (f"(CASE WHEN {o} % 31 = 1 THEN '}}' ELSE ', \"isCoachingInvoice\": ' || "
             f"CASE WHEN {o} % 13 = 0 THEN 'false' ELSE 'true' END || '}}' END)")
-    return f"('{{\"invoiceHeader\": ' || {obj} || {tail})"
+    start = f"(CASE WHEN {o} % 31 = 5 THEN '{{\"isCoachingInvoice\": \"dup\", \"invoiceHeader\": ' ELSE '{{\"invoiceHeader\": ' END)"
+    return f"({start} || {obj} || {tail})"
 
 
 def _item_json() -> str:
@@ -433,8 +434,8 @@ def _item_json() -> str:
     hours = f"(CASE WHEN {o} % 31 = 2 THEN {q_(ht)} ELSE {ht} END)"
     key = f"(CASE WHEN {o} % 31 = 1 THEN '\"caseNumber\": ' ELSE '\"validatedClientCaseNumber\": ' END)"
     return (f"'{{' || {key} || {q_(code)} || ', \"rawClientCaseNumber\": ' || {q_(code)} || "
-            f"', \"date\": \"' || strftime(l.l_shipdate, '%Y-%m-%d') || '\", \"durationHours\": ' "
-            f"|| {hours} || '}}'")
+            f"', \"date\": \"' || strftime(l.l_shipdate, '%Y-%m-%d') || '\"' || "
+            f"CASE WHEN {o} % 31 = 5 THEN ', \"durationHours\": 99' ELSE '' END || ', \"durationHours\": ' || {hours} || '}}'")
 
 
 _EXTRA_ITEM = '{"validatedClientCaseNumber": "DEMO-CASE-999", "date": null, "durationHours": 1}'
@@ -459,6 +460,11 @@ def _rec_json(o: str) -> str:
             f"|| '}}, \"isCoachingInvoice\": true}}')")
 
 
+_QUOTED = ("(CASE WHEN agent = 'lines' AND doc_id % 29 = 6 THEN "
+           """'{"clientCases": [{"validatedClientCaseNumber": "DEMO-CASE-001", "durationHours": "503 h"}]}' """
+           "WHEN agent = 'header' AND doc_id % 29 = 7 THEN "
+           """'{"invoiceHeader": {"kvkNumber": [429]}, "isCoachingInvoice": true}' END)""")
+
 _NEEDS = "(doc_id % 5 = 0 OR doc_id % 6 IN (0, 4) OR doc_id % 31 = 3)"
 
 FX_RESPONSES = FX_FACTS + f""",
@@ -484,9 +490,9 @@ fx_calls AS (
 fx_attempts AS (SELECT *, unnest(range(0, least(k, 3) + 1)) AS attempt FROM fx_calls),
 fx_responses AS (
   SELECT doc_id, agent, CAST(attempt AS INTEGER) AS attempt,
-         CASE WHEN attempt < k THEN NULL WHEN other_error THEN NULL WHEN empty THEN '' ELSE body END
+         CASE WHEN attempt < k THEN {_QUOTED} WHEN other_error THEN NULL WHEN empty THEN '' ELSE body END
            AS response_text,
-         CASE WHEN attempt < k THEN {_OVERLOAD}
+         CASE WHEN attempt < k AND {_QUOTED} IS NULL THEN {_OVERLOAD}
               WHEN other_error THEN '400 INVALID_ARGUMENT: bad request' END AS error
   FROM fx_attempts),
 fx_ocr AS (
@@ -543,6 +549,12 @@ def carve(s: str) -> str:
             f"ELSE {t} END)")
 
 
+def answer(s: str) -> str:
+    """The carved answer with the first of two equal keys taken out, as the last one counts."""
+    return (f"replace(replace({carve(s)}, '\"isCoachingInvoice\": \"dup\", ', ''), "
+            f"', \"durationHours\": 99, \"durationHours\"', ', \"durationHours\"')")
+
+
 def jt(j: str, path: str) -> str:
     return f"json_type({j}, '{path}')"
 
@@ -580,12 +592,28 @@ def header_ok(j: str) -> str:
             f"AND {fields} AND {bool_val(j, '$.isCoachingInvoice')} IS NOT NULL)")
 
 
+def _marked(shown: str) -> str:
+    return f"regexp_matches(lower({shown}), '503|429|overloaded|unavailable')"
+
+
 def quoted_overload(j: str) -> str:
+    """Whether the message of a failed header quotes an overload mark: numbers and lists in
+    text fields, and the whole answer (25 characters, 24 from its end) where the flag is absent."""
     def bad(f: str) -> str:
         path = f"$.invoiceHeader.{f}"
-        v = f"json_extract_string({j}, '{path}')"
-        return f"coalesce({jt(j, path)} IN {_NUM} AND (contains({v}, '503') OR contains({v}, '429')), false)"
-    return " OR ".join(map(bad, _HF))
+        return (f"coalesce({jt(j, path)} IN {_NUM[:-1]}, 'ARRAY') AND "
+                + _marked(f"json_extract_string({j}, '{path}')") + ", false)")
+    whole = f"replace(replace(replace(replace({j}, '\"', ''''), 'null', 'None'), 'true', 'True'), 'false', 'False')"
+    absent = (f"coalesce({jt(j, '$.isCoachingInvoice')} IS NULL AND "
+              + _marked(f"left({whole}, 25) || '...' || right({whole}, 24)") + ", false)")
+    return " OR ".join([*map(bad, _HF), absent])
+
+
+def quoted_overload_lines(j: str) -> str:
+    """The same for texts given as hours."""
+    hours = "json_extract_string(e, '$.durationHours')"
+    return (f"coalesce(len(list_filter(json_extract({j}, '$.clientCases[*]'), lambda e: "
+            f"json_type(e, '$.durationHours') = 'VARCHAR' AND TRY_CAST({hours} AS DOUBLE) IS NULL AND {_marked(hours)})) > 0, false)")
 
 
 def _item_ok(e: str) -> str:
@@ -606,7 +634,7 @@ def lines_ok(j: str) -> str:
 
 
 PHASE2 = MATCHES + "," + FX_RESPONSES.replace(FX_FACTS + ",", "") + f""",
-cls00 AS (SELECT *, {carve('response_text')} AS c0 FROM fx_responses WHERE attempt BETWEEN 0 AND 3),
+cls00 AS (SELECT *, {answer('response_text')} AS c0 FROM fx_responses WHERE attempt BETWEEN 0 AND 3),
 cls0 AS (SELECT *, CASE WHEN json_valid(c0) THEN c0 END AS c FROM cls00),
 cls AS (
   SELECT *,
@@ -618,6 +646,7 @@ cls AS (
          WHEN agent IN ('header', 'header_recovery') AND coalesce({header_ok('c')}, false) THEN 'ok'
          WHEN agent = 'lines' AND coalesce({lines_ok('c')}, false) THEN 'ok'
          WHEN agent IN ('header', 'header_recovery') AND ({quoted_overload('c')}) THEN 'retry'
+         WHEN agent = 'lines' AND {quoted_overload_lines('c')} THEN 'retry'
          ELSE 'stop' END AS cls
   FROM cls0),
 dec AS (SELECT doc_id, agent, min(attempt) FILTER (WHERE cls <> 'retry') AS s FROM cls GROUP BY doc_id, agent),

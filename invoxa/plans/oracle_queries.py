@@ -119,7 +119,7 @@ FROM p1f""")
 
 # ------------------------------------------------------------------ phase 2
 from invoxa.operators.lines import LINE_PATTERN  # noqa: E402
-from invoxa.plans.oracle import (FX_RESPONSES, PHASE2, PHASE3, carve,  # noqa: E402
+from invoxa.plans.oracle import (FX_RESPONSES, PHASE2, PHASE3, answer, carve,  # noqa: E402
                                  float_val, header_ok, iso_date, lines_ok)
 
 _RESP = FX_RESPONSES
@@ -143,7 +143,7 @@ ORACLE["recovery_source"] = with_(PHASE2, "SELECT doc_id, " + ", ".join(f"""
             WHEN coalesce({n}1, '') <> '' THEN 'model' END AS {n}_source""" for n in ("kvk", "vat")) + """
 FROM f4""")
 ORACLE["validate_header"] = with_(_RESP + f""",
-v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
+v0 AS (SELECT doc_id, attempt, {answer('response_text')} AS c0 FROM fx_responses
       WHERE agent = 'header' AND response_text IS NOT NULL),
 v AS (SELECT doc_id, attempt, CASE WHEN json_valid(c0) THEN c0 END AS c FROM v0),
 v2 AS (SELECT *, coalesce({header_ok('c')}, false) AS valid FROM v)""", """
@@ -156,7 +156,7 @@ SELECT doc_id, attempt, valid,
        CASE WHEN valid THEN json_extract_string(c, '$.isCoachingInvoice') = 'true' END AS isCoachingInvoice
 FROM v2""")
 ORACLE["validate_lines"] = with_(_RESP + f""",
-v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
+v0 AS (SELECT doc_id, attempt, {answer('response_text')} AS c0 FROM fx_responses
       WHERE agent = 'lines' AND response_text IS NOT NULL),
 v AS (SELECT doc_id, attempt, CASE WHEN json_valid(c0) THEN c0 END AS c FROM v0),
 v2 AS (SELECT *, coalesce({lines_ok('c')}, false) AS valid FROM v)""", """
@@ -167,7 +167,7 @@ SELECT doc_id, attempt, valid,
          '$.clientCasesNoActivity[*]'), []), lambda x: json_extract_string(x, '$')), '|') END AS no_activity
 FROM v2""")
 ORACLE["validate_line_items"] = with_(_RESP + f""",
-v0 AS (SELECT doc_id, attempt, {carve('response_text')} AS c0 FROM fx_responses
+v0 AS (SELECT doc_id, attempt, {answer('response_text')} AS c0 FROM fx_responses
       WHERE agent = 'lines' AND response_text IS NOT NULL),
 v AS (SELECT doc_id, attempt, CASE WHEN json_valid(c0) THEN c0 END AS c FROM v0),
 v2 AS (SELECT doc_id, attempt, coalesce(json_extract(c, '$.clientCases[*]'), []) AS es FROM v

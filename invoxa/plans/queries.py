@@ -332,7 +332,7 @@ def validate_lines(spark, sf):
     from invoxa.functions.jsonish import item_facts, lines_from_variant, parse_response
     r = fixtures.model_responses(spark, sf).where(
         (F.col("agent") == "lines") & F.col("response_text").isNotNull())
-    r = r.withColumn("_json", parse_response(F.col("response_text")))
+    r = r.withColumn("_json", parse_response(F.col("response_text"), lines=True))
     r = r.withColumn("_facts", item_facts(F.col("_json")))
     r = r.withColumn("_l", lines_from_variant(F.col("_json"), F.col("_facts")))
     x = F.col("_l")
@@ -347,7 +347,7 @@ def validate_line_items(spark, sf):
     from invoxa.functions.jsonish import item_facts, lines_from_variant, parse_response
     r = fixtures.model_responses(spark, sf).where(
         (F.col("agent") == "lines") & F.col("response_text").isNotNull())
-    r = r.withColumn("_json", parse_response(F.col("response_text")))
+    r = r.withColumn("_json", parse_response(F.col("response_text"), lines=True))
     r = r.withColumn("_facts", item_facts(F.col("_json")))
     x = lines_from_variant(F.col("_json"), F.col("_facts"))
     items = r.select("doc_id", "attempt", F.posexplode_outer(x["clientCases"]).alias("pos", "c"))

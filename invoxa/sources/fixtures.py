@@ -244,7 +244,9 @@ def _header_json(o: Column, c: Column, d: Column) -> Column:
     coaching = F.when(o % 13 == 0, F.lit("false")).otherwise(F.lit("true"))
     tail = F.when(o % 31 == 1, F.lit("}")).otherwise(
         F.concat(F.lit(', "isCoachingInvoice": '), coaching, F.lit("}")))
-    return F.concat(F.lit('{"invoiceHeader": '), header, tail)
+    # A repeated key, whose last value counts.
+    start = F.when(o % 31 == 5, F.lit('{"isCoachingInvoice": "dup", "invoiceHeader": ')).otherwise(F.lit('{"invoiceHeader": '))
+    return F.concat(start, header, tail)
 
 
 def _lines_json(o: Column) -> Column:
@@ -256,6 +258,7 @@ def _lines_json(o: Column) -> Column:
             F.lit('"validatedClientCaseNumber": '))
         return F.concat(F.lit("{"), key, _q(code), F.lit(', "rawClientCaseNumber": '), _q(code),
                         F.lit(', "date": '), _q(F.date_format(s["l_shipdate"], "yyyy-MM-dd")),
+                        F.when(o % 31 == 5, F.lit(', "durationHours": 99')).otherwise(F.lit("")),
                         F.lit(', "durationHours": '), hours, F.lit("}"))
 
     items = F.when(o % 13 == 0, F.array().cast("array<string>")).otherwise(
@@ -285,12 +288,18 @@ def _tries(x: Column) -> Column:
     return F.when((x >= 1) & (x <= 4), x).otherwise(F.lit(0))
 
 
+# Answers that fail their schema and whose message quotes an overload code.
+QUOTED_LINES = '{"clientCases": [{"validatedClientCaseNumber": "DEMO-CASE-001", "durationHours": "503 h"}]}'
+QUOTED_HEADER = '{"invoiceHeader": {"kvkNumber": [429]}, "isCoachingInvoice": true}'
+
+
 def model_responses(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Recorded model calls: one row per (doc, agent, attempt).
 
     Per call: k = number of overloaded attempts before the answer (k >= 4:
     never answered); o%23=1 -> the header call fails with a non-overload
-    error; o%23=2 -> the lines call returns an empty answer. Response bodies
+    error; o%23=2 -> the lines call returns an empty answer; o%29=6 (lines), 7 (header) ->
+    the attempts before the answer fail their schema with a message that quotes a code. Response bodies
     are built once per document, then ``explode`` fans out the attempts.
     """
     f = facts if facts is not None else invoice_facts(spark, sf_dir)
@@ -322,9 +331,11 @@ def model_responses(spark: SparkSession, sf_dir: str, facts: DataFrame | None =
     a, k = F.col("attempt"), F.col("k")
     overload = F.when(o % 2 == 0, F.lit("503 UNAVAILABLE: The model is overloaded."))\
         .otherwise(F.lit("429 RESOURCE_EXHAUSTED: quota exceeded"))
-    text = (F.when(a < k, F.lit(None)).when(F.col("other_error"), F.lit(None))
+    quoted = (F.when((F.col("agent") == "lines") & (o % 29 == 6), F.lit(QUOTED_LINES))
+              .when((F.col("agent") == "header") & (o % 29 == 7), F.lit(QUOTED_HEADER)))
+    text = (F.when(a < k, quoted).when(F.col("other_error"), F.lit(None))
             .when(F.col("empty"), F.lit("")).otherwise(F.col("body")))
-    error = (F.when(a < k, overload)
+    error = (F.when((a < k) & quoted.isNull(), overload)
              .when(F.col("other_error"), F.lit("400 INVALID_ARGUMENT: bad request")))
     return x.select("doc_id", "agent", a.cast("int").alias("attempt"),
                     text.cast("string").alias("response_text"), error.cast("string").alias("error"))
