@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invoxa.llm.vectors import is_query, k_best, matrix, usable
+from invoxa.llm.common import written
+from invoxa.llm.vectors import best_of, is_query, k_best, matrix, usable
 
 
 @dataclass
@@ -66,13 +67,13 @@ def bounds(index: Index, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     return np.partition(s, len(index.sample) - k, axis=1)[:, len(index.sample) - k]
 
 
-def scan(index: Index, q: np.ndarray, own: np.ndarray, home: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
+def scan(index: Index, q: np.ndarray, own: np.ndarray, low: np.ndarray, home: bool, x: np.ndarray, ids: np.ndarray, k: int,
          sigmas: float, columns: int, rows: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query (ids, scores) of its ``k`` best among ``x``: some may be missed,
-    with the probability of the test. Where ``home``, at least ``k`` are scored, the
-    best by the first columns, so that no query ends up with fewer than there are."""
+    """Per query (ids, scores) of its ``k`` best among ``x`` that reach ``low``: some may
+    be missed, with the probability of the test. Where ``home``, at least ``k`` are scored,
+    the best by the first columns, and all of them count, so that no query ends up with
+    fewer than there are."""
     qr, xr = q @ index.rotation, x @ index.rotation
-    low = bounds(index, q, own, k)
     slack = 1e-9 * (1 + np.abs(low, where=np.isfinite(low), out=np.zeros_like(low)))
     out = []
     dim = index.dim
@@ -95,11 +96,13 @@ def scan(index: Index, q: np.ndarray, own: np.ndarray, home: np.ndarray, x: np.n
         cuts = np.searchsorted(i, np.arange(len(part) + 1))
         for n in range(len(part)):
             cand = j[cuts[n]:cuts[n + 1]]
-            if home[a + n] and len(cand) <= k:
+            if home and len(cand) <= k:
                 first = np.where(ids == own[a + n], -np.inf, first_scores[n])
                 cand = np.union1d(cand, np.argpartition(-first, min(k, len(first) - 1))[:k])
             cand = cand[ids[cand] != own[a + n]]
             scores = exact(q[a + n], x[cand])
+            if not home:
+                cand, scores = cand[scores >= low[a + n]], scores[scores >= low[a + n]]
             order = np.lexsort((ids[cand], -scores))[:k]
             out.append((ids[cand][order], scores[order]))
     return out
@@ -122,16 +125,19 @@ def build(rows: DataFrame, n: int, dim: int, most: int = 8192, seed: int = 7) ->
 
 
 def assigned(rows: DataFrame, index: Index) -> DataFrame:
-    """Adds ``list``, each row's nearest centroid (any norm: by direction)."""
+    """Adds ``list``, each row's nearest centroid (any norm: by direction), and ``far``, its
+    distance from there."""
     dim, centroids = index.dim, index.centroids
 
     def run(batches):
         for batch in batches:
-            near = (matrix(batch.column(1), dim) @ centroids.T).argmax(axis=1) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=["vec_id", "v", "list"])
+            x = matrix(batch.column(1), dim)
+            near = (x @ centroids.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()),
+                                              pa.array(np.linalg.norm(x - centroids[near], axis=1))], names=["vec_id", "v", "list", "far"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    return rows.mapInArrow(run, f"vec_id long, v {kind}, list int")
+    return rows.mapInArrow(run, f"vec_id long, v {kind}, list int, far double")
 
 
 def calibrate(placed: DataFrame, index: Index, k: int, every: int, recall: float, most: int = 128) -> int:
@@ -158,7 +164,7 @@ def calibrate(placed: DataFrame, index: Index, k: int, every: int, recall: float
                  pa.array(s[at, best].ravel()[fine]), pa.array(of[best].ravel()[fine])],
                 names=["query_id", "vec_id", "score", "of_list"])
 
-    near = placed.mapInArrow(run, "query_id long, vec_id long, score double, of_list int")
+    near = placed.select("vec_id", "v", "list").mapInArrow(run, "query_id long, vec_id long, score double, of_list int")
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -183,6 +189,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     there are no more than ``k`` candidates, all are found. Repeated rows are
     candidates each; repeated equal queries are one. Other columns are dropped.
 
+    A query first looks through its home lists: its nearest ones that hold ``k`` others.
+    Its ``k``-th best there is the bound for the other lists, which give only rows that
+    reach it, and are left out where its product with the centroid plus its norm times the
+    list's radius does not. So what the lists give grows with the queries alone.
+
     Lists are split into blocks of about ``block`` rows, the queries that look
     through a list into chunks of about ``chunk``; one block with one chunk is one
     task's group. So a row is copied once for each chunk of its own list's queries,
@@ -193,53 +204,68 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     index = build(rows, n, dim)
     placed = assigned(rows, index)
-    sizes = dict(placed.groupBy("list").count().collect())  # one row a list
+    lists = placed.groupBy("list").agg(F.count("*"), F.max("far")).collect()  # one row a list
     index.probes = calibrate(placed, index, k, every, recall) if n > 4 * k else len(index.centroids)
-    parts = {c: max(1, -(-m // block)) for c, m in sizes.items()}
-    filled = np.array([sizes.get(c, 0) for c in range(len(index.centroids))])
+    parts = {c: max(1, -(-m // block)) for c, m, _ in lists}
+    filled, radius = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
+    for c, m, far in lists:
+        filled[c], radius[c] = m, far
     centroids, probes, kind = index.centroids, index.probes, rows.schema["v"].dataType.simpleString()
 
-    def probe(batches):
-        for batch in batches:
-            near = np.argsort(-(matrix(batch.column(1), dim) @ centroids.T), axis=1, kind="stable")
-            held = np.cumsum(filled[near], axis=1)
-            homes = (held <= k).sum(axis=1) + 1  # lists that hold k others, nearest first
-            cells = [[(int(c), b, at < h) for at, c in enumerate(row[:max(probes, h)]) for b in range(parts.get(int(c), 0))]
-                     for row, h in zip(near, homes)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([[cell[i] for cell in row] for row in cells], pa.list_(t))
-                                   for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_())))],
-                names=["vec_id", "v", "of", "lists", "blocks", "homes"])
-
-    left = rows.where(is_query(every)).distinct().withColumn("of", F.xxhash64("vec_id", "v")).mapInArrow(
-        probe, f"vec_id long, v {kind}, of long, lists array<int>, blocks array<int>, homes array<boolean>")
-    left = left.select("vec_id", "v", "of", F.explode(F.arrays_zip("lists", "blocks", "homes")).alias("z")).select(
-        "vec_id", "v", "of", F.col("z.lists").alias("list"), F.col("z.blocks").alias("b"), F.col("z.homes").alias("home"))
-    visits = dict(left.where("b = 0").groupBy("list").count().collect())  # one row a list
-
-    def of_list(values: dict[int, int]) -> F.Column:
-        return F.element_at(F.lit([values.get(c, 0) for c in range(len(index.centroids))]), F.col("list") + 1)
-
-    chunks = of_list({c: -(-m // chunk) for c, m in visits.items()})
-    left = left.withColumn("c", F.pmod(F.xxhash64("v", "vec_id"), chunks).cast("int"))
-    right = placed.where(chunks > 0).withColumns({
-        "b": F.pmod(F.xxhash64("vec_id", "v"), of_list(parts)).cast("int"),
-        "c": F.explode(F.sequence(F.lit(0), chunks - 1))})
-
-    def look(these: pa.Table, those: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        if these.num_rows and those.num_rows:
-            own, of = these.column("vec_id").to_numpy(), these.column("of").to_numpy()
-            found = scan(index, matrix(these.column("v"), dim), own, these.column("home").to_numpy(), matrix(those.column("v"), dim),
-                         those.column("vec_id").to_numpy(), k, sigmas, columns)
-            for at, (ids, scores) in enumerate(found):
-                for c, v in zip(cols, (np.full(len(ids), own[at]), np.full(len(ids), of[at]), ids, scores)):
-                    c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, kinds)],
-                        names=["query_id", "of", "vec_id", "score"])
-
-    key = ("list", "b", "c")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        look, "query_id long, of long, vec_id long, score double")
-    return k_best(found, k)
+    def cells(home: bool):
+        def run(batches):
+            for batch in batches:
+                q, low = matrix(batch.column(1), dim), batch.column(3).to_numpy()
+                product = q @ centroids.T
+                near = np.argsort(-product, axis=1, kind="stable")
+                homes = (np.cumsum(filled[near], axis=1) <= k).sum(axis=1) + 1  # hold k others, nearest first
+                most = product + np.linalg.norm(q, axis=1, keepdims=True) * radius
+                reach = most + 1e-9 * (1 + np.abs(most)) >= low[:, None]
+                seen = [[int(c) for c in (row[:h] if home else row[h:max(probes, h)]) if home or reach[i, c]]
+                        for i, (row, h) in enumerate(zip(near, homes))]
+                seen = [[(c, b) for c in row for b in range(parts.get(c, 0))] for row in seen]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *(pa.array([[cell[i] for cell in row] for row in seen], pa.list_(pa.int32())) for i in (0, 1))],
+                    names=["vec_id", "v", "of", "low", "lists", "blocks"])
+        return run
+
+    def look_through(queries: DataFrame, home: bool) -> DataFrame:
+        """query_id, of, vec_id, score from the home lists, or from the others of ``queries``
+        (vec_id, v, of, low)."""
+        left = queries.mapInArrow(cells(home), f"vec_id long, v {kind}, of long, low double, lists array<int>, blocks array<int>")
+        left = left.select("vec_id", "v", "of", "low", F.explode(F.arrays_zip("lists", "blocks")).alias("z")).select(
+            "vec_id", "v", "of", "low", F.col("z.lists").alias("list"), F.col("z.blocks").alias("b"))
+        visits = dict(left.where("b = 0").groupBy("list").count().collect())  # one row a list
+
+        def of_list(values: dict[int, int]) -> F.Column:
+            return F.element_at(F.lit([values.get(c, 0) for c in range(len(index.centroids))]), F.col("list") + 1)
+
+        chunks = of_list({c: -(-m // chunk) for c, m in visits.items()})
+        left = left.withColumn("c", F.pmod(F.xxhash64("v", "vec_id"), chunks).cast("int"))
+        right = placed.drop("far").where(chunks > 0).withColumns({
+            "b": F.pmod(F.xxhash64("vec_id", "v"), of_list(parts)).cast("int"),
+            "c": F.explode(F.sequence(F.lit(0), chunks - 1))})
+
+        def look(these: pa.Table, those: pa.Table) -> pa.Table:
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            if these.num_rows and those.num_rows:
+                own, of, q = these.column("vec_id").to_numpy(), these.column("of").to_numpy(), matrix(these.column("v"), dim)
+                low = np.maximum(bounds(index, q, own, k), these.column("low").to_numpy())
+                found = scan(index, q, own, low, home, matrix(those.column("v"), dim), those.column("vec_id").to_numpy(), k, sigmas, columns)
+                for at, (ids, scores) in enumerate(found):
+                    for c, v in zip(cols, (np.full(len(ids), own[at]), np.full(len(ids), of[at]), ids, scores)):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, kinds)],
+                            names=["query_id", "of", "vec_id", "score"])
+
+        key = ("list", "b", "c")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+            look, "query_id long, of long, vec_id long, score double")
+
+    queries = rows.where(is_query(every)).distinct().withColumn("of", F.xxhash64("vec_id", "v"))
+    first = written(best_of(look_through(queries.withColumn("low", F.lit(float("-inf"))), True), k), "nearest")
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "of", F.col("score").alias("low"))
+    bounded = queries.join(kth, ["vec_id", "of"], "left").select(
+        "vec_id", "v", "of", F.coalesce("low", F.lit(float("-inf"))).alias("low"))
+    return k_best(first.drop("rank").unionByName(look_through(bounded, False)), k)

@@ -34,11 +34,14 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
-def k_best(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best of each query, ties to the
-    smaller vec_id. ``found`` holds at most ``k`` rows for each query and cell;
-    Spark keeps ``k`` a task before it shuffles. Rows with one id but another
-    vector (``of``) are queries of their own."""
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query with their rank, ties to the smaller vec_id.
+    Spark keeps ``k`` a task before it shuffles. Rows with one id but another vector
+    (``of``) are queries of their own."""
     order = Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: ``best_of`` as the searches return it."""
+    return best_of(found, k).select("query_id", "rank", "vec_id", "score")
