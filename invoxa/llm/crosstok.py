@@ -78,8 +78,8 @@ class Pair:
         # How a group's tokens are written: a comma after each but a side's last.
         self.names = [f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"]
         self.names += [f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;"]
-        self.parts = BatchMemo(self._parts, 32 << 20)
-        self.windows = BatchMemo(self._windows, 32 << 20)
+        self.parts = BatchMemo(self._parts, 24 << 20)
+        self.windows = BatchMemo(self._windows, 24 << 20)
 
     @staticmethod
     def _facts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = 2 <<
     A text that is null, empty, or that either vocabulary does not give back byte by byte
     has no tokens: zeros and an empty string. Repeated rows and null ids are aligned row by
     row; other columns are left out; an empty table gives no row. No shuffle; a task holds
-    ``chunk_bytes`` of text, or one longer text, and about 300 MB of remembered parts."""
+    ``chunk_bytes`` of text, or one longer text, and about 200 MB of remembered parts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(byte_level, pieces)
