@@ -54,7 +54,8 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
     lns = F.when(is_lines, lines_from_variant(root, facts))
     answered = F.col("error").isNull() & text.isNotNull() & (text != "")
     faults = F.when(is_lines, lines_faults(root, F.col("_carved"), facts)).otherwise(header_faults(root, F.col("_carved")))
-    retried = F.coalesce(F.exists(message_words(faults), is_overload), F.lit(False))
+    failed = answered & F.col("hdr").isNull() & F.col("lns").isNull()
+    retried = F.coalesce(F.exists(message_words(F.col("_faults")), is_overload), F.lit(False))
     cls = (F.when(F.col("error").isNotNull(),
                   F.when(is_overload(F.col("error")), CLS_RETRY).otherwise(CLS_STOP))
            .when(~answered, CLS_STOP)
@@ -65,6 +66,7 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
             .withColumn("_facts", F.when(is_lines, item_facts(root)))
             .withColumn("_carved", carve_json(text))
             .select("*", hdr.alias("hdr"), lns.alias("lns"))
+            .withColumn("_faults", F.when(failed, faults))
             .select("doc_id", "agent", "attempt", cls.alias("cls"), "hdr", "lns"))
 
 
