@@ -25,7 +25,7 @@ def canonical_code(code: Column) -> Column:
     c = F.upper(strip_ws(F.coalesce(code, F.lit(""))))
     swapped = F.concat(c.substr(1, 3), F.translate(c.substr(4, 1), "IO", "10"),
                        c.substr(5, 6), F.translate(c.substr(11, 3), "IO", "10"),
-                       c.substr(14, 1 << 30))
+                       c.substr(F.lit(14), F.length(c)))
     return F.when(F.length(c) < 11, c).otherwise(swapped)
 
 
@@ -42,8 +42,8 @@ def match_record(original: Column, exact_hit: Column, candidates: Column,
     """Match decision for one stripped code.
 
     ``exact_hit``: the code itself is registered (case-sensitive).
-    ``candidates``: sorted registered codes sharing its canonical form (NULL
-    when none); ``n_rows``: registry rows behind them (duplicates counted),
+    ``candidates``: registered codes sharing its canonical form, one for each
+    registry row (NULL when none); ``n_rows``: registry rows behind them,
     defaults to the number of candidates. Returns struct(matchedCode,
     matchStatus, matchConfidence, contamination, candidates, notes).
     """

@@ -2,12 +2,12 @@
 
 Registry lookups are equi-joins against two small tables: ``ref_codes``
 (exact, case-sensitive membership) and ``ref_canon`` (canonical form ->
-sorted candidates). Spark broadcasts them if they are under its byte threshold.
+candidates in file order). Spark broadcasts them if they are under its byte threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from invoxa.functions.codes import (STATUS_AMBIGUOUS, STATUS_EXACT, STATUS_FUZZY,
@@ -25,36 +25,52 @@ REASON_REVIEW = ("Invoice contains clientCaseNumbers with historical character e
                  "been auto-corrected to “I” and “O.”")
 STATUSES = (STATUS_EXACT, STATUS_FUZZY, STATUS_UNKNOWN, STATUS_AMBIGUOUS)
 
+#: Where a registry row stands: struct(file, block, row), compared in this order.
+FILE_ORDER = "_file_order"
+
 
 def ref_codes(registry: DataFrame, column: str | None = None) -> DataFrame:
     """(code, canon) from a registry table: trimmed, blanks skipped.
 
     ``column`` defaults to ``clientCaseNumber`` when present, else the first
-    column. Duplicates are kept (they matter to ``ref_canon``).
+    column. Duplicates are kept (they matter to ``ref_canon``), and so is the
+    rows' place, if the table has a column ``FILE_ORDER``.
     """
+    order = [c for c in registry.columns if c == FILE_ORDER]
+    names = [c for c in registry.columns if c != FILE_ORDER]
     if column is None:
-        column = "clientCaseNumber" if "clientCaseNumber" in registry.columns else (
-            registry.columns[0] if registry.columns else None)
+        column = "clientCaseNumber" if "clientCaseNumber" in names else (names[0] if names else None)
     if column is None:
         raise ValueError("registry has no columns")
     code = strip_ws(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    return (registry.select(code.alias("code")).where(F.col("code") != "")
-            .select("code", canonical_code(F.col("code")).alias("canon")))
+    return (registry.select(code.alias("code"), *order).where(F.col("code") != "")
+            .select("code", canonical_code(F.col("code")).alias("canon"), *order))
 
 
 def ref_canon(codes: DataFrame) -> DataFrame:
     """(canon, candidates, n) per canonical form.
 
-    ``n`` counts registry rows, duplicates included (a code listed twice makes
-    its form ambiguous); ``candidates`` are the distinct codes, sorted
-    (registry file order is not a table property). Pre-aggregating on
-    (canon, code) combines duplicate rows map-side, so a heavily duplicated
-    code never becomes one huge group or array.
+    ``candidates`` holds a code for each of the form's registry rows, in file
+    order (without ``FILE_ORDER``: by code), and ``n`` counts them: a code listed
+    twice makes its form ambiguous. Rows are first put together to runs of one
+    code, inside a file block (without an order: all rows of a code), so no task
+    gets all rows of a form that is repeated very often; only the runs are
+    gathered for each form.
     """
-    per_code = codes.groupBy("canon", "code").agg(F.count(F.lit(1)).alias("_k"))
-    return (per_code.groupBy("canon")
-            .agg(F.sort_array(F.collect_list("code")).alias("candidates"),
-                 F.sum("_k").alias("n")))
+    if FILE_ORDER in codes.columns:
+        at = F.col(FILE_ORDER)
+        rows = codes.select("canon", "code", F.struct(at["file"], at["block"]).alias("_block"), at["row"].alias("_row"))
+        in_block = Window.partitionBy("canon", "_block").orderBy("_row")
+        starts = (~F.lag("code").over(in_block).eqNullSafe(F.col("code"))).cast("int")
+        runs = (rows.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(in_block))
+                .groupBy("canon", "_block", "_run").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("_k"))
+                .select("canon", F.struct("_block", "_run", "code", "_k").alias("_of"), "_k"))
+    else:
+        runs = (codes.groupBy("canon", "code").agg(F.count(F.lit(1)).alias("_k"))
+                .select("canon", F.struct("code", "_k").alias("_of"), "_k"))
+    per_form = runs.groupBy("canon").agg(F.array_sort(F.collect_list("_of")).alias("_runs"), F.sum("_k").alias("n"))
+    repeated = F.transform("_runs", lambda r: F.array_repeat(r["code"], r["_k"].cast("int")))
+    return per_form.select("canon", F.flatten(repeated).alias("candidates"), "n")
 
 
 def lookup_tables(registry_codes: DataFrame) -> tuple[DataFrame, DataFrame]:

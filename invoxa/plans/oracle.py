@@ -52,14 +52,14 @@ MONTHS = "[" + ", ".join(lit(m) for m in MONTHS_NL) + "]"
 
 
 def raw_code(o: str, pk: str) -> str:
-    num = pad(f"{pk} % 1000", 3)
+    num = pad(pk, 3)
     num = f"(CASE WHEN {o} % 11 = 2 THEN translate({num}, '1', 'I') ELSE {num} END)"
     code = f"(CASE WHEN {o} % 7 = 1 THEN 'DEM0' ELSE 'DEMO' END || '-CASE-' || {num})"
     return f"(CASE WHEN {o} % 29 = 6 THEN lower({code}) ELSE {code} END)"
 
 
 def clean_code(pk: str) -> str:
-    return f"('DEMO-CASE-' || {pad(f'{pk} % 1000', 3)})"
+    return f"('DEMO-CASE-' || {pad(pk, 3)})"
 
 
 def hours_text(q: str) -> str:
@@ -162,14 +162,15 @@ fx_pages_raw AS (
 fx_pages AS (
   SELECT doc_id, {filename('doc_id')} AS filename, extractor, page_no, page_text FROM fx_pages_raw)"""
 
-FX_REGISTRY = """
-fx_part AS (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 9),
+FX_REGISTRY = f"""
+fx_part AS (SELECT p_partkey, {pad('p_partkey', 3)} AS num FROM part WHERE p_partkey % 10 <> 9),
 fx_registry AS (
-  SELECT DISTINCT code FROM (
-    SELECT 'DEMO-CASE-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS code FROM fx_part
-    UNION ALL
-    SELECT 'DEMO-CASE-I' || substr(lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0'), 2, 2)
-    FROM fx_part WHERE p_partkey % 1000 BETWEEN 110 AND 118))"""
+  SELECT 'DEMO-CASE-' || num AS code, p_partkey * 4 + 1 AS place FROM fx_part
+  UNION ALL
+  SELECT 'DEMO-CASE-I' || substr(num, 2), p_partkey * 4 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 END
+  FROM fx_part WHERE num LIKE '1%' AND p_partkey % 3 = 1
+  UNION ALL
+  SELECT 'DEMO-CASE-' || num, p_partkey * 4 + 3 FROM fx_part WHERE p_partkey % 17 = 3)"""
 
 
 def canon(x: str) -> str:
@@ -187,8 +188,8 @@ def contamination(x: str) -> str:
 
 
 REF = FX_REGISTRY + f""",
-ref_codes AS (SELECT trim(code) AS code, {canon('code')} AS canon FROM fx_registry WHERE trim(code) <> ''),
-ref_canon AS (SELECT canon, list(DISTINCT code ORDER BY code) AS candidates, count(*) AS n
+ref_codes AS (SELECT trim(code) AS code, {canon('code')} AS canon, place FROM fx_registry WHERE trim(code) <> ''),
+ref_canon AS (SELECT canon, list(code ORDER BY place) AS candidates, count(*) AS n
               FROM ref_codes GROUP BY canon)"""
 
 

@@ -52,7 +52,7 @@ def _p1(spark, sf):
 # ----------------------------------------------------------------- registry
 @query
 def ref_codes_q(spark, sf):
-    return _registry(spark, sf)
+    return _registry(spark, sf).select("code", "canon")
 
 
 @query

@@ -4,17 +4,19 @@ The batch tool hands data between phases through files: a registry CSV,
 raw-text files, a metadata object keyed by file name, a manifest, one JSON
 result per invoice and one truth JSON per invoice. These readers and writers
 map each onto a DataFrame; all of them are plain ``spark.read``/``df.write``
-calls, so they run unchanged on a cluster file system.
+calls, so they run unchanged on a cluster file system. One file per document is
+written by ``document_files``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoxa.functions.jsonish import CASE_TYPE
 from invoxa.operators.documents import raw_text_envelope, raw_text_file
-from invoxa.operators.matching import context_from_map
+from invoxa.operators.matching import FILE_ORDER, context_from_map
+from invoxa.sources.document_files import write_document_files
 
 TRUTH_SCHEMA = (
     "invoiceHeader struct<supplierName:string,invoiceNumber:string,invoiceDate:string,"
@@ -56,8 +58,12 @@ def list_documents(spark: SparkSession, directory: str, glob: str = "*.pdf") ->
 def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
     """Registry CSV with a header row (CRLF line ends are fine); pass the
     result to ``matching.ref_codes``, which picks ``clientCaseNumber`` or
-    else the first column, trims and skips blanks."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    else the first column, trims and skips blanks. ``FILE_ORDER`` says where a row
+    stands: its file, the block of the file that one task reads, and its place
+    among what that task reads."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).select("*", place.alias(FILE_ORDER))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +73,37 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.explode("invoices").alias("i")).select("i.*")
 
 
+def _pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """(value) of text files, cut behind each ``end``, which is left out. Spark gives
+    the blocks of a large file to several tasks."""
+    return spark.read.option("lineSep", end).text(path)
+
+
+def _unless(fault: Column, value: Column, path: str, indent: int) -> Column:
+    message = f"{path}: not a file of one object, indented by {indent}"
+    return F.when(fault, F.raise_error(F.lit(message)).cast("string")).otherwise(value)
+
+
+def read_manifest_parts(spark: SparkSession, path: str, indent: int = 2) -> DataFrame:
+    """What ``read_manifest`` gives, of files laid out by ``indent`` (each entry of the
+    list begins and ends with a line that holds only its brace), read by many tasks.
+
+    A line break within a JSON string is always escaped, so the line that ends an
+    entry is found wherever a block starts. A file in another layout raises an error.
+    """
+    pad = "\n" + " " * (2 * indent)
+    value = F.col("value")
+    begins = F.size(F.split(value, rf"\n {{{2 * indent}}}\{{")) - 1
+    braces = F.length(value) - F.length(F.translate(value, "{", ""))
+    fault = (begins > 1) | ((begins == 0) & (braces > 1))
+    entry = F.concat(value.substr(F.instr(value, pad + "{"), F.length(value)), F.lit(pad + "}"))
+    fault = fault | ((begins == 1) & F.json_object_keys(entry).isNull())
+    kind = MANIFEST_SCHEMA.split("array<", 1)[1].removesuffix(">")
+    checked = _unless(fault, F.when(begins == 1, entry), path, indent)
+    return (_pieces(spark, path, pad + "}").select(checked.alias("entry")).where(F.col("entry").isNotNull())
+            .select(F.from_json("entry", kind).alias("i")).select("i.*"))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata object keyed by file name -> one row per file name. The object is one
     row, as that file format has it; large batches use ``read_metadata_lines``."""
@@ -75,6 +112,22 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("filename", "meta")).select("filename", "meta.*")
 
 
+def read_metadata_parts(spark: SparkSession, path: str, indent: int = 2) -> DataFrame:
+    """What ``read_metadata`` gives, of files laid out by ``indent``, read by many tasks:
+    the text between the ends of two entries is an object of its own. A file in another
+    layout is one piece or raises an error."""
+    end = "\n" + " " * indent + "}"
+    value = F.col("value")
+    inner = F.regexp_replace(value, r"\A\s*[{,]", "")
+    last = value.rlike(r"(\n|\A\s*\{\s*)\}\s*\z")
+    text = F.concat(F.lit("{"), inner, F.when(last, F.lit("")).otherwise(F.lit(end + "}")))
+    nothing = F.trim(F.translate(inner, "\r\n\t", "   ")).isin("", "}")
+    found = F.from_json("text", f"map<string,{METADATA_VALUE}>")
+    pieces = (_pieces(spark, path, end).where(~nothing).select(text.alias("text"))
+              .select(_unless(F.json_object_keys("text").isNull(), F.col("text"), path, indent).alias("text")))
+    return pieces.select(F.explode(found).alias("filename", "meta")).select("filename", "meta.*")
+
+
 def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_manifest`` wrote: one JSON line per invoice, split over tasks."""
     entry = MANIFEST_SCHEMA.split("array<struct<", 1)[1].removesuffix(">>")
@@ -140,6 +193,28 @@ def write_raw_texts(docs: DataFrame, path: str, extracted_at: str) -> None:
      .write.mode("overwrite").parquet(path))
 
 
+def write_raw_text_files(docs: DataFrame, folder: str, extracted_at: str) -> None:
+    """Raw-text envelope of each document in a file of its own, ``X_raw.txt``; read them
+    with ``read_raw_texts``."""
+    name = F.regexp_replace(raw_text_file(F.col("filename")), "^raw_texts/", "")
+    write_document_files(docs, folder, name, raw_text_envelope(F.col("filename"), F.col("text"), F.lit(extracted_at)))
+
+
+def write_result_files(final: DataFrame, folder: str) -> None:
+    """Result of each invoice in a JSON file of its own, ``X_parsed.json``, nulls
+    included; read them with ``read_json_results``."""
+    result = F.struct("invoiceHeader", "isCoachingInvoice", "clientCases", "clientCasesNoActivity")
+    write_document_files(final, folder, F.replace(F.col("filename"), F.lit(".pdf"), F.lit("_parsed.json")),
+                         F.to_json(result, {"pretty": "true", "ignoreNullFields": "false"}))
+
+
+def write_ocr_text_files(ocr: DataFrame, folder: str) -> None:
+    """OCR text (non-empty only) of each document in a file of its own, ``X_ocr.txt``;
+    read them with ``read_raw_texts(..., suffix="_ocr.txt")``."""
+    write_document_files(ocr.where(F.length("text") > 0), folder,
+                         F.replace(F.col("filename"), F.lit(".pdf"), F.lit("_ocr.txt")), F.col("text"))
+
+
 def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = True) -> None:
     """JSON lines; nulls are written as ``null`` (Spark omits them by default)."""
     (df.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower())

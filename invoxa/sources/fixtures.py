@@ -8,7 +8,7 @@ is mirrored in DuckDB SQL by ``invoxa.plans.oracle`` for the correctness gate.
 Tables
 ------
 ``invoice_pages``  (doc_id, filename, extractor, page_no, page_text)
-``registry_codes`` (code)                       -- the case registry
+``registry_codes`` (code, place)                -- the case registry
 ``model_responses``(doc_id, agent, attempt, response_text, error)
 ``ocr_texts``      (doc_id, filename, text)
 ``truth``          (doc_id, filename, invoiceHeader, isCoachingInvoice,
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoxa.functions.patterns import MONTHS_NL
+from invoxa.operators.matching import FILE_ORDER
 from invoxa.sources.tables import table
 
 NL = "\n"
@@ -61,14 +62,14 @@ def _months() -> Column:
 
 def raw_code(o: Column, partkey: Column) -> Column:
     """Case code as printed on the invoice, with the document's OCR noise."""
-    num = _pad(partkey % 1000, 3)
+    num = _pad(partkey, 3)
     num = F.when(o % 11 == 2, F.translate(num, "1", "I")).otherwise(num)
     code = F.concat(F.when(o % 7 == 1, "DEM0").otherwise("DEMO"), F.lit("-CASE-"), num)
     return F.when(o % 29 == 6, F.lower(code)).otherwise(code)
 
 
 def clean_code(partkey: Column) -> Column:
-    return F.concat(F.lit("DEMO-CASE-"), _pad(partkey % 1000, 3))
+    return F.concat(F.lit("DEMO-CASE-"), _pad(partkey, 3))
 
 
 def hours_text(q: Column) -> Column:
@@ -193,14 +194,20 @@ def invoice_pages(spark: SparkSession, sf_dir: str, facts: DataFrame | None = No
 
 
 def registry_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case registry from ``part``: clean codes of part keys not ending in 9,
-    plus an I-for-1 twin of codes 110..118 (these make ambiguous groups)."""
+    """Case registry from ``part``, in the order of the keys: clean codes of part
+    keys not ending in 9; of every third key whose code begins with 1 also its twin
+    with I, after it, or before it if the key is even; every 17th code again at the end
+    of these. Twins and repeated codes make ambiguous forms."""
     p = table(spark, sf_dir, "part", "p_partkey").where(F.col("p_partkey") % 10 != 9)
-    num = _pad(F.col("p_partkey") % 1000, 3)
-    base = p.select(F.concat(F.lit("DEMO-CASE-"), num).alias("code"))
-    twin = (p.where((F.col("p_partkey") % 1000 >= 110) & (F.col("p_partkey") % 1000 <= 118))
-            .select(F.concat(F.lit("DEMO-CASE-I"), num.substr(2, 2)).alias("code")))
-    return base.unionByName(twin).distinct()
+    key, num = F.col("p_partkey"), _pad(F.col("p_partkey"), 3)
+    twin = F.when(num.startswith("1") & (key % 3 == 1),
+                  F.concat(F.lit("DEMO-CASE-I"), num.substr(F.lit(2), F.length(num))))
+    rows = F.array(F.struct(F.lit(1).alias("nth"), clean_code(key).alias("code")),
+                   F.struct(F.when(key % 2 == 0, 0).otherwise(2).alias("nth"), twin.alias("code")),
+                   F.struct(F.lit(3).alias("nth"), F.when(key % 17 == 3, clean_code(key)).alias("code")))
+    place = F.struct(F.lit("part").alias("file"), F.floor(key / 65536).alias("block"), (key * 4 + F.col("r.nth")).alias("row"))
+    return (p.select(key, F.explode(rows).alias("r")).where(F.col("r.code").isNotNull())
+            .select(F.col("r.code").alias("code"), place.alias(FILE_ORDER)))
 
 
 # --------------------------------------------------------------------------
