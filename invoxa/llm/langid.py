@@ -2,7 +2,7 @@
 
 Texts become unit TF-IDF vectors of hashed character n-grams; each language has
 several clustered centroids; the centroid with the largest cosine decides, and a
-text farther from it than that centroid's limit is rejected.
+text farther from it than texts of its language and length are is rejected.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from invoxa.llm.common import ngram_counts, slices
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
+#: Lengths, in letters and spaces, for which a limit is fitted.
+LENGTHS = (64, 128, 256, 512)
 
 
 @lru_cache(1)
@@ -43,14 +45,15 @@ def letter_codes(text: str | None) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """``centroids``: a unit row each; ``languages``: their names; ``limits``:
-    the smallest cosine that is not rejected; ``idf``: a weight per bucket."""
+    """``centroids``: a unit row each; ``languages``: their names; ``limits``: a row
+    each, for each of ``LENGTHS`` the smallest cosine that is not rejected; ``idf``:
+    a weight per bucket."""
 
     bits: int
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str] = field(default_factory=list)
-    limits: np.ndarray = field(default_factory=lambda: np.empty(0))
+    limits: np.ndarray = field(default_factory=lambda: np.empty((0, len(LENGTHS))))
 
     def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
         return vectors(docs, self.idf, self.bits)
@@ -61,6 +64,12 @@ class LanguageModel:
         best = cosines.argmax(axis=1)
         return best, np.clip(cosines[np.arange(len(docs)), best].astype(np.float64), 0, 1)
 
+    def least(self, centroid: int, length: int) -> float:
+        """The smallest cosine that is not rejected: between two of ``LENGTHS`` on the
+        line that joins their limits, below the first on the line from 0, so that a few
+        words are kept unless they have nothing of the language; from the last on the same."""
+        return float(np.interp(length, (0, *LENGTHS), (0, *self.limits[centroid])))
+
 
 def vectors(docs: list[np.ndarray], idf: np.ndarray, bits: int) -> np.ndarray:
     x = np.log1p(ngram_counts(docs, SIZES, bits)) * idf
@@ -113,7 +122,7 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[int, np.ndarray]:
 
 
 def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2000,
-          quantile: float = 0.002, slack: float = 0.3) -> LanguageModel:
+          quantile: float = 0.01, slack: float = 0.75) -> LanguageModel:
     """Fit on rows of (``text``, ``lang``); rows with a null or without a letter
     take no part.
 
@@ -121,9 +130,10 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
     language, in one task each, on a sample of about ``most`` rows (at most twice
     that; those whose hash of id, if there is a ``doc_id``, text and language is
     smallest), which bounds that task.
-    A centroid's limit is ``slack`` times the ``quantile`` of its members'
-    cosines, so only texts unlike nearly all of the sample are rejected; where fewer
-    than ``1 / quantile`` members say little, of the whole language's cosines.
+    A language's limit for a length is ``slack`` times the ``quantile`` of the cosines
+    of the sample's texts cut to that length, from their middle (of whole texts, as far as none
+    is that long the limit of the length before), so a long text must be much like the
+    language and a short one need not.
     The model's size follows the number of languages, not of rows.
     """
     of_row = F.xxhash64(*(c for c in ("doc_id", "text", "lang") if c in labelled.columns))
@@ -145,21 +155,27 @@ def train(labelled: DataFrame, bits: int = 12, centroids: int = 4, most: int = 2
         lang = table.column(0)[0].as_py()
         if not len(x):
             return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()),
-                             "at_least": pa.array([], pa.float64())})
+                             "at_least": pa.array([], pa.list_(pa.float64()))})
         found = cluster(x, centroids)
-        cosines = x @ found.T
-        owner, best = cosines.argmax(axis=1), cosines.max(axis=1)
-        few = np.bincount(owner, minlength=len(found)) * quantile < 1  # members, for a quantile of their own
-        limits = [float(slack * np.quantile(best if few[c] else best[owner == c], quantile)) for c in range(len(found))]
+        limits, pieces = [0.0] * len(LENGTHS), [[] for _ in LENGTHS]
+        for text in keys:
+            codes = letter_codes(text)
+            for cuts, n in zip(pieces, LENGTHS):
+                if len(codes) >= n:
+                    cuts.append(codes[(len(codes) - n) // 2:][:n])
+        for i, cuts in enumerate(pieces):
+            near = np.concatenate([(vectors(cuts[a:a + 256], idf, bits) @ found.T).max(axis=1)
+                                   for a in range(0, len(cuts), 256)] or [np.empty(0)])
+            limits[i] = float(slack * np.quantile(near, quantile)) if len(near) else limits[i - 1] if i else 0.0
         return pa.table({"lang": pa.array([lang] * len(found), pa.string()),
                          "centroid": pa.array([c.tobytes() for c in found], pa.binary()),
-                         "at_least": pa.array(limits, pa.float64())})
+                         "at_least": pa.array([limits] * len(found), pa.list_(pa.float64()))})
 
-    got = sample.groupBy("lang").applyInArrow(fit, "lang string, centroid binary, at_least double").collect()
+    got = sample.groupBy("lang").applyInArrow(fit, "lang string, centroid binary, at_least array<double>").collect()
     got.sort(key=lambda r: (r["lang"], r["centroid"]))
     return LanguageModel(bits, idf, np.stack([np.frombuffer(r["centroid"], np.float32) for r in got])
                          if got else np.empty((0, 1 << bits), np.float32),
-                         [r["lang"] for r in got], np.array([r["at_least"] for r in got]))
+                         [r["lang"] for r in got], np.array([r["at_least"] for r in got]).reshape(-1, len(LENGTHS)))
 
 
 def _predict(model: LanguageModel, docs: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -168,9 +184,9 @@ def _predict(model: LanguageModel, docs: list[np.ndarray]) -> tuple[list[str], n
     some = [i for i, d in enumerate(docs) if len(d)] if model.languages else []
     if some:
         best, cosine = model.nearest([docs[i] for i in some])
-        scores[some], rejected[some] = cosine, cosine < model.limits[best]
-        for i, c in zip(some, best):
-            names[i] = model.languages[c]
+        scores[some] = cosine
+        for i, c, near in zip(some, best.tolist(), cosine.tolist()):
+            names[i], rejected[i] = model.languages[c], near < model.least(c, len(docs[i]))
     return names, scores, rejected
 
 
@@ -179,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     ``score`` is the cosine to the nearest centroid. Null texts, texts without a
     letter, and every text under a model without a language get ``und``, score 0,
-    rejected. A text below its centroid's limit keeps the nearest language and is
+    rejected. A text below the limit of its centroid and length keeps the nearest language and is
     marked ``rejected``. Whole texts of any length are read in blocks. Ids may be
     null or repeat; other columns are dropped, whatever their names. No shuffle.
     """

@@ -38,7 +38,7 @@ def slow_language(rows, model):
         if not len(codes) or not model.languages:
             continue
         x = model.vectors([codes])[0]
-        cosine, limit = max(((float(x @ c), limit) for c, limit in zip(model.centroids, model.limits)), key=lambda p: p[0])
+        cosine, limit = max(((float(x @ c), model.least(i, len(codes))) for i, c in enumerate(model.centroids)), key=lambda p: p[0])
         if cosine >= limit:
             out.append(r)
     return out

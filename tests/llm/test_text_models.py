@@ -266,3 +266,32 @@ def test_url_classifier_held_out(spark):
     assert {x.verdict for x in url_filter.judge_urls(test, {}, one).collect()} == {"block"}
     none = url_filter.train(test.select("url", "label").where("false"))
     assert {x.verdict for x in url_filter.judge_urls(test, {}, none).collect()} == {"allow"}
+
+
+OTHERS = {  # the first article of the Declaration of Human Rights
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+          "sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+          "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel "
+          "bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience "
+          "and should act towards one another in a spirit of brotherhood.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt "
+          "und sollen einander im Geist der Brüderlichkeit begegnen."}
+
+
+def test_unlike_texts_are_rejected_and_clean_ones_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(langid.training_rows(docs))
+    got = langid.identify(docs, model).join(docs, "doc_id")
+    lost = got.where("rejected and n_chars > 0").collect()
+    assert len(lost) <= 3 and not [r for r in lost if not r.text.isupper()]
+    r = random.Random(1)
+    texts = [("rnd", "".join(r.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n))) for n in (100, 400, 4000)]
+    texts += [*OTHERS.items()] + [(k, OTHERS[k] * 20) for k in ("pl", "fi", "hu")]
+    texts += [(k, w) for k in ("en", "de") for w in OTHERS[k].split()[::6]]
+    rows = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, k string")
+    found = langid.identify(rows, model).join(rows, "doc_id")
+    assert found.where("rejected and k in ('en', 'de')").collect() == []
+    assert found.where("not rejected and k not in ('en', 'de')").collect() == []
