@@ -28,6 +28,11 @@ CASE_TYPE = ("struct<validatedClientCaseNumber:string,rawClientCaseNumber:string
 LINES_TYPE = f"struct<clientCases:array<{CASE_TYPE}>,clientCasesNoActivity:array<string>>"
 
 
+def _once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` worked out once, not in each of its uses."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), 0)
+
+
 def _last_pos(s: Column, ch: str) -> Column:
     r = F.locate(ch, F.reverse(s))
     return F.when(r > 0, F.length(s) - r + 1).otherwise(F.lit(0))
@@ -40,17 +45,14 @@ def carve_json(s: Column) -> Column:
     comes first); without braces, a leading ``` fence line is dropped and
     the text is cut at the next fence. NULL/empty input is returned as is.
     """
-    t = strip_ws(s)
-    start, end = F.locate("{", t), _last_pos(t, "}")
-    braces = F.when(end >= start, F.substring(t, start, end - start + 1)) \
-        .otherwise(F.lit(""))
-    rest = strip_ws(F.regexp_replace(t, r"^[^\n]*(\n|$)", ""))
-    fenced = F.when(F.locate("```", rest) > 0, strip_ws(F.substring_index(rest, "```", 1))) \
-        .otherwise(rest)
-    return (F.when(s.isNull() | (s == ""), s)
-            .when((start > 0) & (end > 0), braces)
-            .when(t.startswith("```"), fenced)
-            .otherwise(t))
+    def inside(t: Column) -> Column:
+        start, end = F.locate("{", t), _last_pos(t, "}")
+        braces = F.when(end >= start, F.substring(t, start, end - start + 1)).otherwise(F.lit(""))
+        unfenced = _once(strip_ws(F.regexp_replace(t, r"^[^\n]*(\n|$)", "")), lambda rest: F.when(
+            F.locate("```", rest) > 0, strip_ws(F.substring_index(rest, "```", 1))).otherwise(rest))
+        return F.when((start > 0) & (end > 0), braces).when(t.startswith("```"), unfenced).otherwise(t)
+
+    return F.when(s.isNull() | (s == ""), s).otherwise(_once(strip_ws(s), inside))
 
 
 def vget(v: Column, path: str) -> Column:
@@ -137,37 +139,41 @@ def _last_of_duplicates(carved: Column, schema: str) -> Column:
     place of an earlier one, and a value of another shape marks the record as corrupt:
     that fails the answer, even if only the earlier one was so.
     """
-    read = F.from_json(carved, schema + ", _corrupt_record string", _STRICT)
-    single = F.size(F.from_json(F.concat(F.lit("["), carved, F.lit("]")), "array<struct<invoiceHeader: string>>", _STRICT)) == 1
-    sound = carved.startswith("{") & single & read["_corrupt_record"].isNull()
-    for name in schema.replace(",", " ").split():
-        if name in ("clientCases", "clientCasesNoActivity"):  # an explicit null is no list
-            keys = F.json_object_keys(carved)
-            sound = sound & ~(F.array_contains(keys, name) & read[name].isNull())
     fields = [f for f in ("invoiceHeader", "isCoachingInvoice", "clientCases", "clientCasesNoActivity") if f in schema]
-    return F.when(sound, F.try_parse_json(F.to_json(F.struct(*(read[f].alias(f) for f in fields)))))
+    single = F.size(F.from_json(F.concat(F.lit("["), carved, F.lit("]")), "array<struct<invoiceHeader: string>>", _STRICT)) == 1
+
+    def repaired(read: Column) -> Column:
+        sound = carved.startswith("{") & single & read["_corrupt_record"].isNull()
+        for name in fields:
+            if name in ("clientCases", "clientCasesNoActivity"):  # an explicit null is no list
+                sound = sound & ~(F.array_contains(F.json_object_keys(carved), name) & read[name].isNull())
+        return F.when(sound, F.try_parse_json(F.to_json(F.struct(*(read[f].alias(f) for f in fields)))))
 
+    return _once(F.from_json(carved, schema + ", _corrupt_record string", _STRICT), repaired)
 
-def parse_response(text: Column, lines: Column | bool = False) -> Column:
+
+def parse_response(text: Column, lines: Column | bool = False, carved_text: Column | None = None) -> Column:
     """VARIANT of the carved response text (NULL when it is not JSON).
 
     Compute it once into a column (``withColumn``) and validate from that
     column: the checks below read many paths of the same document. Inside
     brackets, text after the JSON value makes the whole invalid or a longer list.
     A repeated key keeps its last value; ``lines`` says whether the answer is one
-    with line items (only the fields of its kind are kept then).
+    with line items (only the fields of its kind are kept then). ``carved_text``:
+    ``carve_json(text)``, if it is at hand as a column.
     """
-    carved = carve_json(text)
-    listed = F.try_parse_json(F.concat(F.lit("["), carved, F.lit("]")))
-    values = F.try_variant_get(listed, "$", "array<variant>")
     lines = F.lit(lines) if isinstance(lines, bool) else lines
-    repaired = F.when(lines, _last_of_duplicates(carved, _LOOSE_LINES)).otherwise(_last_of_duplicates(carved, _LOOSE_HEADER))
-    return F.when(listed.isNull(), repaired).when(F.size(values) == 1, F.get(values, 0))
 
+    def parsed(carved: Column) -> Column:
+        def only(listed: Column) -> Column:
+            values = F.try_variant_get(listed, "$", "array<variant>")
+            repaired = F.when(lines, _last_of_duplicates(carved, _LOOSE_LINES)).otherwise(
+                _last_of_duplicates(carved, _LOOSE_HEADER))
+            return F.when(listed.isNull(), repaired).otherwise(_once(values, lambda v: F.when(F.size(v) == 1, F.get(v, 0))))
+
+        return _once(F.try_parse_json(F.concat(F.lit("["), carved, F.lit("]"))), only)
 
-def _once(root: Column, f) -> Column:
-    """``f(root)`` with ``root`` worked out once, not in each of its uses."""
-    return F.get(F.transform(F.array(root), lambda r: f(r)), 0)
+    return _once(carve_json(text) if carved_text is None else carved_text, parsed)
 
 
 def parse_header(text: Column) -> Column:

@@ -128,6 +128,19 @@ def lines_faults(root: Column, carved: Column, facts: Column) -> Column:
     return F.concat(_all(root, carved, faults), F.coalesce(of_items, none), F.coalesce(of_names, none))
 
 
+def may_quote(carved: Column, marks: tuple[str, ...]) -> Column:
+    """Whether the message of a failed answer can hold one of ``marks`` (texts or whole numbers
+    from 100, lower-case) at all; a cheap test before ``message_words``. False only where it cannot.
+
+    The message holds the answer's own characters, but for escapes, numbers printed in another
+    form (exponents, many digits, a shifted point) and counts or positions of list entries, which
+    take two characters each.
+    """
+    entries = min(int(m) for m in marks if m.isdigit())
+    other_form = r"\\|[0-9.]e[-+]?[0-9]|[0-9]{7,}[.]|[0-9.]{15,}"
+    return (F.length(carved) >= 2 * entries - 8) | F.lower(carved).rlike("|".join((*marks, other_form)))
+
+
 def message_words(faults: Column) -> Column:
     """The parts of the message that depend on the answer: how many faults, their paths, and
     the values at fault as shown. (Line and column of a JSON fault are not rebuilt.)"""

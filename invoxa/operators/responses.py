@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from invoxa.functions.jsonish import (CASE_TYPE, carve_json, header_from_variant, item_facts,
                                      lines_from_variant, parse_response)
 from invoxa.functions.parsers import header_fields
-from invoxa.functions.validation import header_faults, lines_faults, message_words
+from invoxa.functions.validation import header_faults, lines_faults, may_quote, message_words
 
 # FIXED VALUES: error fragments (lower-case) that mark an overloaded or
 # rate-limited call, which is retried; and the retry budget.
@@ -48,25 +48,26 @@ def classify_attempts(responses: DataFrame) -> DataFrame:
     message of a failed validation quotes the values at fault, so one that holds an
     overload mark makes it a 'retry' as well.
     """
-    text, root, facts = F.col("response_text"), F.col("_json"), F.col("_facts")
+    text, carved, root, facts = F.col("response_text"), F.col("_carved"), F.col("_json"), F.col("_facts")
     is_lines = F.col("agent") == "lines"
     hdr = F.when(F.col("agent").isin("header", "header_recovery"), header_from_variant(root))
     lns = F.when(is_lines, lines_from_variant(root, facts))
     answered = F.col("error").isNull() & text.isNotNull() & (text != "")
-    faults = F.when(is_lines, lines_faults(root, F.col("_carved"), facts)).otherwise(header_faults(root, F.col("_carved")))
+    faults = F.when(is_lines, lines_faults(root, carved, facts)).otherwise(header_faults(root, carved))
     failed = answered & F.col("hdr").isNull() & F.col("lns").isNull()
-    retried = F.coalesce(F.exists(message_words(F.col("_faults")), is_overload), F.lit(False))
+    quoted = F.when(failed & may_quote(carved, OVERLOAD_MARKERS),
+                    F.exists(message_words(F.col("_faults")), is_overload))
     cls = (F.when(F.col("error").isNotNull(),
                   F.when(is_overload(F.col("error")), CLS_RETRY).otherwise(CLS_STOP))
            .when(~answered, CLS_STOP)
            .when(F.col("hdr").isNotNull() | F.col("lns").isNotNull(), CLS_OK)
-           .when(retried, CLS_RETRY).otherwise(CLS_STOP))
+           .when(F.coalesce(quoted, F.lit(False)), CLS_RETRY).otherwise(CLS_STOP))
     return (responses.where(F.col("attempt").between(0, MAX_RETRIES))
-            .withColumn("_json", parse_response(text, is_lines))
+            .withColumn("_carved", F.when(answered, carve_json(text)))
+            .withColumn("_json", F.when(answered, parse_response(text, is_lines, carved)))
             .withColumn("_facts", F.when(is_lines, item_facts(root)))
-            .withColumn("_carved", carve_json(text))
             .select("*", hdr.alias("hdr"), lns.alias("lns"))
-            .withColumn("_faults", F.when(failed, faults))
+            .withColumn("_faults", F.when(failed & may_quote(carved, OVERLOAD_MARKERS), faults))
             .select("doc_id", "agent", "attempt", cls.alias("cls"), "hdr", "lns"))
 
 
