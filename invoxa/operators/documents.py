@@ -147,12 +147,16 @@ def manifest_rollup(manifest: DataFrame) -> DataFrame:
         F.count_if(F.col("is_coaching_invoice")).alias("coaching_invoices"))
 
 
+def run_metrics(n_cases: Column, n_amounts: Column) -> list[Column]:
+    """Run totals of phase 1, from a document's numbers of codes and amounts."""
+    return [F.count(F.lit(1)).alias("total"),
+            F.count_if(F.col("text_length") > 0).alias("successful"),
+            F.avg("text_length").alias("avg_text_length"),
+            F.avg("confidence_score").alias("avg_confidence"),
+            F.count_if(n_cases > 0).alias("with_cases"),
+            F.count_if(n_amounts > 0).alias("with_amounts")]
+
+
 def run_report(summary: DataFrame) -> DataFrame:
     """Run totals in one aggregate (map-side partial, one tiny final task)."""
-    return summary.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("text_length") > 0).alias("successful"),
-        F.avg("text_length").alias("avg_text_length"),
-        F.avg("confidence_score").alias("avg_confidence"),
-        F.count_if(F.col("client_cases_found") > 0).alias("with_cases"),
-        F.count_if(F.col("amounts_found") > 0).alias("with_amounts"))
+    return summary.agg(*run_metrics(F.col("client_cases_found"), F.col("amounts_found")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from invoxa.functions.codes import (STATUS_AMBIGUOUS, STATUS_EXACT, STATUS_FUZZY,
                                     STATUS_UNKNOWN, canonical_code, match_record)
 from invoxa.functions.patterns import strip_ws
+from invoxa.session import materialize
 
 # FIXED VALUES: verdicts and their reason texts.
 VERDICT_ACCEPT, VERDICT_REVIEW, VERDICT_REJECT = "accept", "needs_review", "reject"
@@ -25,6 +26,9 @@ REASON_REVIEW = ("Invoice contains clientCaseNumbers with historical character e
                  "been auto-corrected to “I” and “O.”")
 STATUSES = (STATUS_EXACT, STATUS_FUZZY, STATUS_UNKNOWN, STATUS_AMBIGUOUS)
 
+#: How many of the most frequent codes are spread, and over how many parts each.
+HEAVY_CODES, SALTS = 1000, 64
+
 #: Where a registry row stands: struct(file, block, row), compared in this order.
 FILE_ORDER = "_file_order"
 
@@ -106,12 +110,51 @@ def match_codes(df: DataFrame, code_col: str, lookups: tuple[DataFrame, DataFram
                   "_n"))
 
 
+def match_codes_once(df: DataFrame, code_col: str, lookups: tuple[DataFrame, DataFrame],
+                     out: str = "match", spread: str = "doc_id") -> DataFrame:
+    """``match_codes`` by a dictionary: each distinct code is matched once, and the records
+    are joined back by code. For registries too large to broadcast, where two lookups would
+    shuffle every occurrence twice: here the lookups shuffle distinct codes, and the
+    occurrences are shuffled once.
+
+    A code may fill much of the table: the ``HEAVY_CODES`` most frequent ones are spread over
+    ``SALTS`` parts by the hash of column ``spread``, and their records copied to each part.
+    What is broadcast to mark them is that many 8-byte hashes (a code that shares a hash with
+    one of them is spread as well). ``df`` is read twice; let it be a written table.
+    """
+    code = F.col(code_col)
+    counts = df.where(code.isNotNull()).groupBy(code.alias("_code")).agg(F.count(F.lit(1)).alias("_k"))
+    heavy = (counts.orderBy(F.desc("_k"), "_code").limit(HEAVY_CODES)
+             .select(F.xxhash64("_code").alias("_hash")).distinct().withColumn("_heavy", F.lit(True)))
+
+    def marked(x: DataFrame, of: Column) -> DataFrame:
+        return x.withColumn("_hash", F.xxhash64(of)).join(F.broadcast(heavy), "_hash", "left")
+
+    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    part = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    known = (marked(match_codes(counts.select("_code"), "_code", lookups, out), F.col("_code"))
+             .select("_code", F.explode(parts).alias("_part"), out))
+    x = marked(df, code).withColumn("_salt", part)
+    return (x.join(known, (code == F.col("_code")) & (F.col("_salt") == F.col("_part")), "left")
+            .select(*df.columns, out))
+
+
+def _codes(docs: DataFrame) -> DataFrame:
+    # The outer generator keeps Catalyst from inferring a size(...) > 0
+    # filter, which would copy the extraction expression and run it twice.
+    return (docs.select("doc_id", F.posexplode_outer(F.col("patterns.client_cases")).alias("case_pos", "raw_code"))
+            .where(F.col("raw_code").isNotNull()))
+
+
+def match_cases_once(docs: DataFrame, lookups: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``match_cases`` with each distinct code matched once. The codes are written to the
+    shared checkpoint folder first, so the patterns run once."""
+    return match_codes_once(materialize(_codes(docs), "codes"), "raw_code", lookups)
+
+
 def match_cases(docs: DataFrame, lookups: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Long form: one row per (doc, distinct raw code) with its match record."""
-    codes = (docs.select("doc_id", F.posexplode_outer(F.col("patterns.client_cases"))
-                         .alias("case_pos", "raw_code"))
-             .where(F.col("raw_code").isNotNull()))
-    return match_codes(codes, "raw_code", lookups)
+    return match_codes(_codes(docs), "raw_code", lookups)
 
 
 def verdict(counts: Column, has_matches: Column) -> Column:
@@ -150,12 +193,7 @@ def annotate_documents(docs: DataFrame, lookups: tuple[DataFrame, DataFrame] | N
     if lookups is None:
         per_doc = None
     else:
-        # The outer generator keeps Catalyst from inferring a size(...) > 0
-        # filter, which would copy the extraction expression and run it twice.
-        codes = (docs.select("doc_id", F.posexplode_outer(F.col("patterns.client_cases"))
-                             .alias("case_pos", "raw_code"))
-                 .where(F.col("raw_code").isNotNull()))
-        x = match_codes(codes, "raw_code", lookups)
+        x = match_cases(docs, lookups)
         status = F.col("match.matchStatus")
         usable = status.isin(STATUS_EXACT, STATUS_FUZZY) & F.col("match.matchedCode").isNotNull()
         ctx = F.when(usable, F.struct("case_pos", "raw_code",

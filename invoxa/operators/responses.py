@@ -122,6 +122,29 @@ def needs_recovery(header_res: Column) -> Column:
     return _missing(h["kvkNumber"]) | _missing(h["vatNumber"])
 
 
+def wants_ocr(header_res: Column, ocr_text: Column) -> Column:
+    """Whether the OCR tiers apply: a field is missing and there is OCR text."""
+    return needs_recovery(header_res) & _present(ocr_text)
+
+
+def ocr_tier(header_res: Column, ocr_text: Column, ocr_fields: Column) -> tuple[Column, Column, Column]:
+    """Tier 1: whether it applies, and kvk and vat after it. ``ocr_fields``: the first
+    regex hits in the OCR text, which fill missing fields only."""
+    h, ok = header_res["invoiceHeader"], wants_ocr(header_res, ocr_text)
+
+    def filled(name: str) -> Column:
+        hit, old = ocr_fields[name], h[name]
+        return F.when(ok & _present(hit) & _missing(old), hit).otherwise(old)
+
+    return ok, filled("kvkNumber"), filled("vatNumber")
+
+
+def needs_second_tier(header_res: Column, ocr_text: Column, ocr_fields: Column) -> Column:
+    """Whether a field is still missing after tier 1, so that the recovery agent is asked."""
+    ok, kvk, vat = ocr_tier(header_res, ocr_text, ocr_fields)
+    return ok & (_missing(kvk) | _missing(vat))
+
+
 def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column,
                    ocr_fields: Column | None = None) -> Column:
     """Header after the OCR tiers; struct(header, kvk_source, vat_source).
@@ -136,11 +159,8 @@ def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column,
     """
     h = header_res["invoiceHeader"]
     kvk0, vat0 = h["kvkNumber"], h["vatNumber"]
-    needs_ocr = needs_recovery(header_res)
-    ocr_ok = needs_ocr & _present(ocr_text)
     t1 = header_fields(ocr_text) if ocr_fields is None else ocr_fields
-    kvk1 = F.when(ocr_ok & _present(t1["kvkNumber"]) & _missing(kvk0), t1["kvkNumber"]).otherwise(kvk0)
-    vat1 = F.when(ocr_ok & _present(t1["vatNumber"]) & _missing(vat0), t1["vatNumber"]).otherwise(vat0)
+    ocr_ok, kvk1, vat1 = ocr_tier(header_res, ocr_text, t1)
     tier2 = ocr_ok & (_missing(kvk1) | _missing(vat1)) & recovery_res.isNotNull()
     rh = recovery_res["invoiceHeader"]
     kvk2 = F.when(tier2 & _present(rh["kvkNumber"]), rh["kvkNumber"]).otherwise(kvk1)
@@ -156,7 +176,7 @@ def recover_header(header_res: Column, ocr_text: Column, recovery_res: Column,
                       h["invoiceDate"].alias("invoiceDate"),
                       kvk2.alias("kvkNumber"), vat2.alias("vatNumber"))
     return F.struct(header.alias("invoiceHeader"),
-                    needs_ocr.alias("needs_ocr"),
+                    needs_recovery(header_res).alias("needs_ocr"),
                     source(kvk0, kvk1, rh["kvkNumber"]).alias("kvk_source"),
                     source(vat0, vat1, rh["vatNumber"]).alias("vat_source"))
 
@@ -215,7 +235,7 @@ def final_results(work: DataFrame, resolved: DataFrame, ocr: DataFrame,
                    ("supplierName", "invoiceNumber", "invoiceDate", "kvkNumber", "vatNumber")])
         .alias("invoiceHeader"), F.lit(False).alias("isCoachingInvoice")))
     # The regexes run once, and only on texts of documents that need them.
-    wanted = needs_recovery(F.col("_hdr")) & _present(F.col("ocr_text"))
+    wanted = wants_ocr(F.col("_hdr"), F.col("ocr_text"))
     x = (x.withColumn("_hdr", hdr_in)
          .withColumn("_ocr", F.when(wanted, header_fields(F.col("ocr_text")))))
     rec = recover_header(F.col("_hdr"), F.col("ocr_text"), F.col("recovery_res"), F.col("_ocr"))
@@ -254,6 +274,13 @@ def allowed_long(final: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(allowed).drop("allowed_valid"), rows.where(~allowed).drop("allowed_valid")
 
 
+def result_metrics() -> list[Column]:
+    """Run totals over the final results."""
+    return [F.count(F.lit(1)).alias("n_results"), F.sum(F.size("clientCases")).alias("n_cases"),
+            F.avg(F.size("clientCases")).alias("avg_cases"),
+            F.sum(F.size("clientCasesNoActivity")).alias("n_no_activity")]
+
+
 def result_json(final: DataFrame) -> DataFrame:
     """(output file name, JSON text with nulls written) per result."""
     body = F.to_json(F.struct("invoiceHeader", "isCoachingInvoice", "clientCases",

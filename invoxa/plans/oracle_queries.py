@@ -310,3 +310,16 @@ SELECT filename, {_SAVED} AS raw_text, kvk_numbers[1] AS kvk, vat_numbers[1] AS
        array_to_string(list_transform(list_zip(allowed_prompt, allowed_valid),
                                       lambda e: e[1] || '=' || e[2]), '|') AS correction_pairs
 FROM p1f WHERE is_coaching_invoice AND ready_for_llm AND length(filename) > 0""")
+
+
+def _totals(phase: str, sql: str, columns: tuple[str, ...]) -> str:
+    doubles = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return (f"SELECT '{phase}' AS phase, metric, value FROM "
+            f"(UNPIVOT (SELECT {doubles} FROM ({sql})) ON COLUMNS(*) INTO NAME metric VALUE value)")
+
+
+ORACLE["run_totals"] = "\nUNION ALL\n".join((
+    _totals("documents", ORACLE["run_report"], ("total", "successful", "avg_text_length", "avg_confidence",
+                                                "with_cases", "with_amounts")),
+    _totals("results", ORACLE["results_rollup"], ("n_results", "n_cases", "avg_cases", "n_no_activity"))))
+ORACLE["match_cases_once"] = ORACLE["match_cases"]

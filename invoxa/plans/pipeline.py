@@ -16,13 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoxa.operators.documents import with_doc_features
+from invoxa.operators.documents import run_metrics, with_doc_features
 from invoxa.operators.evaluation import evaluate, final_score
 from invoxa.operators.extract import with_patterns
 from invoxa.operators.matching import annotate_documents, lookup_tables, ref_codes
-from invoxa.operators.responses import classify_attempts, final_results, resolve_attempts
+from invoxa.operators.responses import classify_attempts, final_results, resolve_attempts, result_metrics
 from invoxa.operators.text import document_text
-from invoxa.session import materialize
+from invoxa.session import materialize_observed
 from invoxa.sources import fixtures
 
 
@@ -74,12 +74,26 @@ def phase3(final: DataFrame, truth: DataFrame) -> DataFrame:
     return evaluate(final, truth)
 
 
-def run_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def run_phases(inp: Inputs) -> dict[str, object]:
+    """Phases 1 and 2, each written to the shared checkpoint folder, and their ``totals``
+    (phase -> metric -> value, with ``seconds``), observed while the tables are written.
+
+    Phase 1 is written in buckets of ``doc_id``: phase 2 joins it to answers and OCR texts
+    without shuffling it again. Results are joined by output name later, which is not the key
+    that they are partitioned by, so buckets would only move that shuffle.
+    """
+    p = F.col("patterns")
+    p1, of_documents = materialize_observed(phase1(inp.pages, inp.registry), "phase1_documents",
+                                            run_metrics(F.size(p["client_cases"]), F.size(p["amounts"])), by="doc_id")
+    final, of_results = materialize_observed(phase2(p1, inp.responses, inp.ocr), "phase2_results", result_metrics())
+    return {"documents": p1, "results": final, "totals": {"documents": of_documents, "results": of_results}}
+
+
+def run_all(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     """Whole pipeline with phase outputs written to the shared checkpoint
     folder (lineage cut between phases)."""
     inp = derived_inputs(spark, sf_dir)
-    p1 = materialize(phase1(inp.pages, inp.registry), "phase1_documents")
-    final = materialize(phase2(p1, inp.responses, inp.ocr), "phase2_results")
-    scored = materialize(phase3(final, inp.truth), "phase3_scores")
-    return {"documents": p1, "results": final, "scores": scored,
-            "final_score": final_score(scored)}
+    done = run_phases(inp)
+    scored, of_scores = materialize_observed(phase3(done["results"], inp.truth), "phase3_scores", [F.count(F.lit(1)).alias("n_truth")])
+    done["totals"]["scores"] = of_scores
+    return {**done, "scores": scored, "final_score": final_score(scored)}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from invoxa.operators import documents as D
 from invoxa.operators import paged
 from invoxa.operators.extract import FAMILIES, family_long, with_patterns
-from invoxa.operators.matching import (annotate_documents, lookup_tables, match_cases,
+from invoxa.operators.matching import (annotate_documents, lookup_tables, match_cases, match_cases_once,
                                        ref_canon, ref_codes)
 from invoxa.operators.text import assemble_text, document_text
 from invoxa.plans.pipeline import phase1
@@ -123,7 +123,16 @@ def header_fields_documents(spark, sf):
 # ------------------------------------------------------------- matching
 @query
 def match_cases_q(spark, sf):
-    m = match_cases(_docs(spark, sf), lookup_tables(_registry(spark, sf)))
+    return _match_columns(match_cases(_docs(spark, sf), lookup_tables(_registry(spark, sf))))
+
+
+@query
+def match_cases_once_q(spark, sf):
+    """The same rows, each distinct code matched once."""
+    return _match_columns(match_cases_once(_docs(spark, sf), lookup_tables(_registry(spark, sf))))
+
+
+def _match_columns(m):
     return m.select("doc_id", "case_pos", "raw_code",
                     F.col("match.matchedCode").alias("matched_code"),
                     F.col("match.matchStatus").alias("match_status"),
@@ -498,33 +507,40 @@ def recovery_prompts(spark, sf):
     """Recovery prompt for documents that reach tier 2 of the OCR recovery."""
     from invoxa.functions.parsers import header_fields
     from invoxa.operators.prompts import recovery_prompt
-    from invoxa.operators.responses import classify_attempts, resolve_attempts
+    from invoxa.operators.responses import (classify_attempts, needs_second_tier, ocr_tier, resolve_attempts,
+                                            wants_ocr)
     from invoxa.plans.pipeline import work_list
     inp = _inputs(spark, sf)
     w = work_list(phase1(inp.pages, inp.registry)).select("doc_id")
     r = resolve_attempts(classify_attempts(inp.responses)).select("doc_id", "header_res")
     x = w.join(r, "doc_id", "left").join(inp.ocr.select("doc_id", "text"), "doc_id", "inner")
-    h = F.col("header_res.invoiceHeader")
-    kvk, vat = h["kvkNumber"], h["vatNumber"]
-
-    def missing(c):
-        return F.coalesce(c, F.lit("")) == ""
-
-    t1 = header_fields(F.col("text"))
-    kvk1 = F.when(missing(kvk) & ~missing(t1["kvkNumber"]), t1["kvkNumber"]).otherwise(kvk)
-    vat1 = F.when(missing(vat) & ~missing(t1["vatNumber"]), t1["vatNumber"]).otherwise(vat)
-    need = (missing(kvk) | missing(vat)) & (F.length("text") > 0) & (missing(kvk1) | missing(vat1))
-    coaching = F.coalesce(F.col("header_res.isCoachingInvoice"), F.lit(False))
-    return x.where(need).select("doc_id", recovery_prompt(
-        F.col("text"), h["supplierName"], h["invoiceNumber"], h["invoiceDate"], missing(kvk1),
-        missing(vat1), coaching).alias("recovery_prompt"))
+    res, text, fields = F.col("header_res"), F.col("text"), F.col("_ocr")
+    x = x.withColumn("_ocr", F.when(wants_ocr(res, text), header_fields(text)))
+    _, kvk, vat = ocr_tier(res, text, fields)
+    h = res["invoiceHeader"]
+    prompt = recovery_prompt(
+        text, h["supplierName"], h["invoiceNumber"], h["invoiceDate"], F.coalesce(kvk, F.lit("")) == "",
+        F.coalesce(vat, F.lit("")) == "", F.coalesce(res["isCoachingInvoice"], F.lit(False)))
+    # A filter on the tier's outcome would be pushed below and copy its regexes; one on an
+    # outer generator's rows stays above.
+    asked = F.when(needs_second_tier(res, text, fields), F.array(prompt))
+    rows = x.select("doc_id", F.explode_outer(asked).alias("recovery_prompt"))
+    return rows.where(F.col("recovery_prompt").isNotNull())
 
 
 @query
 def results_rollup(spark, sf):
     """Run totals of phase 2: results written, line items, mean per result."""
+    from invoxa.operators.responses import result_metrics
     f = _final(spark, sf)
-    return f.agg(F.count(F.lit(1)).alias("n_results"),
-                 F.sum(F.size("clientCases")).alias("n_cases"),
-                 F.avg(F.size("clientCases")).alias("avg_cases"),
-                 F.sum(F.size("clientCasesNoActivity")).alias("n_no_activity"))
+    return f.agg(*result_metrics())
+
+
+@query
+def run_totals(spark, sf):
+    """Totals of phases 1 and 2 as observed while their tables are written, one row a metric."""
+    from invoxa.plans.pipeline import derived_inputs, run_phases
+    totals = run_phases(derived_inputs(spark, sf))["totals"]
+    rows = [(phase, name, float(v)) for phase in ("documents", "results") for name, v in totals[phase].items()
+            if name != "seconds" and v is not None]
+    return spark.createDataFrame(rows, "phase string, metric string, value double")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings this library relies on; applied only where the session leaves them unset.
 _DEFAULTS = {
@@ -74,13 +75,37 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
-    Used between pipeline phases (the reference hands files from phase to
+    Used between pipeline phases (which hand files from phase to
     phase): it cuts lineage, so a lost executor recomputes from the written
     table, never from the raw page scan.
+
+    ``by``: write it in buckets of that column, as many as the session has shuffle
+    partitions, so a join on the column reads it without an exchange. Where ``df`` is
+    hash-partitioned by that column already, each bucket is written by one task. The table
+    stands in the session's catalog under the name of its folder.
+    """
+    spark, path = df.sparkSession, run_path(df.sparkSession, name)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    entry = "invoxa_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(entry)
+    return spark.table(entry)
+
+
+def materialize_observed(df: DataFrame, name: str, metrics: list[Column],
+                         by: str | None = None) -> tuple[DataFrame, dict[str, object]]:
+    """``materialize``, and the aggregates ``metrics`` over its rows with the ``seconds`` it took.
+
+    They are observed while the table is written, by the job that writes it; a task that is
+    run again counts once. ``seconds`` is the wall clock of the whole batch, since a
+    distributed run has no time of its own for each document.
     """
-    path = run_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    start = time.monotonic()
+    written = materialize(df.observe(seen, *metrics), name, by)
+    return written, {**seen.get, "seconds": time.monotonic() - start}

@@ -44,3 +44,8 @@ def test_extraction_not_duplicated_by_inferred_filters(spark):
     plan = _plan(spark, "extract_amounts")
     # one amount-family projection: four amount patterns, each applied once
     assert plan.count("regexp_extract_all") == 4, plan
+
+
+def test_recovery_prompts_run_the_header_patterns_once(spark):
+    # 12 for phase 1's codes and kvk, vat, number and date, as in final_results
+    assert _plan(spark, "recovery_prompts").count("regexp_extract_all") <= _plan(spark, "final_results").count("regexp_extract_all")
