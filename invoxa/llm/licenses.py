@@ -134,9 +134,15 @@ def words_of_lines(text: bytes | None) -> list[list[bytes]]:
     return [line.split() for line in (text or b"").translate(_NORMAL).split(b"\n")]
 
 
-#: Templates of fewer bigrams are matched inside a text only with all their numbers,
-#: since a cut sentence can lack just the version.
-SENTENCE = 16
+def version_bigrams(name: str, bigrams: Iterable[tuple[bytes, bytes]]) -> list[set[tuple[bytes, bytes]]]:
+    """For each number in a licence's name that the bigrams state, those that state it: the
+    number beside another word of the name or "version". (The clauses of a body are numbered
+    too, but do not state a version.)"""
+    of_name = words_of_lines(name.encode())[0]
+    beside = {*of_name, b"version", b"v"}
+    pairs = set(bigrams)
+    stated = [{b for b in pairs if n in b and beside.issuperset(b)} for n in dict.fromkeys(of_name) if n.isdigit()]
+    return [s for s in stated if s]
 
 
 class Scanner:
@@ -145,11 +151,12 @@ class Scanner:
 
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
         self.least = least
-        self.names, self.sizes, self.counts = [], [], []
+        self.names, self.sizes, self.counts, self.versions = [], [], [], []
         self.holders: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         for at, (name, text) in enumerate(templates):
             words = [w for line in words_of_lines(text.encode()) for w in line]
             self.names.append(name)
+            self.versions.append(version_bigrams(name, zip(words, words[1:])))
             self.sizes.append(max(len(words) - 1, 0))
             self.counts.append(Counter(zip(words, words[1:])))
             for bigram, n in self.counts[at].items():
@@ -185,7 +192,9 @@ class Scanner:
     def runs_of(self, at: int, hits: list[tuple[int, tuple[bytes, bytes]]]) -> list[tuple[float, int, int, set[int]]]:
         """(score, first bigram, last bigram, places of common bigrams) of runs that
         reach ``least`` with template ``at`` and share no bigram: repeatedly the
-        highest score, of equal ones the first and shortest."""
+        highest score, of equal ones the first and shortest. A run cut from a sentence
+        can lack just the version, so it must have a bigram of each of the template's
+        ``version_bigrams``, whatever the template's size."""
         counts, size = self.counts[at], self.sizes[at]
         hits = [(i, b) for i, b in hits if b in counts]
         where = np.array([i for i, _ in hits], np.int64)
@@ -196,9 +205,12 @@ class Scanner:
             if len(before) >= counts[b]:
                 after[k] = before[-counts[b]]
             before.append(i)
-        numbers = {b for b in counts if b[0].isdigit() or b[1].isdigit()} if size < SENTENCE else set()
-        needed = sum(counts[b] for b in numbers)
-        number = np.array([b in numbers for _, b in hits], bool)
+        # For each number the place among the hits of the next one that states it.
+        following = []
+        for v in self.versions[at]:
+            holding = np.flatnonzero([b in v for _, b in hits])
+            following.append(np.append(holding, len(hits))[np.searchsorted(holding, np.arange(len(hits)))])
+        complete = np.max(following, axis=0) if following else np.arange(len(hits))
         most = int((2 - self.least) / self.least * size + 1e-9)
         ends = np.searchsorted(where, where + most)
 
@@ -207,8 +219,7 @@ class Scanner:
             part = slice(k, min(int(ends[k]), stop))
             fits = after[part] < where[k]
             scores = 2.0 * np.cumsum(fits) / (where[part] - where[k] + 1 + size)
-            if needed:
-                scores[np.cumsum(fits & number[part]) < needed] = 0.0
+            scores[:int(complete[k]) - k] = 0.0  # runs that end before they hold every number
             last = int(scores.argmax())
             return (-float(scores[last]), int(where[k]), k, k + last) if scores[last] >= self.least else None
 

@@ -85,9 +85,7 @@ def ahead(words: np.ndarray, at: np.ndarray, s: int) -> np.ndarray:
 def close_lanes(fps: np.ndarray, runs: np.ndarray, radius: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of lanes of one run that differ in at most ``radius`` bits.
 
-    ``runs`` numbers the run of each lane, ascending. To keep lists short, a lane
-    that is linked to another is given only its links to the nearest lanes on
-    either side, unless they are of different components (see ``Forest``).
+    ``runs`` numbers the run of each lane, ascending. All such pairs are returned.
     """
     n = len(fps)
     last = np.searchsorted(runs, runs, side="right")  # where each lane's run ends
