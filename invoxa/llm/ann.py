@@ -2,12 +2,13 @@
 dimension scan.
 
 Vectors lie in the list of their nearest centroid; a query looks through its nearest
-lists. There, vectors are turned by one random rotation, so that any block of
-columns is a random part of the inner product. After each block the rest is a
-random variable of known spread (the norms of both remaining parts over the root of
-the columns left); candidates whose score stays below the query's bound even with
-``sigmas`` such spreads are abandoned. Those that reach the last column are scored
-on the original vectors in double precision.
+lists. There, vectors are turned by one random rotation. If the first columns hold a
+share f of the query's squared length, they hold f * s of an inner product s on average:
+a candidate's part along the query is split as the query is, its part across the query
+at random, with a spread that follows from the norms. A candidate whose first columns
+give less than f times the query's bound by more than ``sigmas`` such spreads is
+abandoned. Those that reach the last column are scored on the original vectors in
+double precision.
 """
 
 from __future__ import annotations
@@ -74,24 +75,33 @@ def scan(index: Index, q: np.ndarray, own: np.ndarray, low: np.ndarray, home: bo
     the best by the first columns, and all of them count, so that no query ends up with
     fewer than there are."""
     qr, xr = q @ index.rotation, x @ index.rotation
+    norm_q, norm_x = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
     slack = 1e-9 * (1 + np.abs(low, where=np.isfinite(low), out=np.zeros_like(low)))
+    slack += 1e-13 * norm_q * norm_x.max(initial=0)
     out = []
     dim = index.dim
     for a in range(0, len(q), rows):
-        part = qr[a:a + rows]
+        part, least, size = qr[a:a + rows], low[a:a + rows], norm_q[a:a + rows]
+        share = np.minimum(np.cumsum(part ** 2, axis=1) / np.maximum(size ** 2, 1e-300)[:, None], 1)
+        along = np.maximum(np.where(np.isfinite(least), least, 0), 0) ** 2  # of (norm_q * norm_x) ** 2
         i = j = got = None
         for at in range(0, dim, columns):
             to = min(at + columns, dim)
-            if got is None:
-                first_scores = part[:, :to] @ xr[:, :to].T
-                rest_q, rest_x = (np.sqrt((m[:, to:] ** 2).sum(axis=1)) for m in (part, xr))
-                stay = first_scores + np.outer(rest_q, rest_x) * (sigmas / np.sqrt(max(dim - to, 1))) >= (low - slack)[a:a + rows, None]
-                i, j = np.nonzero(stay)
-                got = first_scores[i, j]
+            f = share[:, to - 1] if to < dim else np.ones(len(part))
+            spread = sigmas * np.sqrt(f * (1 - f) / max(dim - 1, 1))
+            floor = least * f - slack[a:a + rows]
+            if i is None:  # all pairs, as long as many are left
+                got = part[:, at:to] @ xr[:, at:to].T if got is None else got + part[:, at:to] @ xr[:, at:to].T
+                first_scores = got if at == 0 else first_scores
+                across = np.sqrt(np.maximum(np.outer(size ** 2, norm_x ** 2) - along[:, None], 0))
+                stay = got + spread[:, None] * across >= floor[:, None]
+                if to == dim or np.count_nonzero(stay) * 16 < stay.size:
+                    i, j = np.nonzero(stay)
+                    got = got[i, j]
             else:
                 got = got + np.einsum("nc,nc->n", part[i, at:to], xr[j, at:to])
-                rest_q, rest_x = (np.sqrt((m[:, to:] ** 2).sum(axis=1)) for m in (part, xr))
-                stay = got + rest_q[i] * rest_x[j] * (sigmas / np.sqrt(max(dim - to, 1))) >= (low - slack)[a + i]
+                across = np.sqrt(np.maximum(size[i] ** 2 * norm_x[j] ** 2 - along[i], 0))
+                stay = got + spread[i] * across >= floor[i]
                 i, j, got = i[stay], j[stay], got[stay]
         cuts = np.searchsorted(i, np.arange(len(part) + 1))
         for n in range(len(part)):

@@ -83,6 +83,31 @@ def _same_but_repeats(rows, vectors):
     return rows == {(q, n + 1, i) for q, best in want.items() for n, (i, _) in enumerate(best)}
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.2, 0.5])
+def test_ann_scan_keeps_neighbours_along_the_query(spread):
+    """Rows near a query hold about the same share of the product in all columns: their
+    rest is no random number around zero."""
+    r = np.random.default_rng(3)
+    centre = r.standard_normal((30, 64))
+    x = (centre[np.arange(3000) % 30] + spread * r.standard_normal((3000, 64))) * r.uniform(0.5, 2, (3000, 1))
+    ids, own = np.arange(3000), np.arange(0, 3000, 20)
+    true = x[own] @ x.T
+    true[np.arange(len(own)), own] = -np.inf
+    best = np.argsort(-true, axis=1)[:, :20]
+    low = np.take_along_axis(true, best, axis=1)[:, -1]
+    index = ann.Index(64, ann.rotation(64, 7), x[:1], x[:0], ids[:0])
+    found = ann.scan(index, x[own], own, low * (1 - 1e-12), False, x, ids, 20, 3.0, 16)
+    assert np.mean([len(np.intersect1d(f, b)) / 20 for (f, _), b in zip(found, best)]) >= 0.98
+
+
+def test_ann_recall_on_clustered_rows(spark):
+    r = random.Random(5)
+    centres = [[r.gauss(0, 1) for _ in range(32)] for _ in range(40)]
+    vectors = [(i, [x + r.gauss(0, 0.2) for x in centres[i % 40]]) for i in range(3000)]
+    found, want = got(ann.search(table(spark, vectors))), brute(vectors, 20, float, False)
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_ann_recall_scores_and_order(spark):
     vectors = some_vectors(3000, 24, 9)
     found, want = got(ann.search(table(spark, vectors), block=200, chunk=40)), brute(vectors, 20, float, False)
