@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from invoxa.functions.jsonish import CASE_TYPE
 from invoxa.operators.documents import raw_text_envelope, raw_text_file
-from invoxa.operators.matching import FILE_ORDER, context_from_map
+from invoxa.operators.matching import FILE_ORDER, context_lists
 from invoxa.sources.document_files import write_document_files
 
 TRUTH_SCHEMA = (
@@ -177,10 +177,11 @@ def work_list_from_files(manifest: DataFrame, metadata: DataFrame, raw_texts: Da
     ``allowed_prompt``, ``allowed_valid`` and ``correction_map`` from the saved matches."""
     m = manifest.where(F.col("is_coaching_invoice") & F.col("ready_for_llm")
                        & F.coalesce(F.length("filename") > 0, F.lit(False)))
-    w = m.join(metadata, "filename", "inner").join(raw_texts, "filename", "inner")
-    prompt, valid, corrections = context_from_map(F.col("patterns_found.client_case_matches"))
-    return (w.withColumns({"allowed_prompt": prompt, "allowed_valid": valid})
-            .withColumn("correction_map", corrections))
+    # The context comes before the join, so the match records are not shuffled where nobody reads them.
+    prompt, valid = context_lists(F.col("patterns_found.client_case_matches"))
+    found = metadata.withColumns({"allowed_prompt": prompt, "allowed_valid": valid})
+    w = m.join(found, "filename", "inner").join(raw_texts, "filename", "inner")
+    return w.withColumn("correction_map", F.map_from_arrays("allowed_prompt", "allowed_valid"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -190,7 +191,7 @@ def write_raw_texts(docs: DataFrame, path: str, extracted_at: str) -> None:
     (docs.select(raw_text_file(F.col("filename")).alias("raw_text_file"),
                  raw_text_envelope(F.col("filename"), F.col("text"), F.lit(extracted_at))
                  .alias("content"))
-     .write.mode("overwrite").parquet(path))
+     .write.mode("overwrite").option("compression", "zstd").parquet(path))
 
 
 def write_raw_text_files(docs: DataFrame, folder: str, extracted_at: str) -> None:
@@ -215,10 +216,10 @@ def write_ocr_text_files(ocr: DataFrame, folder: str) -> None:
                          F.replace(F.col("filename"), F.lit(".pdf"), F.lit("_ocr.txt")), F.col("text"))
 
 
-def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = True) -> None:
+def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = True, compression: str = "none") -> None:
     """JSON lines; nulls are written as ``null`` (Spark omits them by default)."""
     (df.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower())
-     .json(path))
+     .option("compression", compression).json(path))
 
 
 def write_results(final: DataFrame, path: str) -> None:
@@ -231,14 +232,15 @@ def write_results(final: DataFrame, path: str) -> None:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Manifest entries as JSON lines (``documents.manifest_rows``)."""
-    write_json_lines(manifest.drop("doc_id"), path)
+    """Manifest entries as JSON lines (``documents.manifest_rows``), gzipped."""
+    write_json_lines(manifest.drop("doc_id"), path, compression="gzip")
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
-    """Metadata as JSON lines of (filename, meta) (``documents.metadata_record``)."""
+    """Metadata as JSON lines of (filename, meta) (``documents.metadata_record``), gzipped:
+    names and values repeat from line to line, so plain lines take many times the room."""
     fields = [c for c in metadata.columns if c not in ("doc_id", "filename")]
-    write_json_lines(metadata.select("filename", F.struct(*fields).alias("meta")), path)
+    write_json_lines(metadata.select("filename", F.struct(*fields).alias("meta")), path, compression="gzip")
 
 
 def write_ocr_texts(ocr: DataFrame, path: str) -> None:

@@ -137,3 +137,16 @@ def test_streaming_extraction(spark):
         q.stop()
     n = spark.sql("SELECT count(*) AS n FROM doc_hits").first().n
     assert n == spark.read.parquet(f"{src}/documents.parquet").count()
+
+
+def test_metadata_lines_take_little_room(spark, tmp_path):
+    """Names and values repeat from line to line: the written lines are packed."""
+    from invoxa.operators import documents as D
+    from invoxa.plans.pipeline import phase1_from
+    from invoxa.sources import files
+    docs = phase1_from(spark, "/root/testdata/sf0.001")
+    meta = D.metadata_record(docs)
+    files.write_metadata(meta, str(tmp_path / "m"))
+    written = sum(f.stat().st_size for f in (tmp_path / "m").iterdir())
+    rows = files.read_metadata_lines(spark, str(tmp_path / "m"))
+    assert rows.count() == meta.count() and written < 700 * rows.count()
