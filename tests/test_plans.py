@@ -49,3 +49,10 @@ def test_extraction_not_duplicated_by_inferred_filters(spark):
 def test_recovery_prompts_run_the_header_patterns_once(spark):
     # 12 for phase 1's codes and kvk, vat, number and date, as in final_results
     assert _plan(spark, "recovery_prompts").count("regexp_extract_all") <= _plan(spark, "final_results").count("regexp_extract_all")
+
+
+def test_verdict_gathers_no_match_records(spark):
+    # counts decide it; the lists of codes, records and contexts are not asked for
+    for name in ("doc_confidence", "manifest_rows"):
+        assert "collect_list(struct(case_pos" not in _plan(spark, name), name
+    assert "collect_list(struct(case_pos" in _plan(spark, "metadata_matches")
