@@ -56,3 +56,11 @@ def test_verdict_gathers_no_match_records(spark):
     for name in ("doc_confidence", "manifest_rows"):
         assert "collect_list(struct(case_pos" not in _plan(spark, name), name
     assert "collect_list(struct(case_pos" in _plan(spark, "metadata_matches")
+
+
+def test_each_pattern_runs_once_for_all_lists(spark):
+    from invoxa.functions.patterns import PATTERN_FAMILIES
+    from invoxa.operators.extract import with_patterns
+    texts = spark.range(1).selectExpr("cast(id as string) as text").repartition(2)
+    plan = with_patterns(texts).select("patterns")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == sum(map(len, PATTERN_FAMILIES.values())), plan
