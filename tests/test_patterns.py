@@ -135,3 +135,11 @@ def test_faster_searches_find_the_same(spark):
             found = texts.select("x", plain.alias("plain"), pattern_matches(X, pattern, group).alias("fast"))
             assert found.where(F.size("plain") > 0).count() > 0, (family, pattern)
             assert found.where(~F.col("plain").eqNullSafe(F.col("fast"))).take(3) == [], (family, pattern)
+
+
+def test_day_first_of_a_printed_date(spark):
+    from invoxa.sources.fixtures import _day_first
+    for iso in ("1995-03-09", "0001-01-31", "+10000-02-03"):
+        year, month, day = iso.rsplit("-", 2)
+        assert one(spark, _day_first(X), iso) == f"{day}-{month}-{year}"
+    assert one(spark, _day_first(X), None) is None

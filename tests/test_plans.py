@@ -64,3 +64,9 @@ def test_each_pattern_runs_once_for_all_lists(spark):
     texts = spark.range(1).selectExpr("cast(id as string) as text").repartition(2)
     plan = with_patterns(texts).select("patterns")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_extract_all") == sum(map(len, PATTERN_FAMILIES.values())), plan
+
+
+def test_line_texts_are_made_before_the_shuffle(spark):
+    plan = _plan(spark, "text_fallback")
+    lambdas = re.findall(r"lambdafunction\(.*", plan)
+    assert lambdas and not any("round(" in x or "lpad(" in x for x in lambdas), lambdas
