@@ -1,5 +1,7 @@
 """Answers are read by steps whose cost stays low on long answers: plan guards and odd answers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,15 @@ def test_lists_absent_null_and_of_other_types(spark):
     x = lines_from_variant(F.col("v"), F.col("facts"))
     got = df.select("text", "want", F.when(x.isNotNull(), F.size(x["clientCases"])).alias("got")).collect()
     assert [(r.text, r.got) for r in got] == [(r.text, r.want) for r in got]
+
+
+def test_final_results_search_the_codes_once(spark):
+    """The count of codes tells a coaching invoice; the texts are not searched again for it."""
+    plan = _plan(QUERIES["final_results"](spark, SF))
+    assert plan.count("CASE-[A-Z0-9-]+") == 1
+
+
+@pytest.mark.parametrize("name", ["resolve_attempts", "assemble_text"])
+def test_texts_are_built_below_the_generators(spark, name):
+    generators = re.findall(r"Generate explode\(.*?, false, \[", _plan(QUERIES[name](spark, SF)), re.S)
+    assert generators and not any("transform(" in g for g in generators)
