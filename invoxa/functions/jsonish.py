@@ -31,6 +31,23 @@ _HEADER_PARTS = ("struct<invoiceHeader:struct<" + ",".join(f"{f}:variant" for f
 _ITEM_PARTS = "struct<" + ",".join(f"{f}:variant" for f in (*CASE_FIELDS, "durationHours")) + ">"
 LINES_TYPE = f"struct<clientCases:array<{CASE_TYPE}>,clientCasesNoActivity:array<string>>"
 
+# The type, as ``schema_of_variant`` prints it, of a list of answers that one typed read gives
+# as their result: nothing but known keys, each of its plain type. Types of list entries are
+# merged there, so a NULL or an absent key can hide in any of them.
+_TEXT, _NUMBER = "(STRING|VOID)", r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\)|VOID)"
+
+
+def _keys(**types: str) -> str:
+    """The keys of an object in order, any of them missing."""
+    return "".join(f"((, )?{name}: {t})?" for name, t in sorted(types.items()))
+
+
+PLAIN_HEADER = (f"^ARRAY<OBJECT<invoiceHeader: OBJECT<{_keys(**{f: _TEXT for f in HEADER_FIELDS})}>, "
+                "isCoachingInvoice: BOOLEAN>>$")
+PLAIN_LINES = ("^ARRAY<OBJECT<(clientCases: ARRAY<(VOID|OBJECT<"
+               + _keys(**{f: _TEXT for f in CASE_FIELDS}, durationHours=_NUMBER)
+               + ">)>)?(, )?(clientCasesNoActivity: ARRAY<(STRING|VOID)>)?>>$")
+
 
 def _once(x: Column, f) -> Column:
     """``f(x)`` with ``x`` worked out once, not in each of its uses."""
@@ -49,14 +66,17 @@ def carve_json(s: Column) -> Column:
     comes first); without braces, a leading ``` fence line is dropped and
     the text is cut at the next fence. NULL/empty input is returned as is.
     """
-    def inside(t: Column) -> Column:
-        start, end = F.locate("{", t), _last_pos(t, "}")
-        braces = F.when(end >= start, F.substring(t, start, end - start + 1)).otherwise(F.lit(""))
+    # Between braces surrounding whitespace does not matter, so it is trimmed only without them.
+    start, end = F.locate("{", s), _last_pos(s, "}")
+    braces = F.when(end >= start, F.substring(s, start, end - start + 1)).otherwise(F.lit(""))
+
+    def bare(t: Column) -> Column:
         unfenced = _once(strip_ws(F.regexp_replace(t, r"^[^\n]*(\n|$)", "")), lambda rest: F.when(
             F.locate("```", rest) > 0, strip_ws(F.substring_index(rest, "```", 1))).otherwise(rest))
-        return F.when((start > 0) & (end > 0), braces).when(t.startswith("```"), unfenced).otherwise(t)
+        return F.when(t.startswith("```"), unfenced).otherwise(t)
 
-    return F.when(s.isNull() | (s == ""), s).otherwise(_once(strip_ws(s), inside))
+    return (F.when(s.isNull() | (s == ""), s).when(s.contains("{") & s.contains("}"), braces)
+            .otherwise(_once(strip_ws(s), bare)))
 
 
 def vget(v: Column, path: str) -> Column:
@@ -161,6 +181,40 @@ def _last_of_duplicates(carved: Column, schema: str) -> Column:
     return _once(F.from_json(carved, schema + ", _corrupt_record string", _STRICT), repaired)
 
 
+def list_of_answer(carved: Column) -> Column:
+    """VARIANT of the carved text in brackets: text after the JSON value makes the whole
+    invalid or a longer list."""
+    return F.try_parse_json(F.concat(F.lit("["), carved, F.lit("]")))
+
+
+def plain_header(listed: Column) -> Column:
+    """``header_from_variant`` of an answer of the plain form, by one typed read; NULL for any
+    other, which says nothing about it. ``listed``: ``list_of_answer``, as a column."""
+    one = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(one & F.schema_of_variant(listed).rlike(PLAIN_HEADER), F.try_variant_get(listed, "$[0]", HEADER_TYPE))
+
+
+def plain_lines(listed: Column) -> Column:
+    """``lines_from_variant`` of an answer of the plain form, by one typed read, but for the
+    lists: a missing one is NULL, and NULL items, codes or names are not refused yet
+    (``plain_lines_result``). NULL for any other form."""
+    one = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(one & F.schema_of_variant(listed).rlike(PLAIN_LINES), F.try_variant_get(listed, "$[0]", LINES_TYPE))
+
+
+def plain_lines_result(read: Column) -> Column:
+    """The result that ``plain_lines`` stands for; NULL where a NULL or empty text in the lists
+    asks for the whole check."""
+    def filled(texts: Column) -> Column:
+        # NULL, not false, where the text is not found and there are NULLs.
+        return F.coalesce(~F.array_contains(texts, F.lit("")), texts.isNull())
+
+    cases, names = read["clientCases"], read["clientCasesNoActivity"]
+    result = F.struct(F.coalesce(cases, F.array().cast(f"array<{CASE_TYPE}>")).alias("clientCases"),
+                      F.coalesce(names, F.array().cast("array<string>")).alias("clientCasesNoActivity"))
+    return F.when(read.isNotNull() & filled(cases["validatedClientCaseNumber"]) & filled(names), result)
+
+
 def parse_response(text: Column, lines: Column | bool = False, carved_text: Column | None = None) -> Column:
     """VARIANT of the carved response text (NULL when it is not JSON).
 
@@ -180,7 +234,7 @@ def parse_response(text: Column, lines: Column | bool = False, carved_text: Colu
                 _last_of_duplicates(carved, _LOOSE_HEADER))
             return F.when(listed.isNull(), repaired).otherwise(_once(values, lambda v: F.when(F.size(v) == 1, F.get(v, 0))))
 
-        return _once(F.try_parse_json(F.concat(F.lit("["), carved, F.lit("]"))), only)
+        return _once(list_of_answer(carved), only)
 
     return _once(carve_json(text) if carved_text is None else carved_text, parsed)
 
