@@ -67,24 +67,22 @@ def evaluate(generated: DataFrame, truth: DataFrame) -> DataFrame:
     Output: truth_file, output_file, evaluated (bool), points, accuracy,
     line_items_ok, no_activity_ok, per-field flags f_<field>, missing_codes,
     unexpected_codes, report (array<string>).
+
+    Both sides are cut down to the sets of codes before the join, so neither line items nor
+    repeated codes are shuffled.
     """
-    t = truth.select(F.col("filename").alias("truth_file"),
-                     truth_key(F.col("filename")).alias("_key"),
-                     F.col("invoiceHeader").alias("t_header"),
-                     F.col("clientCases").alias("t_cases"),
-                     F.col("clientCasesNoActivity").alias("t_na"))
-    g = generated.select(generated_key(F.col("filename")).alias("_key"),
-                         F.col("invoiceHeader").alias("g_header"),
-                         F.col("clientCases").alias("g_cases"),
-                         F.col("clientCasesNoActivity").alias("g_na"))
+    def sets(side: str) -> list[Column]:
+        return [F.col("invoiceHeader").alias(f"{side}_header"), code_set(F.col("clientCases")).alias(f"{side}_codes"),
+                F.sort_array(F.array_distinct("clientCasesNoActivity")).alias(f"{side}_na")]
+
+    t = truth.select(F.col("filename").alias("truth_file"), truth_key(F.col("filename")).alias("_key"), *sets("t"))
+    g = generated.select(generated_key(F.col("filename")).alias("_key"), *sets("g"))
     x = t.join(g, "_key", "left")
     fields = field_points(F.col("g_header"), F.col("t_header"))
-    gset, tset = code_set(F.col("g_cases")), code_set(F.col("t_cases"))
-    gna = F.sort_array(F.array_distinct(F.col("g_na")))
-    tna = F.sort_array(F.array_distinct(F.col("t_na")))
+    gset, tset = F.col("g_codes"), F.col("t_codes")
     scored = dict(fields)
     cases_ok = gset == tset
-    na_ok = gna == tna
+    na_ok = F.col("g_na") == F.col("t_na")
     missing = F.array_except(tset, gset)
     extra = F.array_except(gset, tset)
     points = sum((F.when(ok, 1).otherwise(0) for _, ok in fields), F.lit(0)) \
@@ -97,7 +95,7 @@ def evaluate(generated: DataFrame, truth: DataFrame) -> DataFrame:
         F.lit(f"{MARK} Line Items mismatch. Missing: "), _py_set(missing),
         F.lit(", Unexpected: "), _py_set(extra))))
     reports.append(F.when(~na_ok, F.lit(f"{MARK} NoActivity mismatch.")))
-    evaluated = F.col("g_header").isNotNull() | F.col("g_cases").isNotNull()
+    evaluated = F.col("g_header").isNotNull() | gset.isNotNull()
     return x.select(
         "truth_file", F.col("_key").alias("output_file"), evaluated.alias("evaluated"),
         F.when(evaluated, points).alias("points"),
