@@ -1,6 +1,8 @@
 """What the shuffles carry: plan guards against rows that are wider, or shuffled more often, than needed."""
 
+import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from invoxa.operators.evaluation import evaluate
 from invoxa.operators.matching import lookup_tables, match_codes, ref_codes
+from invoxa.session import checkpoint_dir, handed_over
 from invoxa.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +96,29 @@ def test_codes_are_looked_up_by_one_join(no_broadcast):
 def test_codes_come_back_to_their_document_by_one_shuffle(no_broadcast):
     plan = _plan(queries()["final_results"](no_broadcast, SF))
     assert re.findall(r"Exchange hashpartitioning\((doc_id[^)]*), \d+\)", plan) == ["doc_id"]
+
+
+def _shuffle_files(spark) -> int:
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).isShuffle() for i in range(blocks.size()))
+
+
+def test_a_handed_over_table_goes_with_its_block(spark):
+    before = _shuffle_files(spark)
+    with handed_over(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts") as counts:
+        until = time.monotonic() + 20
+        while _shuffle_files(spark) > before and time.monotonic() < until:
+            time.sleep(0.2)
+        assert _shuffle_files(spark) <= before  # the shuffle went as soon as the table stood
+        assert counts.count() == 1000
+        folder = os.path.dirname(counts.inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_work_list_keeps_its_three_outputs_only(spark):
+    work = queries()["work_list"](spark, SF)
+    tables = f"{checkpoint_dir(spark).removeprefix('file://')}/tables"
+    kept = os.listdir(tables)
+    assert any(x.startswith("work_list_files") for x in kept) and not any(x.startswith("work_list_documents") for x in kept)
+    assert work.count() > 0
