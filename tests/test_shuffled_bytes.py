@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from invoxa.operators.evaluation import evaluate
 from invoxa.operators.matching import lookup_tables, match_codes, ref_codes
+from invoxa.operators.text import document_text
 from invoxa.session import checkpoint_dir, handed_over
 from invoxa.sources import fixtures
 
@@ -122,3 +123,17 @@ def test_work_list_keeps_its_three_outputs_only(spark):
     kept = os.listdir(tables)
     assert any(x.startswith("work_list_files") for x in kept) and not any(x.startswith("work_list_documents") for x in kept)
     assert work.count() > 0
+
+
+def test_pages_are_marked_before_they_are_gathered(spark):
+    rows = [(1, "primary", 2, "b" * 40), (1, "primary", 1, "a" * 40), (1, "primary", 3, ""), (1, "primary", 4, None), (1, "secondary", 1, "no"),
+            (2, "primary", 1, "short"), (2, "secondary", 10, "z" * 30), (2, "secondary", 9, "y" * 30), (3, "primary", 1, None),
+            (4, "primary", 7, "same" * 20), (4, "primary", 7, "same" * 20 + "\t"), (5, "other", 1, "x" * 80)]
+    pages = spark.createDataFrame([(d, f"{d}.pdf", e, n, t) for d, e, n, t in rows],
+                                  "doc_id long, filename string, extractor string, page_no int, page_text string")
+    mark = lambda n, t: f"\n--- Page {n} ---\n{t}\n"
+    got = document_text(pages)
+    assert {r.doc_id: r.text for r in got.collect()} == {
+        1: mark(1, "a" * 40) + mark(2, "b" * 40), 2: mark(9, "y" * 30) + mark(10, "z" * 30), 3: "",
+        4: mark(7, "same" * 20) + mark(7, "same" * 20 + "\t"), 5: ""}
+    assert not any("--- Page" in x for x in re.findall(r"lambdafunction\(.*", _plan(got)))
